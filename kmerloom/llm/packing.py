@@ -18,6 +18,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .tables import cut
+
 MAX_TOKENS = 2048
 BUCKETS = 16
 BATCH_TOKENS = 32768
@@ -89,6 +91,7 @@ def optimal_bounds(histogram: dict[int, int], k: int) -> list[int]:
 def pack(counts: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS, batch_tokens: int = BATCH_TOKENS, salt_rows: int = SALT_ROWS) -> DataFrame:
     """``counts(doc_id, n_tokens)`` -> (doc_id, piece, piece_tokens, bucket, bound, batch, slot), one row for each piece."""
     whole = F.lit(max_tokens)
+    counts = cut(counts)  # read three times below
     pieces = (
         counts.where("n_tokens > 0")
         .select("doc_id", "n_tokens", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n_tokens") - 1) / whole))).alias("piece"))
