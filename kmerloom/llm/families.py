@@ -13,8 +13,8 @@ FAMILY_TOKENS = 4_000_000
 BITMAP_WORDS = 16
 
 
-def raw_tokens(x: bytes) -> np.ndarray:
-    return np.frombuffer(x, K.U)
+def raw_tokens(members: list[bytes]) -> list[np.ndarray]:
+    return [np.frombuffer(x, K.U) for x in members]
 
 
 def _bitmap(x: np.ndarray) -> np.ndarray:
@@ -24,6 +24,13 @@ def _bitmap(x: np.ndarray) -> np.ndarray:
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, fragment: int = 4096) -> np.ndarray:
     """Overlap of each pair (a[i], b[i]): partial counts by fragment of the n-gram order, summed."""
+    if sum(map(len, sets)) <= fragment and len(a) <= 64:  # all in one fragment: sorted sets are merged
+        out = np.zeros(len(a), np.int64)
+        for k, (i, j) in enumerate(zip(a, b)):
+            both = np.concatenate((sets[i], sets[j]))
+            both.sort()
+            out[k] = np.count_nonzero(both[1:] == both[:-1])
+        return out
     of = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
     token = np.concatenate(sets)
     order = np.argsort(token, kind="stable")
@@ -100,11 +107,12 @@ def _kernel(pct: int, decode):
 
     def group(t, s, e, cols):
         ids_all, blk, bi, bj, weight, tok = cols
-        once = {(ids_all[k], tok[int(k)].as_py()): k for k in range(s, e)}  # repeated rows
+        members = tok.slice(s, e - s).to_pylist()
+        once = {x: s + k for k, x in enumerate(zip(ids_all[s:e].tolist(), members))}  # repeated rows
         at = np.array(sorted(once.values()))
-        sets = [decode(tok[int(k)].as_py()) for k in at]
+        sets = decode([members[k - s] for k in at])
         n, block, links = np.array([len(x) for x in sets]), blk[at], Links(ids_all[at], weight[at])
-        maps = np.stack([_bitmap(x) for x in sets])
+        maps = np.stack([_bitmap(x) for x in sets]) if len(sets) > 4 else np.zeros((len(sets), 1), K.U)
         left, right = np.flatnonzero(block == bi[s]), np.flatnonzero(block == bj[s])
         a, b, held = [], [], 0
 
@@ -140,7 +148,7 @@ def _kernel(pct: int, decode):
 def family_links(members: DataFrame, pct: int, decode=raw_tokens, limit: int = FAMILY_TOKENS) -> DataFrame:
     """``members(family, node, copies, n, tokens)`` -> ``(a, b, n)``: links of Jaccard >= pct/100 inside each family.
 
-    ``decode`` turns a member's bytes into its sorted distinct 64-bit tokens. Pairs within the size ratio whose parity
+    ``decode`` turns members' bytes into their sorted distinct 64-bit tokens. Pairs within the size ratio whose parity
     bitmaps differ in at most the allowed number of bits (a lower bound of the set difference, so no link is lost) are
     counted exactly. A row names a node, a node that it is linked with directly or through others, and the copies of
     its direct partners within one pair of blocks; rows of a node are to be summed. A family of over ``limit`` tokens

@@ -41,13 +41,13 @@ def mix(x: np.ndarray, seed: int = 0) -> np.ndarray:
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """Bytes of a string column (null: empty) and the offsets of its rows."""
     a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
-    a = pc.fill_null(a, "").cast(pa.large_string())
-    if isinstance(a, pa.ChunkedArray):
-        a = a.combine_chunks()
+    if a.null_count or not (pa.types.is_string(a.type) or pa.types.is_large_string(a.type)):
+        a = pc.fill_null(a.cast(pa.large_string()), "")
     if len(a) == 0:
         return np.zeros(0, np.uint8), np.zeros(1, np.int64)
     _, off, data = a.buffers()
-    offsets = np.frombuffer(off, np.int64)[a.offset : a.offset + len(a) + 1]
+    kind = np.int64 if pa.types.is_large_string(a.type) else np.int32
+    offsets = np.frombuffer(off, kind)[a.offset : a.offset + len(a) + 1].astype(np.int64)
     raw = np.frombuffer(data, np.uint8)[offsets[0] : offsets[-1]] if data is not None and data.size else np.zeros(0, np.uint8)
     return raw, offsets - offsets[0]
 

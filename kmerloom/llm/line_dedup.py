@@ -78,8 +78,9 @@ def _occurrences(w: int, bands: int, rows: int):
             raw, off = K.text_bytes(b.column("text"))
             ids = b.column("doc_id").to_numpy()
             for i, j in K.portions(off, 1 << 19):
-                doc, no, digest, fresh, ends = [], [], [], [], [0]
+                doc, no, digest, fresh, ends, total = [], [], [], [], [0], []
                 for r in range(i, j):
+                    at = len(doc)
                     for k, line in enumerate(raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace").split("\n")):
                         if line := normal(line):
                             d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
@@ -94,11 +95,12 @@ def _occurrences(w: int, bands: int, rows: int):
                                 ends.append(ends[-1] + bands)
                             else:
                                 ends.append(ends[-1])
+                    total += [len(doc) - at, *[None] * (len(doc) - at - 1)] if len(doc) > at else []
                 keys = signatures(fresh, w, bands, rows).ravel() if fresh else np.zeros(0, np.int64)
                 h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc], pa.int64()), pa.array(no, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys))],
-                    names=["doc_id", "line_no", "h1", "h2", "bands"],
+                    [pa.array(ids[doc], pa.int64()), pa.array(no, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)), pa.array(total, pa.int32())],
+                    names=["doc_id", "line_no", "h1", "h2", "bands", "n_lines"],
                 )
 
     return work
@@ -121,7 +123,12 @@ def _texts(batches):
 
 
 def _decode(w: int):
-    return lambda x: np.unique(codes_of([x.decode("utf-8", "surrogatepass")], w)[0])
+    def decode(members: list[bytes]) -> list[np.ndarray]:
+        h, begin = codes_of([x.decode("utf-8", "surrogatepass") for x in members], w)
+        out = [np.sort(x) for x in np.split(h, begin[1:])]
+        return [x[np.r_[True, x[1:] != x[:-1]]] for x in out]
+
+    return decode
 
 
 def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, pct: int = PCT) -> DataFrame:
@@ -131,12 +138,12 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
     says how many of them have no equal line that comes before them and go for a similar one.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    where = cut(docs.mapInArrow(_occurrences(w, bands, rows), "doc_id long, line_no int, h1 long, h2 long, bands array<long>"))
+    where = cut(docs.mapInArrow(_occurrences(w, bands, rows), "doc_id long, line_no int, h1 long, h2 long, bands array<long>, n_lines int"))
     here = where.select("doc_id", "line_no", "h1", "h2")
-    lines = cut(here.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first")))
+    lines = cut(here.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows")))
     keys = where.select("h1", F.explode("bands").alias("band")).repartition("band")
     buckets = keys.groupBy("band").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("band", "a")
-    star = keys.join(buckets, "band").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct()
+    star = keys.join(buckets.hint("shuffle_hash"), "band").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct()
     family = components(star).select(F.col("node").alias("h1"), F.col("component").alias("family"))
     wanted = cut(family.join(lines, "h1").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "family")).alias("wanted")))
     texts = cut(thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts, "family long, node long, copies long, n long, tokens binary"))
@@ -145,17 +152,17 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
     joined = cut(lines.join(united, "h1").select("h1", "h2", "first", "component"))
     kept = joined.groupBy("component").agg(F.min("first").alias("kept"))
     near = joined.join(kept, "component").select("h1", "h2", "kept")
-    final = lines.join(near, ["h1", "h2"], "left").select("h1", "h2", "first", F.coalesce("kept", "first").alias("kept"))
+    # Only lines that stand in several places or go for another one can be dropped anywhere.
+    final = lines.join(near, ["h1", "h2"], "left").where("rows > 1 or kept is not null").select("h1", "h2", "first", F.coalesce("kept", "first").alias("kept"))
     at = F.struct("doc_id", "line_no")
-    return (
-        here.join(final, ["h1", "h2"])
+    gone = (
+        here.join(final.hint("shuffle_hash"), ["h1", "h2"])
+        .where(at != F.col("kept"))
         .groupBy("doc_id")
-        .agg(
-            F.countDistinct("line_no").alias("n_lines"),
-            F.countDistinct(F.when((at != F.col("kept")) & (at == F.col("first")), F.col("line_no"))).alias("n_near"),
-            F.array_sort(F.collect_set(F.when(at != F.col("kept"), F.col("line_no")))).alias("dropped"),
-        )
+        .agg(F.countDistinct(F.when(at == F.col("first"), F.col("line_no"))).cast("int").alias("n_near"), F.array_sort(F.collect_set("line_no")).alias("dropped"))
     )
+    total = where.where("n_lines is not null").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
+    return total.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
 
 
 def _without(batches):

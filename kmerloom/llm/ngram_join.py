@@ -103,7 +103,7 @@ def _sets(w: int):
             raw, off = K.text_bytes(b.column("text"))
             fam, ids, want = b.column("family").to_numpy(), b.column("doc_id").to_numpy(), b.column("h1").to_numpy()
             copies = b.column("copies").to_numpy()
-            for i, j in K.portions(off, 1 << 22):
+            for i, j in K.portions(off):
                 h, _, _, first = K.words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
                 keep, rows = [], []
                 for r, x in zip(range(i, j), K.shingles(h, first, w)):
@@ -131,7 +131,7 @@ def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90) -> DataFrame:
     keys = shown.join(reps, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
     keys = keys.repartition("key")
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a")
-    star = keys.join(buckets, "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    star = keys.join(buckets.hint("shuffle_hash"), "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     family = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     wanted = cut(family.join(reps, "doc_id").select("doc_id", "family", "h1", "copies"))
     sets = cut(thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("family", "doc_id", "h1", "copies", "text").mapInArrow(_sets(w), "family long, node long, copies long, n long, tokens binary"))
