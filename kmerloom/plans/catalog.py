@@ -1,7 +1,528 @@
-"""Registered queries and their SQL."""
+"""Registered queries over the whole supplied tables, and the same in SQL where SQL can express them.
+
+The tables hold no DNA; fixtures derive contigs, reads, variants and support records from them (see ``fixtures``).
+"""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import kernels
+from ..functions import seq as S
+from ..operators import index as I
+from ..operators import reads as R
+from ..operators import supports as P
+from ..operators import vcf as V
+from . import fixtures as X
+from . import pipelines
+from .config import Config
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "e2e_sv_calls"
+CFG = Config(min_segment=2000, max_segment=4000)
+K = CFG.k
+
+
+def query(sql: str | None = None):
+    """Registers a function as the query of its name."""
+
+    def add(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+# Shared SQL
+
+ACGT = "NOT regexp_matches({}, '[^ACGT]')"
+REV = "reverse(translate({}, 'ACGT', 'TGCA'))"
+PACK = "CAST(list_sum(list_transform(range(0, {k}), lambda i: (instr('ACGT', substr({s}, CAST(i + 1 AS BIGINT), 1)) - 1) * (CAST(1 AS BIGINT) << CAST(2 * ({k} - 1 - i) AS INT)))) AS BIGINT)"
+CONTIGS, READS = X.CONTIGS_SQL, X.READS_SQL
+TILES = f"""{CONTIGS},
+tiles AS (SELECT CAST(row_number() OVER (ORDER BY chrom_idx, t) - 1 AS INT) AS seg_idx, chrom, CAST(t * 2000 AS INT) AS "start", CAST(least(length(seq), (t + 1) * 2000 + 22) AS INT) AS "end", seq
+  FROM contigs, unnest(range(0, greatest(1, length(seq) // 2000))) u(t)),
+segments AS (SELECT seg_idx, chrom, "start", "end", (CAST(31 AS BIGINT) << (seg_idx % 28)) AS code, substr(seq, "start" + 1, "end" - "start") AS bases FROM tiles)"""
+OCC = f"""{TILES},
+fwd AS (SELECT code, CAST(i AS INT) AS pos, substr(bases, CAST(i + 1 AS BIGINT), {K}) AS kmer FROM segments, unnest(range(0, length(bases) - {K - 1})) u(i)),
+occ AS (SELECT kmer, code, pos, pos % 3 = 0 AS is_grid FROM fwd UNION ALL SELECT {REV.format("kmer")}, code, pos, false FROM fwd)"""
+INDEX = f"""{OCC},
+idx AS (SELECT kmer, bit_or(code) AS code, CASE WHEN count(*) = 1 THEN min(pos) END AS pos FROM occ GROUP BY kmer HAVING bool_or(is_grid))"""
+SUPPORTS = """sup AS (
+  SELECT l_orderkey * 10 + l_linenumber AS sup_id, CASE WHEN l_linenumber % 4 = 0 THEN 'PE' ELSE 'SPLIT' END AS kind,
+         CAST(l_suppkey % 25 AS INT) AS left_seg, CAST(l_partkey % 25 AS INT) AS right_seg, CAST((l_orderkey * 7) % 2000 AS INT) AS left_pos, CAST((l_partkey * 13) % 2000 AS INT) AS right_pos,
+         l_linestatus = 'O' AS left_fwd, l_returnflag = 'R' AS right_fwd, l_orderkey % 97 AS bar, l_linenumber % 2 = 0 AS flip,
+         CAST(l_quantity AS BIGINT) AS left_kmers, CAST(l_quantity AS BIGINT) + l_linenumber AS right_kmers, l_linenumber AS cnt, l_extendedprice AS score FROM lineitem)"""
+
+
+def tiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments for queries that SQL checks: pieces of 2,000 bases with k - 1 more, and codes of five bits in a row."""
+    from pyspark.sql import Window
+
+    c = X.contigs(spark, sf_dir)
+    t = c.select("chrom", "chrom_idx", "seq", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(1), F.floor(F.length("seq") / 2000)).cast("int") - 1)).alias("t"))
+    t = t.withColumn("seg_idx", (F.row_number().over(Window.orderBy("chrom_idx", "t")) - 1).cast("int"))
+    t = t.withColumn("start", F.col("t") * 2000).withColumn("end", F.least(F.length("seq"), (F.col("t") + 1) * 2000 + K - 1))
+    return t.select("seg_idx", "chrom", "chrom_idx", "start", "end", F.expr("shiftleft(31L, seg_idx % 28)").alias("code"), F.expr("substring(seq, start + 1, end - start)").alias("ref"))
+
+
+def supports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.table(spark, sf_dir, "lineitem").selectExpr(
+        "l_orderkey * 10 + l_linenumber as sup_id", "case when l_linenumber % 4 = 0 then 'PE' else 'SPLIT' end as kind", "cast(l_suppkey % 25 as int) as left_seg", "cast(l_partkey % 25 as int) as right_seg",
+        "cast((l_orderkey * 7) % 2000 as int) as left_pos", "cast((l_partkey * 13) % 2000 as int) as right_pos", "l_linestatus = 'O' as left_fwd", "l_returnflag = 'R' as right_fwd", "l_orderkey % 97 as bar", "l_linenumber % 2 = 0 as flip",
+        "cast(l_quantity as bigint) as left_kmers", "cast(l_quantity as bigint) + l_linenumber as right_kmers", "l_linenumber as cnt", "l_extendedprice as score",
+    )
+
+
+# Sources and contigs
+
+
+@query(f"WITH {CONTIGS} SELECT chrom, chrom_idx, CAST(length(seq) AS INT) AS len FROM contigs")
+def s5_contig_info(spark, d):
+    from ..sources.files import contig_info
+
+    return contig_info(X.contigs(spark, d))
+
+
+@query(f"WITH {CONTIGS} SELECT chrom, substr(seq, 101, 400) AS seq FROM contigs WHERE chrom = 'chr3'")
+def s2_range_scan(spark, d):
+    from ..sources.files import sequence
+
+    return sequence(X.contigs(spark, d), "chr3", 101, 501)
+
+
+@query(f"WITH {CONTIGS} SELECT chrom, seq FROM contigs WHERE chrom = 'chr2'")
+def s3_contig_scan(spark, d):
+    from ..sources.files import sequence
+
+    return sequence(X.contigs(spark, d), "chr2")
+
+
+@query(f"WITH {CONTIGS}, {READS} SELECT read_id, split_part(name || '/1', '/', 1) AS name FROM reads")
+def s9_pair_names(spark, d):
+    r = X.reads(spark, d).select("read_id", F.concat("name", F.lit("/1")).alias("name"), F.concat("name", F.lit("/2")).alias("name2"))
+    return R.same_names(r).drop("name2")
+
+
+# Sequence functions
+
+
+def _dna(spark, d):
+    return X.table(spark, d, "part").select("p_partkey", X.dna(F.col("p_partkey")).alias("s"))
+
+
+DNA = f"SELECT p_partkey, {X.DNA_SQL.format('p_partkey')} AS s FROM part"
+
+
+@query(f"WITH t AS ({DNA}) SELECT p_partkey, {PACK.format(s='s', k=23)} AS packed FROM t")
+def f1_pack_kmer(spark, d):
+    return _dna(spark, d).select("p_partkey", S.pack(F.substring("s", 1, 23)).alias("packed"))
+
+
+@query(f"WITH t AS ({DNA}) SELECT p_partkey, CAST(i AS INT) AS \"offset\", substr(s, CAST(i + 1 AS BIGINT), 11) AS kmer FROM t, unnest(range(0, 22, 3)) u(i)")
+def f2_windows(spark, d):
+    return S.kmers(_dna(spark, d), "s", 11, 3).select("p_partkey", "offset", "kmer")
+
+
+@query(f"WITH t AS ({DNA}) SELECT p_partkey, {REV.format('s')} AS rc FROM t")
+def f3_reverse_complement(spark, d):
+    return _dna(spark, d).select("p_partkey", S.revcomp(F.col("s")).alias("rc"))
+
+
+@query(f"WITH t AS ({DNA}) SELECT p_partkey, substr(s, 1, 23) AS kmer FROM t")
+def f7_unpack(spark, d):
+    return _dna(spark, d).select("p_partkey", S.unpack(S.pack(F.substring("s", 1, 23)), 23).alias("kmer"))
+
+
+@query(f"WITH t AS ({DNA}) SELECT p_partkey, {PACK.format(s='substr(s, 11, 8)', k=8)} AS bar FROM t")
+def f8_barcode(spark, d):
+    return _dna(spark, d).select("p_partkey", S.barcode(F.col("s"), 11, 8).alias("bar"))
+
+
+@query(f"""WITH t AS ({DNA}) SELECT p_partkey, CAST(list_sum(list_transform(range(1, 24), lambda i: CASE WHEN substr(s, CAST(i AS BIGINT), 1) = substr({X.DNA_SQL.format('p_partkey + 1')}, CAST(i AS BIGINT), 1) THEN 0 ELSE 1 END)) AS INT) AS mismatches FROM t""")
+def f9_mismatched_bases(spark, d):
+    t = _dna(spark, d).withColumn("o", X.dna(F.col("p_partkey") + 1))
+    return t.select("p_partkey", S.mismatched_bases(S.pack(F.substring("s", 1, 23)), S.pack(F.substring("o", 1, 23))).cast("int").alias("mismatches"))
+
+
+@query()
+def f10_segment_codes(spark, d):
+    return I.number(tiles(spark, d).drop("code", "seg_idx"), CFG).select("seg_idx", "code")
+
+
+@query("SELECT l_orderkey, l_linenumber, CAST(sign(bit_count(CAST((l_partkey * 2654435761) % 4294967296 AS BIGINT)) - 14) AS INT) AS cmp FROM lineitem")
+def f11_code_cardinality(spark, d):
+    return X.table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", S.cardinality(F.expr("(l_partkey * 2654435761L) % 4294967296L"), 14).alias("cmp"))
+
+
+@query(f"""WITH t AS ({DNA}), p AS (SELECT p_partkey, {PACK.format(s='s', k=11)} AS v FROM t)
+SELECT p_partkey, xor(v, CAST(x << CAST(2 * i AS INT) AS BIGINT)) AS neighbour FROM p, unnest(range(0, 11)) a(i), unnest([CAST(1 AS BIGINT), 2, 3]) b(x)""")
+def f15_neighbours(spark, d):
+    return _dna(spark, d).select("p_partkey", F.explode(S.neighbours(S.pack(F.substring("s", 1, 11)), 11)).alias("neighbour"))
+
+
+@query("""SELECT a.doc_id, b.doc_id AS other, substr(a.text, 1, least(length(a.text), length(b.text))) = substr(b.text, 1, least(length(a.text), length(b.text))) AS is_prefix
+FROM documents a JOIN documents b ON b.doc_id = a.doc_id + 1""")
+def f16_prefix(spark, d):
+    t = X.table(spark, d, "documents").select("doc_id", "text")
+    j = t.join(t.select((F.col("doc_id") - 1).alias("doc_id"), F.col("doc_id").alias("other"), F.col("text").alias("t2")), "doc_id")
+    return j.select("doc_id", "other", S.is_prefix(F.col("text"), F.length("text"), F.col("t2"), F.length("t2")).alias("is_prefix"))
+
+
+@query(f"WITH t AS ({DNA}) SELECT p_partkey, count(DISTINCT substr(s, CAST(i AS BIGINT), 11)) AS n FROM t, unnest(range(1, 23)) u(i) GROUP BY 1")
+def f19_kmer_set(spark, d):
+    return _dna(spark, d).select("p_partkey", F.size(F.array_distinct(F.transform(S.windows(F.col("s"), 11), lambda w: w["kmer"]))).cast("long").alias("n"))
+
+
+@query()
+def f20_f22_distances(spark, d):
+    """k-mer distance and identity length of neighbouring parts' sequences."""
+
+    @F.pandas_udf("distance double, reference double, same int")
+    def both(a, b):
+        import pandas as pd
+
+        return pd.DataFrame([(kernels.sequence_distance(x, y), kernels.reference_distance(x, y), kernels.identical(x, y)) for x, y in zip(a, b)], columns=["distance", "reference", "same"])
+
+    t = _dna(spark, d).withColumn("o", X.dna(F.col("p_partkey") - F.col("p_partkey") % 2))
+    return t.withColumn("m", both("s", "o")).select("p_partkey", "m.distance", "m.reference", "m.same")
+
+
+@query(f"WITH {SUPPORTS} SELECT sup_id, right_pos AS left_pos, left_pos AS right_pos, NOT right_fwd AS left_fwd, NOT left_fwd AS right_fwd, right_kmers AS left_kmers, left_kmers AS right_kmers FROM sup")
+def f24_turn(spark, d):
+    return P.turned(supports(spark, d), F.lit(True)).select("sup_id", "left_pos", "right_pos", "left_fwd", "right_fwd", "left_kmers", "right_kmers")
+
+
+# Projections and filters
+
+MASKED = "translate(md5(cast(p_partkey as varchar)), '0123456789abcdef', 'ACGTACGTACGTACNN')"
+
+
+@query(f"""WITH t AS (SELECT p_partkey, {MASKED} AS s FROM part),
+c AS (SELECT p_partkey, CAST(i AS INT) AS i, substr(s, CAST(i + 1 AS BIGINT), 1) = 'N' AS n FROM t, unnest(range(0, 32)) u(i)),
+g AS (SELECT *, i - row_number() OVER (PARTITION BY p_partkey, n ORDER BY i) AS grp FROM c)
+SELECT p_partkey, min(i) AS "start", max(i) + 1 AS "end" FROM g WHERE NOT n GROUP BY p_partkey, grp""")
+def p1_n_free_runs(spark, d):
+    t = X.table(spark, d, "part").select("p_partkey", F.translate(F.md5(F.col("p_partkey").cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACNN").alias("s"))
+    return t.select("p_partkey", F.explode(S.n_free_runs(F.col("s"))).alias("r")).select("p_partkey", "r.start", "r.end")
+
+
+@query(f"WITH {CONTIGS}, {READS} SELECT read_id FROM reads WHERE NOT contains(r1_seq, 'N') AND NOT contains(r2_seq, 'N') AND read_id % 11 <> 0")
+def p2_read_quality(spark, d):
+    return R.good_quality(X.reads(spark, d)).select("read_id")
+
+
+@query(f"WITH {CONTIGS}, {READS} SELECT read_id, {PACK.format(s='substr(r1_seq, 11, 8)', k=8)} AS bar1, {PACK.format(s='substr(r2_seq, 11, 8)', k=8)} AS bar2 FROM reads")
+def p3_barcodes(spark, d):
+    return R.with_barcodes(X.reads(spark, d)).select("read_id", "bar1", "bar2")
+
+
+@query(f"WITH {CONTIGS}, {READS} SELECT read_id, substr(r1_seq, 9) AS r1_seq, xor({PACK.format(s='substr(r1_seq, 1, 8)', k=8)}, {PACK.format(s='substr(r1_seq, 29, 8)', k=8)}) AS bar1 FROM reads")
+def p4_insert_trim(spark, d):
+    return R.with_barcodes(X.reads(spark, d), (0, 8, 8), (0, 8, 8)).select("read_id", "r1_seq", "bar1")
+
+
+@query(f"WITH {CONTIGS}, {READS} SELECT read_id, CAST(length(r1_seq) - {K - 1} AS INT) AS n_kmers FROM reads WHERE length(r1_seq) - {K - 1} > 50")
+def p5_least_length(spark, d):
+    return X.reads(spark, d).select("read_id", (F.length("r1_seq") - (K - 1)).alias("n_kmers")).where("n_kmers > 50")
+
+
+def snps(spark, d):
+    """A substitution at every 997th base of each contig: the next base in A, C, G, T."""
+    c = X.contigs(spark, d).select("chrom", "seq", F.explode(F.expr("sequence(997, length(seq), 997)")).alias("pos"))
+    c = c.withColumn("ref", F.expr("substring(seq, pos, 1)"))
+    return c.select("chrom", "pos", "ref", F.translate("ref", "ACGT", "CGTA").alias("alt"))
+
+
+SNPS = "snps AS (SELECT chrom, CAST(p AS INT) AS pos, substr(seq, CAST(p AS BIGINT), 1) AS ref, translate(substr(seq, CAST(p AS BIGINT), 1), 'ACGT', 'CGTA') AS alt FROM contigs, unnest(range(997, length(seq) + 1, 997)) u(p))"
+
+
+@query(f"""WITH {TILES}, {SNPS} SELECT seg_idx, pos, CAST(pos - 1 - "start" - {K - 1} AS INT) AS first, substr(bases, pos - "start" - {K - 1}, {K - 1}) || alt || substr(bases, pos - "start" + 1, {K - 1}) AS haplotype
+FROM snps JOIN segments USING (chrom) WHERE pos - 1 >= "start" AND pos - 1 < "end" AND pos - 1 - "start" >= {K - 1} AND pos - "start" + {K - 1} <= "end" - "start" """)
+def p6_p7_haplotypes(spark, d):
+    h = I.haplotypes(snps(spark, d), tiles(spark, d), CFG)
+    return h.select("seg_idx", (F.col("first") + F.col("start") + K).alias("pos"), "first", "haplotype")
+
+
+@query(f"WITH {SUPPORTS} SELECT sup_id FROM sup WHERE kind = 'PE' AND NOT (left_seg = right_seg AND abs(left_pos - right_pos) < 500 AND left_fwd = right_fwd)")
+def p12_pair_distance(spark, d):
+    return supports(spark, d).where("kind = 'PE' and not (left_seg = right_seg and abs(left_pos - right_pos) < 500 and left_fwd = right_fwd)").select("sup_id")
+
+
+def _located(spark, d):
+    """Support records with segment numbers as codes on 25 segments of two chromosomes."""
+    seg = spark.range(25).selectExpr("id as code", "cast(id as int) as seg_idx", "concat('chr', cast(id div 13 as string)) as chrom", "cast((id % 13) * 2000 as int) as start")
+    return supports(spark, d).withColumn("left_code", F.col("left_seg").cast("long")).withColumn("right_code", F.col("right_seg").cast("long")), seg
+
+
+@query(f"""WITH {SUPPORTS} SELECT sup_id FROM sup WHERE left_fwd <> right_fwd OR left_seg // 13 <> right_seg // 13
+OR abs((left_seg % 13) * 2000 + left_pos - (right_seg % 13) * 2000 - right_pos) > 1000""")
+def p13_far_or_inverted(spark, d):
+    s, seg = _located(spark, d)
+    return P.far_or_inverted(s, seg).select("sup_id")
+
+
+EVIDENCE = f"""{SUPPORTS}, ev AS (SELECT *, CAST(left_kmers AS DOUBLE) / cnt AS lk, CAST(right_kmers AS DOUBLE) / cnt AS rk, CAST(bar % 13 + 1 AS DOUBLE) AS molecules, bar % 7 AS singles, (score % 600) / 100 AS rq, (score % 500) / 100 AS vq, (score % 400) / 100 AS bq FROM sup),
+fl AS (SELECT *, lk > 2.999 AND rk > 2.999 AND bq < 3.0 AND singles / molecules < 0.801 AND (
+  (molecules - singles / 2 > 2.499 AND rq + vq > 7.2 AND lk > 3.999 AND rk > 3.999) OR (molecules - singles / 2 > 5 AND rq + vq > 6.7) OR (molecules - singles / 2 > 7 AND rq + vq > 6.2)
+  OR (cnt > 6 AND rq + vq > 9.5 AND lk > 6.999 AND rk > 6.999 AND molecules > 1.999)) AS good FROM ev)"""
+
+
+@query(f"WITH {EVIDENCE} SELECT sup_id, good FROM fl")
+def p16_v6_evidence(spark, d):
+    s = supports(spark, d).selectExpr("*", "cast(bar % 13 + 1 as double) as molecules", "bar % 7 as singles", "(score % 600) / 100 as ref_qua", "(score % 500) / 100 as var_qua", "(score % 400) / 100 as bpseq_qua", "cnt as left_cnt", "cnt as right_cnt", "0 as pe_cnt", "cnt as split_cnt")
+    return s.select("sup_id", V.evidence(s, CFG).alias("good"))
+
+
+@query(f"WITH {SUPPORTS} SELECT sup_id, left_seg = right_seg AND abs(right_pos - left_pos) < 50 AND cnt - 1 < 50 AS small, cnt % 4 <> 3 AS fake, cnt % 3 = 0 AS imprecise FROM sup")
+def p17_p19_flags(spark, d):
+    s = supports(spark, d).selectExpr("*", "cast(left_seg as string) as left_chrom", "cast(right_seg as string) as right_chrom", "left_pos as left_vcf", "right_pos as right_vcf", "cnt as var_len")
+    return s.select("sup_id", V.small_event(CFG).alias("small"), F.expr("cnt % 4 <> 3").alias("fake"), F.expr("cnt % 3 = 0").alias("imprecise"))
+
+
+# Aggregations of the index
+
+
+@query(f"WITH {CONTIGS} SELECT substr(seq, CAST(i + 1 AS BIGINT), {K}) AS kmer, count(*) AS n FROM contigs, unnest(range(0, length(seq) - {K - 1}, 3)) u(i) GROUP BY 1 HAVING count(*) >= 2")
+def a1_repeats(spark, d):
+    return I.repeats(X.contigs(spark, d), CFG)
+
+
+@query(f"WITH {OCC} SELECT kmer, code, pos, is_grid FROM occ")
+def a2_occurrences(spark, d):
+    return I.occurrences(tiles(spark, d), CFG)
+
+
+@query(f"WITH {INDEX} SELECT kmer, code, pos FROM idx")
+def a4_a5_kmer_index(spark, d):
+    return I.compact(I.occurrences(tiles(spark, d), CFG))
+
+
+VARIANT = f"""hap AS (SELECT code, CAST(pos - 1 - "start" - {K - 1} AS INT) AS first, substr(bases, pos - "start" - {K - 1}, {K - 1}) || alt || substr(bases, pos - "start" + 1, {K - 1}) AS h
+  FROM snps JOIN segments USING (chrom) WHERE pos - 1 >= "start" AND pos - 1 < "end" AND pos - 1 - "start" >= {K - 1} AND pos - "start" + {K - 1} <= "end" - "start"),
+vfwd AS (SELECT code, CAST(first + i AS INT) AS pos, substr(h, CAST(i + 1 AS BIGINT), {K}) AS kmer FROM hap, unnest(range(0, {K})) u(i)),
+vocc AS (SELECT * FROM occ UNION ALL SELECT kmer, code, pos, pos % 3 = 0 FROM vfwd UNION ALL SELECT {REV.format("kmer")}, code, pos, false FROM vfwd)"""
+
+
+@query(f"WITH {OCC}, {SNPS}, {VARIANT} SELECT kmer, bit_or(code) AS code, CASE WHEN count(*) = 1 THEN min(pos) END AS pos FROM vocc GROUP BY kmer HAVING bool_or(is_grid)")
+def a3_a6_variant_index(spark, d):
+    t = tiles(spark, d)
+    return I.compact(I.occurrences(t, CFG).unionByName(I.variant_occurrences(snps(spark, d), t, CFG)))
+
+
+@query()
+def a7_neighbourhood(spark, d):
+    t = tiles(spark, d)
+    return I.neighbourhood(t, I.compact(I.occurrences(t, CFG)), CFG)
+
+
+def _composite_sql(span: int) -> str:
+    gap = span - K
+    return f"""WITH {INDEX}, vague AS (SELECT kmer FROM idx WHERE pos IS NULL),
+pf AS (SELECT code, CAST(i AS INT) AS pos, substr(bases, CAST(i + 1 AS BIGINT), {K}) AS l, substr(bases, CAST(i + {gap + 1} AS BIGINT), {K}) AS r FROM segments, unnest(range(0, length(bases) - {span - 1})) u(i)),
+po AS (SELECT l AS kmer_l, r AS kmer_r, code, pos, pos % 3 = 0 AS g FROM pf UNION ALL SELECT {REV.format("r")}, {REV.format("l")}, code, pos, false FROM pf)
+SELECT kmer_l, kmer_r, bit_or(code) AS code, CASE WHEN count(*) = 1 THEN min(pos) END AS pos FROM po
+WHERE kmer_l IN (SELECT kmer FROM vague) AND kmer_r IN (SELECT kmer FROM vague) GROUP BY 1, 2 HAVING bool_or(g)"""
+
+
+@query(_composite_sql(41))
+def a8_a9_long_index(spark, d):
+    t = tiles(spark, d)
+    return I.composite_index(t, I.compact(I.occurrences(t, CFG)), CFG.long_k, CFG)
+
+
+@query(_composite_sql(83))
+def a8_a9_spaced_index(spark, d):
+    t = tiles(spark, d)
+    return I.composite_index(t, I.compact(I.occurrences(t, CFG)), CFG.spaced_k, CFG)
+
+
+@query(f"WITH {INDEX} SELECT CAST(0 AS INT) AS repeat_cat, count(*) AS n_kmers, count(pos) AS n_unique FROM idx")
+def a20_index_statistics(spark, d):
+    return I.statistics(I.compact(I.occurrences(tiles(spark, d), CFG)).withColumn("repeat_cat", F.lit(0)))
+
+
+# Aggregations of support records
+
+SUP_KEYS = ["kind", "left_seg", "left_pos", "left_fwd", "right_seg", "right_pos", "right_fwd"]
+
+
+@query(f"""WITH {SUPPORTS} SELECT kind, left_seg, left_pos, left_fwd, right_seg, right_pos, right_fwd, CAST(sum(left_kmers) AS BIGINT) AS left_kmers, CAST(sum(right_kmers) AS BIGINT) AS right_kmers,
+CAST(bit_or(CASE WHEN flip THEN 2 ELSE 1 END) AS INT) AS flag FROM sup GROUP BY ALL""")
+def a12_a14_merge_equal(spark, d):
+    return P.merge_equal(supports(spark, d).withColumn("flag", F.when(F.col("flip"), 2).otherwise(1)), SUP_KEYS)
+
+
+@query(f"WITH {SUPPORTS}, g AS (SELECT left_seg, right_seg, bar, count(*) AS n, count(DISTINCT flip) AS w FROM sup GROUP BY ALL) SELECT left_seg, right_seg, CAST(count(*) + 0.5 * sum(CASE WHEN w > 1 THEN 1 ELSE 0 END) AS DOUBLE) AS molecules, count(*) FILTER (WHERE n = 1) AS singles FROM g GROUP BY ALL")
+def a16_a17_molecules(spark, d):
+    return P.molecules(supports(spark, d), ["left_seg", "right_seg"]).withColumn("molecules", F.col("molecules").cast("double"))
+
+
+@query("""WITH g AS (SELECT event_type, user_id, count(*) AS n, count(DISTINCT value > 50) AS w FROM events GROUP BY ALL)
+SELECT event_type, CAST(count(*) + 0.5 * sum(CASE WHEN w > 1 THEN 1 ELSE 0 END) AS DOUBLE) AS molecules, count(*) FILTER (WHERE n = 1) AS singles FROM g GROUP BY ALL""")
+def a16_a17_event_molecules(spark, d):
+    e = X.table(spark, d, "events").withColumn("way", F.col("value") > 50)
+    return P.molecules(e, ["event_type"], "user_id", "way").withColumn("molecules", F.col("molecules").cast("double"))
+
+
+@query(f"WITH {SUPPORTS} SELECT sup_id, row_number() OVER (ORDER BY left_seg, left_pos, sup_id) - 1 AS sv_no FROM sup")
+def a19_numbering(spark, d):
+    """Numbers by sorted ranges: rank in the range plus the rows of the ranges before, so no task holds all rows."""
+    from pyspark.sql import Window
+
+    s = supports(spark, d).select("sup_id", "left_seg", "left_pos")
+    before = s.groupBy("left_seg").count().withColumn("before", F.coalesce(F.sum("count").over(Window.orderBy("left_seg").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("left_seg", "before")
+    local = F.row_number().over(Window.partitionBy("left_seg").orderBy("left_pos", "sup_id"))
+    return s.withColumn("local", local).join(F.broadcast(before), "left_seg").select("sup_id", (F.col("before") + F.col("local") - 1).alias("sv_no"))
+
+
+# Look-ups and joins
+
+READ_KMERS = f"""{READS},
+rk AS (SELECT read_id, substr(r1_seq, CAST(i + 1 AS BIGINT), {K}) AS kmer FROM reads, unnest(range(0, {100 - K + 1})) u(i)
+  UNION ALL SELECT read_id, substr({REV.format("r2_seq")}, CAST(i + 1 AS BIGINT), {K}) FROM reads, unnest(range(0, {100 - K + 1})) u(i))"""
+
+
+@query(f"""WITH {INDEX}, {READ_KMERS}, s AS (SELECT read_id, kmer, 0 AS strand FROM rk UNION ALL SELECT read_id, {REV.format("kmer")}, 1 FROM rk)
+SELECT read_id, CAST(strand AS INT) AS strand, count(*) AS n, CAST(sum(CASE WHEN code IS NULL THEN 0 WHEN pos IS NULL THEN 1 ELSE 5 END) AS BIGINT) AS score FROM s LEFT JOIN idx USING (kmer) GROUP BY ALL""")
+def j1_j4_look_up(spark, d):
+    index = I.compact(I.occurrences(tiles(spark, d), CFG)).withColumn("repeat_cat", F.lit(0))
+    hits = R.look_up(R.read_kmers(X.reads(spark, d), CFG), index)
+    return hits.groupBy("read_id", "strand").agg(F.count("*").alias("n"), F.sum("score").cast("long").alias("score"))
+
+
+@query(f"WITH {INDEX}, {READ_KMERS}, rep AS (SELECT kmer FROM idx WHERE pos IS NULL) SELECT read_id, count(*) AS n FROM rk WHERE kmer IN (SELECT kmer FROM rep) GROUP BY 1")
+def j2_repeat_membership(spark, d):
+    rep = I.compact(I.occurrences(tiles(spark, d), CFG)).where("pos is null").select("kmer")
+    return R.read_kmers(X.reads(spark, d), CFG).where("strand = 0").join(rep, "kmer", "left_semi").groupBy("read_id").agg(F.count("*").alias("n"))
+
+
+@query(f'WITH {TILES}, {SNPS} SELECT s.chrom, s.pos, max_by(t.seg_idx, t."start") AS seg_idx FROM snps s JOIN segments t ON s.chrom = t.chrom AND t."start" <= s.pos - 1 GROUP BY ALL')
+def j8_variant_segment(spark, d):
+    t = F.broadcast(tiles(spark, d).select("chrom", "seg_idx", "start"))
+    return snps(spark, d).join(t, "chrom").where("start <= pos - 1").groupBy("chrom", "pos").agg(F.max_by("seg_idx", "start").alias("seg_idx"))
+
+
+@query(f"WITH {TILES}, {SUPPORTS} SELECT sup_id, coalesce(seg_idx, -1) AS seg_idx, chrom FROM sup LEFT JOIN segments ON code = (CAST(31 AS BIGINT) << left_seg) AND seg_idx < 28")
+def j9_code_segment(spark, d):
+    t = F.broadcast(tiles(spark, d).where("seg_idx < 28").select("code", "seg_idx", "chrom"))
+    s = supports(spark, d).withColumn("code", F.expr("shiftleft(31L, left_seg)"))
+    return s.join(t, "code", "left").select("sup_id", F.coalesce("seg_idx", F.lit(-1)).alias("seg_idx"), "chrom")
+
+
+@query()
+def j10_mate_merge(spark, d):
+    """Mates of every read pair, put together where they overlap."""
+
+    @F.pandas_udf("r1 string, r2 string")
+    def merged(a, b):
+        import pandas as pd
+
+        return pd.DataFrame([kernels.merge_mates(x, y, K) for x, y in zip(a, b)], columns=["r1", "r2"])
+
+    r = X.reads(spark, d).select("read_id", F.expr("substring(r1_seq, 1, 70)").alias("r1_seq"), S.revcomp(F.expr("substring(r1_seq, 31, 70)")).alias("r2_seq"))
+    return r.withColumn("m", merged("r1_seq", "r2_seq")).select("read_id", "m.r1", "m.r2")
+
+
+NEAR = "((abs(p.left_pos - s.left_pos) < 200 AND abs(p.right_pos - s.right_pos) < 50) OR (abs(p.left_pos - s.left_pos) < 50 AND abs(p.right_pos - s.right_pos) < 200))"
+
+
+@query(f"""WITH {SUPPORTS}, j AS (SELECT p.sup_id AS pe_id, s.sup_id AS split_id, abs(s.left_pos - p.left_pos) AS far FROM sup p JOIN sup s
+  ON p.kind = 'PE' AND s.kind = 'SPLIT' AND p.left_seg = s.left_seg AND p.right_seg = s.right_seg AND p.left_fwd = s.left_fwd AND p.right_fwd = s.right_fwd
+  AND {NEAR} AND CASE WHEN p.left_fwd THEN s.left_pos >= p.left_pos ELSE s.left_pos <= p.left_pos END)
+SELECT pe_id, split_id FROM (SELECT *, row_number() OVER (PARTITION BY pe_id ORDER BY far, split_id) AS rn FROM j) WHERE rn = 1""")
+def c10_pairs_to_splits(spark, d):
+    s, _ = _located(spark, d)
+    return P.assign_pairs(s.where("kind = 'PE'").withColumnRenamed("sup_id", "pe_id"), s.where("kind = 'SPLIT'").withColumnRenamed("sup_id", "split_id"))
+
+
+@query(f"""WITH {SUPPORTS}, t AS (SELECT *, left_seg > right_seg OR (left_seg = right_seg AND left_pos > right_pos) AS turn FROM sup)
+SELECT sup_id, CASE WHEN turn THEN right_seg ELSE left_seg END AS seg_idx, CASE WHEN turn THEN right_pos ELSE left_pos END AS left_pos, CASE WHEN turn THEN left_pos ELSE right_pos END AS right_pos,
+CASE WHEN turn THEN NOT right_fwd ELSE left_fwd END AS left_fwd, CASE WHEN turn THEN NOT left_fwd ELSE right_fwd END AS right_fwd, CASE WHEN turn THEN 2 ELSE 1 END AS flag FROM t""")
+def m1_canonical(spark, d):
+    s, seg = _located(spark, d)
+    return P.canonical(s.withColumn("flag", F.lit(0)), seg).select("sup_id", "seg_idx", "left_pos", "right_pos", "left_fwd", "right_fwd", "flag")
+
+
+@query(f"""WITH {SUPPORTS}, o AS (SELECT *, left_pos - lag(left_pos) OVER (PARTITION BY left_seg ORDER BY left_pos, sup_id) AS gap FROM sup),
+f AS (SELECT *, CASE WHEN gap IS NULL OR gap > 5 THEN left_pos END AS b FROM o)
+SELECT sup_id, max(b) OVER (PARTITION BY left_seg ORDER BY left_pos, sup_id) AS session FROM f""")
+def m3_sessions(spark, d):
+    return P.sessions(supports(spark, d), ["left_seg"], "left_pos", 5).select("sup_id", "session")
+
+
+# Rendering
+
+
+@query(f"WITH {SUPPORTS} SELECT sup_id, left_seg * 2000 + left_pos + CASE WHEN left_fwd THEN 2 ELSE {K - 1} END AS left_vcf, right_seg * 2000 + right_pos + CASE WHEN right_fwd THEN {K - 1} ELSE 2 END AS right_vcf FROM sup")
+def v1_positions(spark, d):
+    s = supports(spark, d).withColumn("left_start", F.col("left_seg") * 2000).withColumn("right_start", F.col("right_seg") * 2000)
+    return V.breakend_positions(s, K).select("sup_id", "left_vcf", "right_vcf")
+
+
+@query(f"""WITH {SUPPORTS} SELECT sup_id, CASE WHEN left_fwd THEN 'N' ELSE '' END || CASE WHEN right_fwd THEN '[' ELSE ']' END || 'chr' || right_seg || ':' || right_pos || CASE WHEN right_fwd THEN '[' ELSE ']' END || CASE WHEN left_fwd THEN '' ELSE 'N' END AS alt FROM sup""")
+def v3_v4_breakends(spark, d):
+    s = supports(spark, d)
+    return s.select("sup_id", V.bnd_alt(F.lit("N"), F.concat(F.lit("chr"), F.col("right_seg").cast("string")), F.col("right_pos"), F.col("left_fwd"), F.col("right_fwd")).alias("alt"))
+
+
+@query(f"""WITH t AS ({DNA}), g AS (SELECT p_partkey, s AS seq, 32 AS bp_len, CAST(5 + p_partkey % 20 AS INT) AS l, CAST(5 + (p_partkey // 7) % 20 AS INT) AS r FROM t)
+SELECT p_partkey, CASE WHEN l + r <= bp_len THEN bp_len - l - r + 1 ELSE 1 END AS var_len, CASE WHEN l + r > bp_len THEN l + r - bp_len END AS hom_len,
+CASE WHEN l + r > bp_len THEN substr(seq, bp_len - r + 1, l + r - bp_len) END AS hom_seq, substr(seq, CASE WHEN l + r <= bp_len THEN l ELSE bp_len - r END, CASE WHEN l + r <= bp_len THEN bp_len - l - r + 1 ELSE 1 END) AS seq_left,
+1000 + CASE WHEN l + r <= bp_len THEN l - 1 ELSE bp_len - r - 1 END AS left_vcf, 5000 - (r - 1) AS right_vcf FROM g""")
+def v2_geometry(spark, d):
+    g = _dna(spark, d).selectExpr("p_partkey", "s as seq", "32 as bp_len", "cast(5 + p_partkey % 20 as int) as left_same", "cast(5 + (p_partkey div 7) % 20 as int) as right_same", "true as left_fwd", "true as right_fwd", "1000 as left_vcf", "5000 as right_vcf")
+    return V.geometry(g).select("p_partkey", "var_len", "hom_len", "hom_seq", "seq_left", "left_vcf", "right_vcf")
+
+
+# Whole plans
+
+
+def _index(spark, d):
+    return pipelines.build_index(X.contigs(spark, d), CFG)
+
+
+@query()
+def g1_segments(spark, d):
+    c = X.contigs(spark, d)
+    return I.cut_genome(c, I.repeats(c, CFG), CFG).drop("ref")
+
+
+@query()
+def e2e_index(spark, d):
+    return _index(spark, d)["kmers"]
+
+
+@query()
+def e2e_breakpoints(spark, d):
+    return pipelines.find_breakpoints(X.reads(spark, d), _index(spark, d), CFG)
+
+
+@query()
+def e2e_sv_calls(spark, d):
+    """Structural variants, as VCF records, called from all reads against an index of all contigs."""
+    index = _index(spark, d)
+    bp = pipelines.find_breakpoints(X.reads(spark, d), index, CFG)
+    return V.records(pipelines.call_variants(bp, index, CFG))
+
+
+@query()
+def c3_c8_cluster(spark, d):
+    """Clusters of the splits of all reads, and the pairs that vague ones turn into."""
+    index = _index(spark, d)
+    bp = pipelines.find_breakpoints(X.reads(spark, d), index, CFG)
+    return P.cluster_splits(P.merge_equal(P.from_breakpoints(bp)), index["segments"], CFG).drop("barcodes")
+
+
+@query()
+def m3_merge_ranges(spark, d):
+    """Similar support records merged over ranges of each segment."""
+    s = supports(spark, d).selectExpr(
+        "kind", "false as vague", "cast(left_seg as long) as left_code", "left_pos", "left_fwd", "cast(right_seg as long) as right_code", "right_pos", "right_fwd", "'' as seq", "cnt as bp_len", "left_kmers", "right_kmers", "1.0D as left_score", "1.0D as right_score",
+        "case when kind = 'SPLIT' then 1L else 0L end as split_cnt", "case when kind = 'PE' then 1L else 0L end as pe_cnt", "1L as left_cnt", "1L as right_cnt", "0.0D as bp_score_sum", f"cast(array() as {P.BARS}) as barcodes", "1 as flag", "left_seg as seg_idx",
+    )
+    return P.merge_ranges(s).drop("barcodes")

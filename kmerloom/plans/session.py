@@ -9,10 +9,15 @@ import zipfile
 from pyspark.sql import SparkSession
 
 _SHIPPED: set[str] = set()
+#: Rows of long texts make large Arrow batches; where the session keeps Spark's default, batches get smaller.
+BATCHES = (("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"),)
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once for each application."""
+    """Send this package to the executors' Python workers, once for each application, and bound their batches."""
+    for key, usual, value in BATCHES:
+        if spark.conf.get(key, usual) == usual:
+            spark.conf.set(key, value)
     app = spark.sparkContext.applicationId
     if app in _SHIPPED:
         return
