@@ -32,7 +32,7 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     """The document with the smallest id of each group of near copies: five-word shingles, Jaccard 0.8 or more."""
     ship(spark)
     docs = docs.select(COLUMNS)
-    gone = ngram_join.ngram_join(docs, 5, 80).where("doc_id <> component_id").select("doc_id").distinct()
+    gone = ngram_join.ngram_join(docs, 5, 80, screen=True).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone, "doc_id", "left_anti").select(COLUMNS)
 
 

@@ -23,6 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .tables import map_batches
 
 REPEATS = 12
 SAMPLES = 6
@@ -212,7 +213,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -
     if not blocks:
         out = base.select(F.col("doc_id").cast("long").alias("doc_id"), F.expr("cast(array() as array<long>)").alias("items"), F.expr("cast(array() as array<long>)").alias("distances"))
     else:
-        out = base.mapInArrow(_all(blocks, ratio), schema)
+        out = map_batches(base, _all(blocks, ratio), schema)
     return out.withColumn("contaminated", F.size("items") > 0)
 
 
@@ -246,4 +247,4 @@ def _clean(blocks, ratio):
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, ratio: float = RATIO) -> DataFrame:
     """The rows of ``docs`` that hold no item, with all their columns."""
     blocks = _blocks(benchmark)
-    return docs.mapInArrow(_clean(blocks, ratio), docs.schema) if blocks else docs
+    return map_batches(docs, _clean(blocks, ratio), docs.schema) if blocks else docs

@@ -7,9 +7,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import kernels as K
-from .tables import grouped, in_blocks
+from .tables import grouped, paired
 
-FAMILY_TOKENS = 4_000_000
+FAMILY_TOKENS = 1_000_000
 BITMAP_WORDS = 16
 
 
@@ -17,11 +17,22 @@ def raw_tokens(members: list[bytes]) -> list[np.ndarray]:
     return [np.frombuffer(x, K.U) for x in members]
 
 
-def _bitmap(x: np.ndarray) -> np.ndarray:
-    bits = np.bincount((x >> K.U(7)).astype(np.int64) & (64 * BITMAP_WORDS - 1), minlength=64 * BITMAP_WORDS) & 1
+def _bitmap(x: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
+    """Parity of the tokens in each of 64 * words cells (a power of two): sets differ in at least as many as bitmaps do."""
+    bits = np.bincount((x >> K.U(7)).astype(np.int64) & (64 * words - 1), minlength=64 * words) & 1
     return np.packbits(bits.astype(np.uint8)).view(K.U)
 
 
+def bitmap_words(n: int) -> int:
+    """Words for a set of n tokens: at least as many cells as tokens."""
+    return max(BITMAP_WORDS, 1 << (n // 64).bit_length())
+
+
+def folded(x: np.ndarray, words: int) -> np.ndarray:
+    """A bitmap as one of fewer words."""
+    return np.bitwise_xor.reduce(x.reshape(-1, words), axis=0)
+
+
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, fragment: int = 4096) -> np.ndarray:
     """Overlap of each pair (a[i], b[i]): partial counts by fragment of the n-gram order, summed."""
     if sum(map(len, sets)) <= fragment and len(a) <= 64:  # all in one fragment: sorted sets are merged
@@ -145,14 +156,13 @@ def _kernel(pct: int, decode):
     return kernel
 
 
-def family_links(members: DataFrame, pct: int, decode=raw_tokens, limit: int = FAMILY_TOKENS) -> DataFrame:
-    """``members(family, node, copies, n, tokens)`` -> ``(a, b, n)``: links of Jaccard >= pct/100 inside each family.
+def family_links(members: DataFrame, pct: int, decode=raw_tokens) -> DataFrame:
+    """``members(family, node, copies, tokens, blk, pairs)`` -> ``(a, b, n)``: links of Jaccard >= pct/100 inside each family.
 
     ``decode`` turns members' bytes into their sorted distinct 64-bit tokens. Pairs within the size ratio whose parity
     bitmaps differ in at most the allowed number of bits (a lower bound of the set difference, so no link is lost) are
     counted exactly. A row names a node, a node that it is linked with directly or through others, and the copies of
-    its direct partners within one pair of blocks; rows of a node are to be summed. A family of over ``limit`` tokens
-    is dealt over pairs of blocks.
+    its direct partners within one pair of blocks; rows of a node are to be summed. ``blk`` and ``pairs`` come from
+    ``dealt`` with about FAMILY_TOKENS tokens a block.
     """
-    dealt = in_blocks(members, ["family"], "node", "n", limit)
-    return grouped(dealt, ["family", "bi", "bj"], _kernel(pct, decode), "a long, b long, n long")
+    return grouped(paired(members), ["family", "bi", "bj"], _kernel(pct, decode), "a long, b long, n long")

@@ -23,6 +23,8 @@ from functools import lru_cache
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .tables import map_batches
+
 PAGES = 400
 EPOCHS = 12
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -338,4 +340,4 @@ def _work(model: dict):
 
 def extract(pages: DataFrame, model: dict | None = None) -> DataFrame:
     """(page_id, url, text, n_chars) for each row of ``pages(page_id, url, html)``."""
-    return pages.select("page_id", "url", "html").mapInArrow(_work(model or train()), "page_id long, url string, text string, n_chars long")
+    return map_batches(pages.select("page_id", "url", "html"), _work(model or train()), "page_id long, url string, text string, n_chars long")

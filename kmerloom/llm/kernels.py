@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -120,3 +122,29 @@ def char_hashes(codes: np.ndarray, w: int) -> np.ndarray:
             acc = acc[:n] * U(pow(base, have, 1 << 64)) + acc[have : have + n]
             have *= 2
     return mix(out[: max(0, len(codes) - w + 1)])
+
+
+def give_back() -> None:
+    """Return freed memory to the system, as Python workers are used again by other tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass
+
+
+def bounded(work, rows: int | None):
+    """``work`` on slices of at most ``rows`` rows, so that what it holds at a time does not depend on the batch size."""
+
+    def run(batches):
+        def slices():
+            for b in batches:
+                for i in range(0, b.num_rows, rows or max(1, b.num_rows)):
+                    yield b.slice(i, rows) if rows else b
+
+        try:
+            yield from work(slices())
+        finally:
+            give_back()
+
+    return run

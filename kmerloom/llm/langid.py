@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .quality import in_training
+from .tables import map_batches
 
 SAMPLE = 800
 SPAN = 3000
@@ -149,4 +150,4 @@ def _predict(model: dict):
 
 def predict(docs: DataFrame, model: dict) -> DataFrame:
     """(doc_id, lang_pred, score, rejected) of every row of ``docs(doc_id, text)``; the model is of fixed size."""
-    return docs.select("doc_id", "text").mapInArrow(_predict(model), "doc_id long, lang_pred string, score double, rejected boolean")
+    return map_batches(docs.select("doc_id", "text"), _predict(model), "doc_id long, lang_pred string, score double, rejected boolean")

@@ -22,6 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from .license_texts import TEMPLATES
+from .tables import map_batches
 
 MIN_COVERAGE = 0.8
 _WORDS = re.compile(r"[^\W_]+")
@@ -113,8 +114,9 @@ def scan(text: str, made: dict[str, list[str]], by_word: dict[str, list[tuple[st
     hits = []
     seen: dict[str, int] = {}
     for name, lo, hi in sorted(regions):
-        if lo < seen.get(name, 0):
-            continue  # inside a full hit of the same template
+        lo = max(lo, seen.get(name, 0))  # past a full hit of the same template
+        if hi - lo < least * len(made[name]):
+            continue
         pairs = patience(words[lo:hi], made[name])
         cover = len(pairs) / len(made[name])
         if cover >= least:
@@ -148,4 +150,4 @@ def _work(templates: dict[str, str], least: float):
 
 def license_scan(docs: DataFrame, templates: dict[str, str] = TEMPLATES, least: float = MIN_COVERAGE) -> DataFrame:
     """(doc_id, license, coverage, n_hits, hits array<struct>) for each row of ``docs(doc_id, text)``; license: of the best hit."""
-    return docs.select("doc_id", "text").mapInArrow(_work(templates, least), "doc_id long, license string, coverage double, n_hits int, hits array<struct<license:string,coverage:double,start:long,end:long>>")
+    return map_batches(docs.select("doc_id", "text"), _work(templates, least), "doc_id long, license string, coverage double, n_hits int, hits array<struct<license:string,coverage:double,start:long,end:long>>")

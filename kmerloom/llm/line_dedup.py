@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .families import family_links
-from .tables import components, cut, thin
+from .families import FAMILY_TOKENS, family_links
+from .tables import components, cut, dealt, map_batches, release, thin
 
 SHINGLE = 10
 BANDS = 10
@@ -78,7 +78,7 @@ def _occurrences(w: int, bands: int, rows: int):
             raw, off = K.text_bytes(b.column("text"))
             ids = b.column("doc_id").to_numpy()
             for i, j in K.portions(off, 1 << 19):
-                doc, no, digest, fresh, ends, total = [], [], [], [], [0], []
+                doc, no, size, digest, fresh, ends, total = [], [], [], [], [], [0], []
                 for r in range(i, j):
                     at = len(doc)
                     for k, line in enumerate(raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace").split("\n")):
@@ -86,6 +86,7 @@ def _occurrences(w: int, bands: int, rows: int):
                             d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                             doc.append(r)
                             no.append(k)
+                            size.append(len(line))
                             digest.append(d)
                             if d not in seen:
                                 if len(seen) >= SEEN:
@@ -99,27 +100,31 @@ def _occurrences(w: int, bands: int, rows: int):
                 keys = signatures(fresh, w, bands, rows).ravel() if fresh else np.zeros(0, np.int64)
                 h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc], pa.int64()), pa.array(no, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)), pa.array(total, pa.int32())],
-                    names=["doc_id", "line_no", "h1", "h2", "bands", "n_lines"],
+                    [pa.array(ids[doc], pa.int64()), pa.array(no, pa.int32()), pa.array(size, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)), pa.array(total, pa.int32())],
+                    names=["doc_id", "line_no", "size", "h1", "h2", "bands", "n_lines"],
                 )
 
     return work
 
 
+MEMBERS = "family long, node long, copies long, tokens binary, blk int, pairs array<struct<bi:int,bj:int>>"
+_PAIRS = pa.list_(pa.struct([("bi", pa.int32()), ("bj", pa.int32())]))
+
+
 def _texts(batches):
-    """(family, node, copies, n, tokens) of the wanted lines; tokens: the line's bytes."""
+    """The wanted lines as members of families; tokens: the line's bytes."""
     for b in batches:
         out = []
         for text, wanted in zip(b.column("text"), b.column("wanted")):
             lines = (text.as_py() or "").split("\n")
             for x in wanted.as_py():
                 if x["line_no"] < len(lines) and (line := normal(lines[x["line_no"]])):
-                    d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                    if int.from_bytes(d[:8], "little", signed=True) == x["h1"]:
-                        out.append((x["family"], x["h1"], 1, len(line), line.encode("utf-8", "surrogatepass")))
+                    raw = line.encode("utf-8", "surrogatepass")
+                    if int.from_bytes(hashlib.blake2b(raw, digest_size=16).digest()[:8], "little", signed=True) == x["h1"]:
+                        out.append((x["family"], x["h1"], 1, raw, x["blk"], x["pairs"]))
         if out:
-            cols = list(zip(*out))
-            yield pa.RecordBatch.from_arrays([*(pa.array(c, pa.int64()) for c in cols[:4]), pa.array(cols[4], pa.binary())], names=["family", "node", "copies", "n", "tokens"])
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), _PAIRS)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["family", "node", "copies", "tokens", "blk", "pairs"])
 
 
 def _decode(w: int):
@@ -138,16 +143,18 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
     says how many of them have no equal line that comes before them and go for a similar one.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    where = cut(docs.mapInArrow(_occurrences(w, bands, rows), "doc_id long, line_no int, h1 long, h2 long, bands array<long>, n_lines int"))
+    where = cut(map_batches(docs, _occurrences(w, bands, rows), "doc_id long, line_no int, size int, h1 long, h2 long, bands array<long>, n_lines int"))
     here = where.select("doc_id", "line_no", "h1", "h2")
-    lines = cut(here.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows")))
-    keys = where.select("h1", F.explode("bands").alias("band")).repartition("band")
+    lines = cut(where.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"), F.max("size").alias("size")))
+    # The conditions that the join would add are stated before the exchange, so that both reads of it are one exchange.
+    keys = where.select("h1", F.explode("bands").alias("band")).where("h1 is not null and band is not null").repartition("band")
     buckets = keys.groupBy("band").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("band", "a")
     star = keys.join(buckets.hint("shuffle_hash"), "band").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct()
     family = components(star).select(F.col("node").alias("h1"), F.col("component").alias("family"))
-    wanted = cut(family.join(lines, "h1").groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "family")).alias("wanted")))
-    texts = cut(thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("text", "wanted").mapInArrow(_texts, "family long, node long, copies long, n long, tokens binary"))
-    links = family_links(texts, pct, _decode(w))
+    members = dealt(family.join(lines, "h1"), ["family"], "h1", "size", FAMILY_TOKENS)
+    wanted = cut(members.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "family", "blk", "pairs")).alias("wanted")))
+    texts = thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("text", "wanted")
+    links = cut(family_links(map_batches(texts, _texts, MEMBERS), pct, _decode(w)))
     united = components(links.select("a", "b")).withColumnRenamed("node", "h1")
     joined = cut(lines.join(united, "h1").select("h1", "h2", "first", "component"))
     kept = joined.groupBy("component").agg(F.min("first").alias("kept"))
@@ -162,7 +169,10 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
         .agg(F.countDistinct(F.when(at == F.col("first"), F.col("line_no"))).cast("int").alias("n_near"), F.array_sort(F.collect_set("line_no")).alias("dropped"))
     )
     total = where.where("n_lines is not null").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
-    return total.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped"))
+    result = cut(total.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped")))
+    for done in (where, lines, wanted, links, joined):
+        release(done)
+    return result
 
 
 def _without(batches):
@@ -179,4 +189,4 @@ def _without(batches):
 def without_lines(docs: DataFrame, decisions: DataFrame) -> DataFrame:
     """``docs`` with the dropped lines taken out of ``text``; columns as before, ``n_lines`` and ``dropped`` added."""
     both = docs.drop("n_lines", "dropped").join(decisions.select("doc_id", "n_lines", "dropped"), "doc_id", "left")
-    return both.mapInArrow(_without, both.schema)
+    return map_batches(both, _without, both.schema)

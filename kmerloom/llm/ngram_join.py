@@ -30,8 +30,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .families import family_links
-from .tables import components, cut, thin
+from .families import FAMILY_TOKENS, _bitmap, bitmap_words, family_links, folded
+from .tables import components, cut, dealt, map_batches, release, thin
 
 RATIO = 1.5
 
@@ -65,7 +65,7 @@ def segments(x: np.ndarray, c: int, u: int, pct: int) -> np.ndarray:
     return key[np.lexsort((key, size))[slack:]]
 
 
-def _shown(w: int, pct: int):
+def _shown(w: int, pct: int, screen: bool):
     classes = np.array(size_classes(pct))
 
     def work(batches):
@@ -74,7 +74,7 @@ def _shown(w: int, pct: int):
             ids = b.column("doc_id")
             for i, j in K.portions(off):
                 h, _, _, first = K.words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                n, h1, h2, keys, ends, shown = [], [], [], [], [0], 0
+                n, h1, h2, keys, ends, shown, bits = [], [], [], [], [0], 0, []
                 for x in K.shingles(h, first, w):
                     n.append(len(x))
                     h1.append(int(K.mix(x, 1).sum(dtype=K.U).astype(np.int64)))
@@ -84,65 +84,104 @@ def _shown(w: int, pct: int):
                         keys.append(segments(x, c, int(classes[c]), pct))
                         if 100 * len(x) >= pct * (int(classes[c]) + 1):
                             keys.append(segments(x, c + 1, int(classes[c + 1]), pct))
+                    if screen:
+                        bits.append(_bitmap(x, bitmap_words(len(x))))
                     ends.append(ends[-1] + sum(map(len, keys[shown:])))
                     shown = len(keys)
                 flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))],
-                    names=["doc_id", "n_shingles", "h1", "h2", "keys"],
-                )
+                at = np.cumsum([0, *map(len, bits)]) if screen else np.zeros(j - i + 1)
+                maps = np.concatenate(bits).view(np.int64) if bits else np.zeros(0, np.int64)
+                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in ((ends, flat), (at, maps))]
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *lists], names=["doc_id", "n_shingles", "h1", "h2", "keys", "bits"])
 
     return work
 
 
+MEMBERS = "family long, node long, copies long, tokens binary, blk int, pairs array<struct<bi:int,bj:int>>"
+
+
 def _sets(w: int):
-    """Rows of (family, doc_id, n, tokens) for documents that belong to a family, if their set is the expected one."""
+    """Members of families with the tokens of their sets, where a row's set is the expected one."""
 
     def work(batches):
         for b in batches:
             raw, off = K.text_bytes(b.column("text"))
-            fam, ids, want = b.column("family").to_numpy(), b.column("doc_id").to_numpy(), b.column("h1").to_numpy()
-            copies = b.column("copies").to_numpy()
+            want = b.column("h1").to_numpy()
             for i, j in K.portions(off):
                 h, _, _, first = K.words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                keep, rows = [], []
+                keep, tokens = [], []
                 for r, x in zip(range(i, j), K.shingles(h, first, w)):
                     if int(K.mix(x, 1).sum(dtype=K.U).astype(np.int64)) == want[r]:
                         keep.append(r)
-                        rows.append(x)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(fam[keep], pa.int64()), pa.array(ids[keep], pa.int64()), pa.array(copies[keep], pa.int64()), pa.array([len(x) for x in rows], pa.int64()), pa.array([x.tobytes() for x in rows], pa.binary())],
-                    names=["family", "node", "copies", "n", "tokens"],
-                )
+                        tokens.append(x.tobytes())
+                at = pa.array(keep, pa.int64())
+                family, node, copies, blk, pairs = (b.column(c).take(at) for c in ("family", "doc_id", "copies", "blk", "pairs"))
+                yield pa.RecordBatch.from_arrays([family, node, copies, pa.array(tokens, pa.binary()), blk, pairs], names=["family", "node", "copies", "tokens", "blk", "pairs"])
 
     return work
 
 
-def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90) -> DataFrame:
+def _screen(pct: int):
+    def work(batches):
+        for t in batches:
+            na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
+            ok = 100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)
+            ba, bb = t.column("ba"), t.column("bb")
+            for r in np.flatnonzero(ok):
+                x, y = (c[int(r)].values.to_numpy().view(K.U) for c in (ba, bb))
+                words = min(len(x), len(y))
+                ok[r] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum() <= (100 - pct) * (na[r] + nb[r]) // (100 + pct)
+            yield t.select(["a", "b"]).filter(pa.array(ok))
+
+    return work
+
+
+def _screened(star: DataFrame, one: DataFrame, pct: int) -> DataFrame:
+    """Star links whose ends may be similar by their sizes and bitmaps."""
+    side = one.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "bits")).alias("m")).select("doc_id", "m.n_shingles", "m.bits")
+    both = star.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b")
+    return map_batches(both.select("a", "b", "na", "nb", "ba", "bb"), _screen(pct), "a long, b long")
+
+
+def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90, screen: bool = False) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id) for each row of ``docs(doc_id, text)``; links: Jaccard >= pct/100.
 
-    ``n_links`` is the number of other documents linked directly, copies included.
+    ``n_links`` is the number of other documents linked directly, copies included. At lower thresholds segments are
+    short, and a shared passage can chain unlike documents into one large family. ``screen`` then drops star links to a
+    bucket's two leaders (its smallest and largest id) that sizes and bitmaps rule out. A link between two members is
+    still found unless, in every bucket that they share, both leaders are unlike one of them; the tests count none lost.
     """
     docs = docs.select("doc_id", "text")
-    shown = cut(docs.mapInArrow(_shown(w, pct), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>"))
-    one = shown.select("doc_id", "n_shingles", "h1", "h2")
-    classes = cut(one.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies")))
-    reps = classes.select(F.col("rep").alias("doc_id"), "h1", "h2", "copies")
-    keys = shown.join(reps, ["doc_id", "h1", "h2"], "left_semi").select("doc_id", F.explode("keys").alias("key"))
-    keys = keys.repartition("key")
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z").select("key", "a")
-    star = keys.join(buckets.hint("shuffle_hash"), "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+    shown = cut(map_batches(docs, _shown(w, pct, screen), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>"))
+    one = cut(shown.select("doc_id", "n_shingles", "h1", "h2", "bits"))
+    classes = cut(one.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.max("n_shingles").alias("n")))
+    reps = classes.select(F.col("rep").alias("doc_id"), "h1", "h2", "copies", "n")
+    # Copies show the same segments as their representative, so they need no join of their own before this.
+    # The conditions that the join would add are stated before the exchange, so that both reads of it are one exchange.
+    keys = shown.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key")).where("key is not null").repartition("key")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
+    star = keys.join(buckets.hint("shuffle_hash"), "key")
+    if screen:
+        star = star.select(F.explode(F.array("a", "z")).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+        star = _screened(star, one, pct)
+    else:
+        star = star.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     family = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    wanted = cut(family.join(reps, "doc_id").select("doc_id", "family", "h1", "copies"))
-    sets = cut(thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("family", "doc_id", "h1", "copies", "text").mapInArrow(_sets(w), "family long, node long, copies long, n long, tokens binary"))
-    out = cut(family_links(sets, pct))
-    return _result(one, classes, out)
+    release(shown)
+    # Blocks are dealt on narrow rows; only then the texts are joined and their sets made, once.
+    wanted = cut(dealt(family.join(reps, "doc_id").select("doc_id", "family", "h1", "copies", "n"), ["family"], "doc_id", "n", FAMILY_TOKENS))
+    texts = thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("family", "doc_id", "h1", "copies", "blk", "pairs", "text")
+    out = cut(family_links(map_batches(texts, _sets(w), MEMBERS), pct))
+    result = cut(_result(one.drop("bits"), classes, out))
+    for done in (one, classes, wanted, out):
+        release(done)
+    return result
 
 
 def _result(one: DataFrame, classes: DataFrame, out: DataFrame) -> DataFrame:
     comp = components(out.select("a", "b")).withColumnRenamed("node", "rep")
     links = out.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
-    of = classes.join(comp, "rep", "left").join(links, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    of = classes.drop("n").join(comp, "rep", "left").join(links, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return one.join(of, ["h1", "h2"], "left").select(
         "doc_id",
         "n_shingles",

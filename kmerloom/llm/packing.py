@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, map_batches
 
 MAX_TOKENS = 2048
 BUCKETS = 16
@@ -55,7 +55,7 @@ def _count(path: str):
 
 
 def token_counts(docs: DataFrame, path: str | None = None) -> DataFrame:
-    return docs.select("doc_id", "text").mapInArrow(_count(path or vocabulary()), "doc_id long, n_tokens long")
+    return map_batches(docs.select("doc_id", "text"), _count(path or vocabulary()), "doc_id long, n_tokens long")
 
 
 def optimal_bounds(histogram: dict[int, int], k: int) -> list[int]:

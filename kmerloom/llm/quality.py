@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
+from .tables import map_batches
 
 SAMPLE = 2500
 PIECES = 6
@@ -118,7 +119,7 @@ def _score(model: dict, threshold: float):
 
 def score(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """(doc_id, score, predicted, difference) of every row of ``docs(doc_id, text)``."""
-    return docs.select("doc_id", "text").mapInArrow(_score(model, threshold), "doc_id long, score double, predicted int, difference double")
+    return map_batches(docs.select("doc_id", "text"), _score(model, threshold), "doc_id long, score double, predicted int, difference double")
 
 
 def _keep(model: dict, threshold: float):
@@ -133,4 +134,4 @@ def _keep(model: dict, threshold: float):
 
 def keep_good(docs: DataFrame, model: dict, threshold: float = 0.3) -> DataFrame:
     """The rows of ``docs`` that are not rejected, with all their columns."""
-    return docs.mapInArrow(_keep(model, threshold), docs.schema)
+    return map_batches(docs, _keep(model, threshold), docs.schema)

@@ -20,7 +20,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import cut
+from .tables import cut, release
 
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{12,}"
@@ -174,6 +174,7 @@ def secret_scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
     found = cut(found_spans(docs.select("doc_id", "text")))
     frequency = text_frequencies(found)
     tested = cut(found.select("doc_id", "assign", "access", "hex", F.transform("runs", lambda r: _tested(r, frequency)).alias("tested")))
+    release(found)
     least = thresholds(tested, rate)
     passes = F.lit(False)
     if least:

@@ -1,49 +1,20 @@
-"""Scratch tables in the shared folder, distributed union-find, and block-split groups.
-
-Executors can be lost at any time, so lineage is cut only by Parquet tables in the folder named by
-``spark.checkpoint.dir``; where that is unset (tests), a folder under the SQL warehouse is used.
-"""
+"""Distributed union-find, block-split groups, and a Bloom filter as a join; lineage is cut by shared scratch tables."""
 
 from __future__ import annotations
 
-import uuid
-
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.scratch import cut, release
+from . import kernels as K
 
-def scratch_root(spark: SparkSession) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kmerloom_scratch"
-    return root.rstrip("/")
-
-
-def _path(spark: SparkSession, path: str):
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
+ROWS = 1000
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to a shared scratch table and read it back; the table goes when the JVM ends."""
-    spark = df.sparkSession
-    path = f"{scratch_root(spark)}/kmerloom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    fs, p = _path(spark, path)
-    fs.deleteOnExit(p)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._scratch_path = path
-    return out
-
-
-def release(df: DataFrame | None) -> None:
-    """Delete the scratch table behind a frame that :func:`cut` returned and nothing reads any more."""
-    path = getattr(df, "_scratch_path", None)
-    if path:
-        fs, p = _path(df.sparkSession, path)
-        fs.delete(p, True)
+def map_batches(df: DataFrame, work, schema, rows: int | None = ROWS) -> DataFrame:
+    """``mapInArrow`` on slices of at most ``rows`` rows."""
+    return df.mapInArrow(K.bounded(work, rows), schema)
 
 
 def _forest(batches):
@@ -79,14 +50,17 @@ def components(links: DataFrame, max_rounds: int = 64) -> DataFrame:
     a link are returned. Nulls and self links are ignored; an empty table gives an empty result.
     """
     e = links.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).where("hi <> lo")
-    edges, seen = cut(e.mapInArrow(_forest, "hi long, lo long").distinct()), None
+    edges, seen = cut(map_batches(e, _forest, "hi long, lo long").distinct()), None
     for _ in range(max_rounds):
         both = edges.select(F.col("hi").alias("u"), F.col("lo").alias("v")).unionByName(edges.select(F.col("lo").alias("u"), F.col("hi").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         up = both.join(low, "u").where("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo"))
         least = up.groupBy("hi").agg(F.min("lo").alias("m"))
         down = up.join(least, "hi").select(F.col("lo").alias("hi"), F.col("m").alias("lo")).where("hi <> lo")
-        after = cut(down.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct())
+        after = down.unionByName(least.select("hi", F.col("m").alias("lo"))).distinct()
+        if seen:  # stars have no more links than nodes, so the size is known: not one file for each shuffle partition
+            after = after.coalesce(8 + seen[0] // 500_000)
+        after = cut(after)
         now = tuple(after.agg(F.count("*"), F.sum(F.xxhash64("hi", "lo").cast("decimal(38,0)"))).first())
         release(edges)
         edges = after
@@ -111,22 +85,22 @@ def thin(df: DataFrame, keys: DataFrame, col: str, bits: int = 1 << 23) -> DataF
     return df.withColumn("_word", word).withColumn("_at", at).join(F.broadcast(marks), "_word").where("(shiftrightunsigned(_bits, _at) & 1) = 1").drop("_word", "_at", "_bits")
 
 
-def in_blocks(df: DataFrame, keys: list[str], id_col: str, weight: str | None, limit: int) -> DataFrame:
-    """Adds ``blk, bi, bj``: a group whose weight is over ``limit`` is dealt over blocks, one task per pair of blocks.
+def dealt(df: DataFrame, keys: list[str], id_col: str, weight: str | None, limit: int) -> DataFrame:
+    """Adds ``blk`` and ``pairs``: a group whose weight is over ``limit`` is dealt over blocks, one task for each pair of blocks.
 
-    Group members go to a block by the hash of their id; each block meets every block once as (bi, bj), bi <= bj, so
-    every pair of members meets in exactly one (bi, bj) and no task holds more than two blocks.
+    Members go to a block by the hash of their id; each block meets every block once as (bi, bj), bi <= bj, so every
+    pair of members meets in exactly one (bi, bj) and no task holds more than two blocks. ``pairs`` are those of a
+    member's block. Best used on narrow rows, before long columns are joined.
     """
     w = F.sum(weight) if weight else F.count("*")
-    sizes = df.groupBy(*keys).agg(F.ceil(w / F.lit(limit)).cast("int").alias("_k"))
-    return (
-        df.join(sizes, keys)
-        .withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("_k")).cast("int"))
-        .withColumn("_j", F.explode(F.sequence(F.lit(0), F.col("_k") - 1)))
-        .withColumn("bi", F.least("blk", "_j"))
-        .withColumn("bj", F.greatest("blk", "_j"))
-        .drop("_k", "_j")
-    )
+    sizes = df.groupBy(*keys).agg(F.greatest(F.lit(1), F.ceil(w / F.lit(limit))).cast("int").alias("_k"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda j: F.struct(F.least("blk", j).alias("bi"), F.greatest("blk", j).alias("bj")))
+    return df.join(sizes, keys).withColumn("blk", F.pmod(F.xxhash64(id_col), F.col("_k")).cast("int")).withColumn("pairs", pairs).drop("_k")
+
+
+def paired(df: DataFrame) -> DataFrame:
+    """One row for each of ``pairs``, as ``bi`` and ``bj``."""
+    return df.select("*", F.explode("pairs").alias("_p")).select("*", "_p.bi", "_p.bj").drop("pairs", "_p")
 
 
 def runs(batches, n_keys: int):
@@ -154,7 +128,7 @@ def runs(batches, n_keys: int):
 
 
 def grouped(df: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
-    """``kernel(table, bounds)`` over the groups of ``keys``; bounded by the limit given to :func:`in_blocks`."""
+    """``kernel(table, bounds)`` over the groups of ``keys``; bounded by the limit given to :func:`dealt`."""
     n = len(keys)
 
     def work(batches):
@@ -162,4 +136,4 @@ def grouped(df: DataFrame, keys: list[str], kernel, schema: str) -> DataFrame:
             yield from kernel(t, bounds)
 
     cols = [*keys, *[c for c in df.columns if c not in keys]]
-    return df.select(*cols).repartition(*keys).sortWithinPartitions(*keys).mapInArrow(work, schema)
+    return map_batches(df.select(*cols).repartition(*keys).sortWithinPartitions(*keys), work, schema, None)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .families import Links, link_batch
-from .tables import components, cut, grouped, in_blocks
+from .tables import components, cut, dealt, grouped, map_batches, paired
 
 LEAST = 0.98
 SAMPLE = 20_000
@@ -121,15 +121,15 @@ def vector_dedup(vectors: DataFrame, least: float = LEAST, sample: int = SAMPLE)
     classes = cut(keyed.where("e1 is not null").groupBy("e1", "e2").agg(F.min("vec_id").alias("rep"), F.countDistinct("vec_id").alias("copies"), F.first("label").alias("label"), F.first("embedding").alias("embedding")))
     classes = classes.withColumn("dim", F.size("embedding")).withColumn("group", F.xxhash64("label", "dim"))
     biggest = classes.groupBy("group").count().agg(F.max("count")).first()[0] or 0
-    width = int(min(16, max(8, np.log2(max(2, biggest)) - 3)))
+    width = int(min(16, max(1, np.log2(max(2, biggest)) - 3)))
     picked: dict[int, list] = {}
     for r in classes.orderBy(F.xxhash64("rep"), "rep").limit(sample).select("dim", "embedding").collect():
         picked.setdefault(r.dim, []).append(r.embedding)
     models = {d: learn(_unit(np.array(x), d), width) for d, x in picked.items()}
-    coded = classes.select("group", "dim", "rep", "copies", "embedding").mapInArrow(_coded(models, width), "group long, dim int, rep long, copies long, embedding array<double>, chunks array<long>")
+    coded = map_batches(classes.select("group", "dim", "rep", "copies", "embedding"), _coded(models, width), "group long, dim int, rep long, copies long, embedding array<double>, chunks array<long>")
     spread = coded.select("*", F.posexplode("chunks").alias("table", "chunk"))
-    dealt = in_blocks(spread, ["group", "table", "chunk"], "rep", None, BLOCK)
-    links = cut(grouped(dealt, ["group", "table", "chunk", "bi", "bj"], _compare(least), "a long, b long, n long"))
+    blocks = paired(dealt(spread, ["group", "table", "chunk"], "rep", None, BLOCK))
+    links = cut(grouped(blocks, ["group", "table", "chunk", "bi", "bj"], _compare(least), "a long, b long, n long"))
     comp = components(links.select("a", "b")).select(F.col("node").alias("rep"), "component")
     direct = links.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     of = classes.select("e1", "e2", "rep", "copies").join(comp, "rep", "left").join(direct, "rep", "left")
