@@ -1,6 +1,6 @@
 """Embedding near-dedup by iterative quantisation (ITQ), multi-index Hamming tables and reranking.
 
-Unit vectors are centred, projected on their principal axes and rotated so that the signs quantise them with the least
+Unit vectors are projected on their principal axes and rotated so that the signs quantise them with the least
 error (ITQ); the balanced signs are the code. Principal axes and rotations are learned from a bounded sample
 (``SAMPLE`` vectors, the first by a hash of vec_id); every vector is indexed. The code is cut into ``TABLES``
 substrings, one hash table each; the substrings widen with the logarithm of the number of vectors, with further
@@ -32,10 +32,13 @@ ITERATIONS = 30
 
 
 def itq(x: np.ndarray, bits: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Mean and projection (dim x bits) that quantise the unit vectors x; further rotations come from other seeds."""
-    mean = x.mean(0)
+    """Origin and projection (dim x bits) that quantise the unit vectors x; further rotations come from other seeds.
+
+    Directions are coded about the origin: about the mean, a sample of near copies would be split by its noise.
+    """
     dim = x.shape[1]
-    _, axes = np.linalg.eigh(np.cov(x - mean, rowvar=False).reshape(dim, dim) + 1e-12 * np.eye(dim))
+    mean = np.zeros(dim)
+    _, axes = np.linalg.eigh(x.T @ x / len(x) + 1e-12 * np.eye(dim))
     k = min(bits, dim)
     p = axes[:, ::-1][:, :k]
     v = (x - mean) @ p
