@@ -65,8 +65,13 @@ def segments(x: np.ndarray, c: int, u: int, pct: int) -> np.ndarray:
     return key[np.lexsort((key, size))[slack:]]
 
 
-def _shown(w: int, pct: int, screen: bool):
-    classes = np.array(size_classes(pct))
+def _lists(parts: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, parts)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(parts).view(np.int64) if parts else np.zeros(0, np.int64)))
+
+
+def _sizes(w: int, screen: bool):
+    """Each row's set size, 128-bit set hash and, for the screen, bitmap."""
 
     def work(batches):
         for b in batches:
@@ -74,25 +79,37 @@ def _shown(w: int, pct: int, screen: bool):
             ids = b.column("doc_id")
             for i, j in K.portions(off):
                 h, _, _, first = K.words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
-                n, h1, h2, keys, ends, shown, bits = [], [], [], [], [0], 0, []
+                n, h1, h2, bits = [], [], [], []
                 for x in K.shingles(h, first, w):
                     n.append(len(x))
                     h1.append(int(K.mix(x, 1).sum(dtype=K.U).astype(np.int64)))
                     h2.append(int(K.mix(x, 2).sum(dtype=K.U).astype(np.int64)))
+                    bits.append(_bitmap(x, bitmap_words(len(x))) if screen else np.zeros(0, K.U))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), _lists(bits)], names=["doc_id", "n_shingles", "h1", "h2", "bits"])
+
+    return work
+
+
+def _keys(w: int, pct: int):
+    """The segments that each row shows, in its size class and, where partners may lie there, in the next one."""
+    classes = np.array(size_classes(pct))
+
+    def work(batches):
+        for b in batches:
+            raw, off = K.text_bytes(b.column("text"))
+            ids = b.column("doc_id")
+            for i, j in K.portions(off):
+                h, _, _, first = K.words(raw[off[i] : off[j]], off[i : j + 1] - off[i])
+                keys = []
+                for x in K.shingles(h, first, w):
+                    own = [np.zeros(0, K.U)]
                     if len(x):
                         c = int(np.searchsorted(classes, len(x)))
-                        keys.append(segments(x, c, int(classes[c]), pct))
+                        own.append(segments(x, c, int(classes[c]), pct))
                         if 100 * len(x) >= pct * (int(classes[c]) + 1):
-                            keys.append(segments(x, c + 1, int(classes[c + 1]), pct))
-                    if screen:
-                        bits.append(_bitmap(x, bitmap_words(len(x))))
-                    ends.append(ends[-1] + sum(map(len, keys[shown:])))
-                    shown = len(keys)
-                flat = np.concatenate(keys).view(np.int64) if keys else np.zeros(0, np.int64)
-                at = np.cumsum([0, *map(len, bits)]) if screen else np.zeros(j - i + 1)
-                maps = np.concatenate(bits).view(np.int64) if bits else np.zeros(0, np.int64)
-                lists = [pa.ListArray.from_arrays(pa.array(e, pa.int32()), pa.array(v)) for e, v in ((ends, flat), (at, maps))]
-                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(h1, pa.int64()), pa.array(h2, pa.int64()), *lists], names=["doc_id", "n_shingles", "h1", "h2", "keys", "bits"])
+                            own.append(segments(x, c + 1, int(classes[c + 1]), pct))
+                    keys.append(np.concatenate(own))
+                yield pa.RecordBatch.from_arrays([ids.slice(i, j - i).cast(pa.int64()), _lists(keys)], names=["doc_id", "keys"])
 
     return work
 
@@ -152,13 +169,14 @@ def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90, screen: bool = False)
     still found unless, in every bucket that they share, both leaders are unlike one of them; the tests count none lost.
     """
     docs = docs.select("doc_id", "text")
-    shown = cut(map_batches(docs, _shown(w, pct, screen), "doc_id long, n_shingles long, h1 long, h2 long, keys array<long>, bits array<long>"))
-    one = cut(shown.select("doc_id", "n_shingles", "h1", "h2", "bits"))
+    one = cut(map_batches(docs, _sizes(w, screen), "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>"))
     classes = cut(one.where("n_shingles > 0 and doc_id is not null").groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.countDistinct("doc_id").alias("copies"), F.max("n_shingles").alias("n")))
     reps = classes.select(F.col("rep").alias("doc_id"), "h1", "h2", "copies", "n")
     # Copies show the same segments as their representative, so they need no join of their own before this.
     # The conditions that the join would add are stated before the exchange, so that both reads of it are one exchange.
-    keys = shown.where("doc_id is not null").select("doc_id", F.explode("keys").alias("key")).where("key is not null").repartition("key")
+    # Segments are made in a pass of their own and go straight into the exchange: written out, they would be as large again.
+    shown = map_batches(docs.where("doc_id is not null"), _keys(w, pct), "doc_id long, keys array<long>")
+    keys = shown.select("doc_id", F.explode("keys").alias("key")).where("key is not null and doc_id is not null").repartition("key")
     buckets = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
     star = keys.join(buckets.hint("shuffle_hash"), "key")
     if screen:
@@ -167,7 +185,6 @@ def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90, screen: bool = False)
     else:
         star = star.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
     family = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
-    release(shown)
     # Blocks are dealt on narrow rows; only then the texts are joined and their sets made, once.
     wanted = cut(dealt(family.join(reps, "doc_id").select("doc_id", "family", "h1", "copies", "n"), ["family"], "doc_id", "n", FAMILY_TOKENS))
     texts = thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("family", "doc_id", "h1", "copies", "blk", "pairs", "text")
