@@ -30,10 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .families import FAMILY_TOKENS, _bitmap, bitmap_words, family_links, folded
-from .tables import components, cut, dealt, map_batches, release, thin
+from .families import FAMILY_TOKENS, Links, _bitmap, bitmap_words, family_links, folded
+from .tables import components, cut, dealt, grouped, map_batches, paired, release, thin
 
 RATIO = 1.5
+BUCKET_ROWS = 10_000
 
 
 def most_different(u: int, pct: int) -> int:
@@ -153,20 +154,96 @@ def _screen(pct: int):
     return work
 
 
-def _screened(star: DataFrame, one: DataFrame, pct: int) -> DataFrame:
+def _screened(star: DataFrame, side: DataFrame, pct: int) -> DataFrame:
     """Star links whose ends may be similar by their sizes and bitmaps."""
-    side = one.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.struct("n_shingles", "bits")).alias("m")).select("doc_id", "m.n_shingles", "m.bits")
     both = star.join(side.toDF("a", "na", "ba"), "a").join(side.toDF("b", "nb", "bb"), "b")
     return map_batches(both.select("a", "b", "na", "nb", "ba", "bb"), _screen(pct), "a long, b long")
 
 
+def _levels(bits: list[np.ndarray]) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """For each bitmap width: the members with at least as many words, and their bitmaps folded to it."""
+    width = np.array([len(x) for x in bits])
+    return {int(w): (at := np.flatnonzero(width >= w), np.stack([folded(bits[k], int(w)) for k in at])) for w in np.unique(width)}
+
+
+def _meet(pct: int):
+    """A spanning forest of the pairs of a bucket's members, in each pair of blocks, that sizes and bitmaps allow."""
+
+    def group(node, family, n, width, blk, bi, bj, bits):
+        links, levels = Links(node, np.ones(len(node), np.int64)), _levels(bits)
+        _, first, of = np.unique(family, return_index=True, return_inverse=True)
+        links.parent = first[of]
+        a, b, held, right = [], [], 0, {}
+        for w, (at, maps) in levels.items():
+            order = np.flatnonzero(blk[at] == bj)
+            order = order[np.argsort(n[at[order]], kind="stable")]
+            right[w] = at[order], n[at[order]], maps[order], dict(zip(at.tolist(), range(len(at))))
+        for i in np.flatnonzero(blk == bi):
+            for w in (w for w in levels if w <= width[i]):
+                at, sizes, maps, row = right[w]
+                lo, hi = np.searchsorted(sizes, -(-pct * n[i] // 100)), np.searchsorted(sizes, 100 * n[i] // pct, "right")
+                j, m = at[lo:hi], maps[lo:hi]
+                ok = links.parent[j] != links.parent[i]  # the others are in one family already
+                if w < width[i]:
+                    ok &= width[j] == w
+                if not ok.any():
+                    continue
+                j, m = j[ok], m[ok]
+                most = (100 - pct) * (n[i] + n[j]) // (100 + pct)
+                j = j[np.bitwise_count(m ^ levels[w][1][row[int(i)]]).sum(1, dtype=np.int64) <= most]
+                if len(j):
+                    a.append(np.full(len(j), i))
+                    b.append(j)
+                    held += len(j)
+            if held > 1000:
+                links.add(np.concatenate(a), np.concatenate(b))
+                a, b, held = [], [], 0
+        if a:
+            links.add(np.concatenate(a), np.concatenate(b))
+        return links.rows()[:2]
+
+    def kernel(t, bounds):
+        node, family, n, blk, bi, bj = (t.column(c).to_numpy() for c in ("node", "family", "n_shingles", "blk", "bi", "bj"))
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            bits = [x.values.to_numpy().view(K.U) for x in t.column("bits").slice(s, e - s)]
+            x, y = group(node[s:e], family[s:e], n[s:e], np.array([len(x) for x in bits]), blk[s:e], bi[s], bj[s], bits)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
+
+    return kernel
+
+
+def _screened_families(keys: DataFrame, one: DataFrame, pct: int) -> DataFrame:
+    """(node, component): members of a bucket that sizes and bitmaps allow to be similar are in one family.
+
+    Buckets with the same members count once. Links to a bucket's smallest and largest id come first; where they leave
+    a bucket of four or more members in several families, all its members meet, block by block.
+    """
+    h = F.xxhash64("doc_id")
+    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z"), F.count("*").alias("size"), F.sum(F.shiftrightunsigned(h, 32)).alias("s1"), F.sum(h.bitwiseAND(0xFFFFFFFF)).alias("s2")).where("a <> z")
+    buckets = buckets.groupBy("a", "z", "size", "s1", "s2").agg(F.min("key").alias("key")).select("key", "a", "z", "size")
+    met = cut(keys.join(buckets.hint("shuffle_hash"), "key"))
+    # Rows that share a doc_id may have different sets: each of them is tried.
+    side = one.where("doc_id is not null and n_shingles > 0").select("doc_id", "n_shingles", "bits").distinct()
+    star = met.select(F.explode(F.array("a", "z")).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
+    star = cut(_screened(star, side, pct))
+    family = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    rows = met.where("size > 3").select("key", "doc_id").distinct().join(family, "doc_id", "left").select("key", "doc_id", F.coalesce("family", "doc_id").alias("family"))
+    rows = cut(rows)
+    split = rows.groupBy("key").agg(F.min("family").alias("lo"), F.max("family").alias("hi")).where("lo <> hi").select("key")
+    rows = dealt(rows.join(split, "key"), ["key"], "doc_id", None, BUCKET_ROWS).join(side, "doc_id").withColumnRenamed("doc_id", "node")
+    more = grouped(paired(rows), ["key", "bi", "bj"], _meet(pct), "a long, b long")
+    out = components(star.unionByName(more))
+    for done in (met, star, rows):
+        release(done)
+    return out
+
+
 def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90, screen: bool = False) -> DataFrame:
     """(doc_id, n_shingles, n_links, component_id) for each row of ``docs(doc_id, text)``; links: Jaccard >= pct/100.
 
     ``n_links`` is the number of other documents linked directly, copies included. At lower thresholds segments are
-    short, and a shared passage can chain unlike documents into one large family. ``screen`` then drops star links to a
-    bucket's two leaders (its smallest and largest id) that sizes and bitmaps rule out. A link between two members is
-    still found unless, in every bucket that they share, both leaders are unlike one of them; the tests count none lost.
+    short, and a shared passage can chain unlike documents into one large family. ``screen`` then leaves out links between a
+    bucket's members that sizes and bitmaps rule out; no link is lost (see ``_screened_families``).
     """
     docs = docs.select("doc_id", "text")
     one = cut(map_batches(docs, _sizes(w, screen), "doc_id long, n_shingles long, h1 long, h2 long, bits array<long>"))
@@ -177,14 +254,13 @@ def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90, screen: bool = False)
     # Segments are made in a pass of their own and go straight into the exchange: written out, they would be as large again.
     shown = map_batches(docs.where("doc_id is not null"), _keys(w, pct), "doc_id long, keys array<long>")
     keys = shown.select("doc_id", F.explode("keys").alias("key")).where("key is not null and doc_id is not null").repartition("key")
-    buckets = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
-    star = keys.join(buckets.hint("shuffle_hash"), "key")
     if screen:
-        star = star.select(F.explode(F.array("a", "z")).alias("a"), F.col("doc_id").alias("b")).where("a <> b").distinct()
-        star = _screened(star, one, pct)
+        family = _screened_families(keys, one, pct)
     else:
-        star = star.where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
-    family = components(star).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+        buckets = keys.groupBy("key").agg(F.min("doc_id").alias("a"), F.max("doc_id").alias("z")).where("a <> z")
+        star = keys.join(buckets.hint("shuffle_hash"), "key").where("doc_id <> a").select("a", F.col("doc_id").alias("b")).distinct()
+        family = components(star)
+    family = family.select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
     # Blocks are dealt on narrow rows; only then the texts are joined and their sets made, once.
     wanted = cut(dealt(family.join(reps, "doc_id").select("doc_id", "family", "h1", "copies", "n"), ["family"], "doc_id", "n", FAMILY_TOKENS))
     texts = thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("family", "doc_id", "h1", "copies", "blk", "pairs", "text")

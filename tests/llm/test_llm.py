@@ -59,6 +59,59 @@ def test_ngram_join(spark, texts, w, pct, screen):
     assert all((r.n_shingles, r.component_id) == want[r.doc_id] for r in rows if r.doc_id is not None)
 
 
+def drifting(n, seed=4):
+    """Near copies of near copies (one edit keeps Jaccard a little above 0.8), ids shuffled, with passages that many share."""
+    rng = random.Random(seed)
+    word = iter(range(10**9))
+    passages = [[f"p{k}x{i}" for i in range(30)] for k in range(3)]
+    bodies = [[f"w{next(word)}" for _ in range(60)] for _ in range(n // 100)]
+    while len(bodies) < n:
+        b = list(rng.choice(bodies))
+        at = rng.randrange(5, 50)
+        b[at : at + 5] = [f"w{next(word)}" for _ in range(5)]
+        bodies.append(b)
+    texts = [" ".join([*b, *rng.choice(passages)]) for b in bodies]
+    rng.shuffle(texts)
+    return list(enumerate(texts))
+
+
+def linked(texts, w, pct):
+    """Components by the overlap of every pair."""
+    import numpy as np
+
+    sets = [{tuple(t.split()[k : k + w]) for k in range(len(t.split()) - w + 1)} for _, t in texts]
+    where = {}
+    for i, s in enumerate(sets):
+        for x in s:
+            where.setdefault(x, []).append(i)
+    both = np.zeros((len(sets), len(sets)), np.int16)
+    for d in where.values():
+        both[np.ix_(d, d)] += 1
+    n = both.diagonal().astype(int)
+    root = np.arange(len(sets))
+    like = 100 * both.astype(int) >= pct * (n[:, None] + n - both)
+    while True:
+        least = np.array([root[row].min() for row in like])
+        if (least == root).all():
+            return {i: int(x) for (i, _), x in zip(texts, root)}, {i: int(r.sum()) - 1 for (i, _), r in zip(texts, like)}
+        root = least
+
+
+def test_screen_loses_no_link_among_drifting_copies(spark):
+    texts = drifting(3000)
+    want, links = linked(texts, 5, 80)
+    got = {r.doc_id: (r.component_id, r.n_links) for r in ngram_join.ngram_join(docs(spark, texts), 5, 80, screen=True).collect()}
+    assert sum(got[i] != (want[i], links[i]) for i in want) == 0
+
+
+def test_screen_meets_all_members_of_a_bucket_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BUCKET_ROWS", 7)
+    texts = drifting(400, 6)
+    want, _ = linked(texts, 5, 80)
+    got = {r.doc_id: r.component_id for r in ngram_join.ngram_join(docs(spark, texts), 5, 80, screen=True).collect()}
+    assert got == want
+
+
 def test_line_dedup(spark):
     long = "the quick brown fox jumps over the lazy dog and runs away from the very big bear that lives in a deep dark wood near the old mill by the river"
     d = docs(spark, [(1, f"a\n\n{long}"), (2, f"{long.upper()}\nb"), (3, long.replace("lazy", "lary")), (4, None), (5, ""), (None, long)])
