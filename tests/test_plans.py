@@ -1,5 +1,9 @@
+import dataclasses
 import gzip
+import random
 
+from kmerloom.functions import kernels
+from kmerloom.operators import reads as R
 from kmerloom.operators import vcf
 from kmerloom.plans import catalog, fixtures, pipelines
 from kmerloom.sources import files
@@ -26,3 +30,39 @@ def test_files(spark, tmp_path):
     assert [(r.name, r.r1_seq, r.r2_qual) for r in pairs] == [("a0", "ACGT", "@III"), ("a1", "ACGTA", "@IIII"), ("a2", "ACGTAA", "@IIIII")]
     (tmp_path / "s.vcf").write_text("##x\n1\t5\t.\ta\tC,G\n1\t5\t.\tA\tT\n")
     assert [(r.chrom, r.pos, r.ref, r.alt) for r in files.read_snps(spark, str(tmp_path / "s.vcf")).collect()] == [("chr1", 5, "A", "C")]
+
+
+def repeat_reads(spark, seed=2):
+    """Contigs with many copies of an element, a base changed here and there, and pairs over junctions between them."""
+    rng = random.Random(seed)
+    dna = lambda n: "".join(rng.choice("ACGT") for _ in range(n))
+
+    def copy(s, every):
+        return "".join(rng.choice("ACGT") if rng.random() < 1 / every else c for c in s)
+
+    element = dna(700)
+    contigs = ["".join(dna(300) + copy(element, every) for every in (50, 90, 150, 60)) + dna(300) for _ in range(3)]
+    rows = []
+    for i in range(240):
+        a, b = rng.choice(contigs), rng.choice(contigs)
+        x, y = rng.randrange(200, len(a) - 200), rng.randrange(200, len(b) - 200)
+        whole = a[x - 150 : x] + b[y : y + 150]
+        insert = whole[: rng.choice((180, 200, 220, 300))]
+        if i % 2:
+            insert = kernels.revcomp(insert)
+        rows.append((i, insert[:140], kernels.revcomp(insert[-140:]), i, 1000 + i))
+    reads = spark.createDataFrame(rows, "read_id long, r1_seq string, r2_seq string, bar1 long, bar2 long")
+    return spark.createDataFrame([(f"chr{k}", k, s) for k, s in enumerate(contigs)], "chrom string, chrom_idx int, seq string"), reads
+
+
+def test_joined_and_broadcast_paths_give_equal_rows(spark):
+    cfg = catalog.CFG
+    contigs, reads = repeat_reads(spark)
+    index = pipelines.build_index(contigs, cfg)
+    assert index["long"].count() and index["spaced"].count()
+    find = lambda c, long, spaced: sorted(map(tuple, R.breakpoints(reads, index["kmers"], long, spaced, c).collect()))
+    joined = dataclasses.replace(cfg, broadcast_rows=0)
+    for long, spaced in ((index["long"], index["spaced"]), (None, None)):
+        want = find(cfg, long, spaced)
+        assert want and find(joined, long, spaced) == want
+    assert find(cfg, index["long"], index["spaced"]) != want  # the composite look-ups matter here
