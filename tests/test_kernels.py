@@ -61,3 +61,26 @@ def test_similar_records_merge():
     row = {"kind": "SPLIT", "vague": False, "left_code": 31, "left_pos": 10, "left_fwd": True, "right_code": 62, "right_pos": 20, "right_fwd": True, "seq": "A" * 40, "bp_len": 30, "left_kmers": 5, "right_kmers": 5, "left_score": 1.0, "right_score": 1.0, "split_cnt": 1, "pe_cnt": 0, "left_cnt": 1, "right_cnt": 1, "bp_score_sum": 0.0, "barcodes": [], "flag": 1}
     out = clusters.merge_range([dict(row), {**row, "left_pos": 60, "bp_len": 25, "flag": 2}])
     assert len(out) == 1 and out[0]["bp_len"] == 25 and out[0]["flag"] == 3 and out[0]["split_cnt"] == 2
+
+
+def test_composite_hits_need_a_triple_of_equal_codes():
+    from kmerloom.operators.reads import refine
+
+    def run(hits, strand, size=60, gap=18):
+        """Ambiguous everywhere; hits: offset -> (code, pos) of the pair that starts there along the strand."""
+        flip = (lambda i: i) if strand == 0 else (lambda i: size - 1 - i)
+        code, pos, score = [99] * size, [-1] * size, [1] * size
+        words = [flip(i) for i in range(size)]  # the k-mer at an offset is its distance along the strand
+        refine(code, pos, score, words, {(i, i + gap): hit for i, hit in hits.items()}, gap, [(0, size)], strand)
+        return {i: (code[flip(i)], pos[flip(i)], score[flip(i)]) for i in range(size)}
+
+    for strand in (0, 1):
+        ambiguous = {i: (99, -1, 1) for i in range(60)}
+        two = run({10: (5, 100), 13: (5, 103)}, strand)  # a chance pair is no run
+        assert two == ambiguous | {10: (kernels.FULL, -1, 1), 13: (kernels.FULL, -1, 1)}
+        mixed = run({10: (5, 100), 13: (6, 103), 16: (5, 106)}, strand)
+        assert mixed == ambiguous | {i: (kernels.FULL, -1, 1) for i in (10, 13, 16)}
+        run_of_three = run({10: (5, 100), 13: (5, 103), 16: (5, 106)}, strand)
+        assert [run_of_three[i] for i in (10, 13, 16)] == [(5, 100, 4), (5, 103, 4), (5, 106, 4)]
+        raised = {i for i, x in run_of_three.items() if x == (99, -1, 3)}
+        assert raised == {19, 22, 25, 28, 31}  # 16 + 3 .. below 16 + gap
