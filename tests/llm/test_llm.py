@@ -120,6 +120,38 @@ def test_line_dedup(spark):
     assert {r.doc_id: r.text for r in line_dedup.without_lines(d, line_dedup.line_dedup(d)).where("doc_id = 2").collect()} == {2: "b"}
 
 
+def test_line_dedup_finds_edits_by_line_length(spark):
+    rng = random.Random(9)
+    low = "abcdefghijklmnopqrstuvwxyz"
+    word = lambda n: "".join(rng.choice(low) for _ in range(n))
+    rows, kind = [], {}
+    for k in range(1200):
+        size, line = rng.randint(30, 150), ""
+        while len(line) < size:
+            line += word(rng.randint(2, 8)) + " "
+        line = line.strip()
+        words = line.split()
+        if k % 2:
+            i = rng.choice([i for i, c in enumerate(line) if c != " "])
+            edited = line[:i] + "#" + line[i + 1 :]
+        else:
+            i = rng.randrange(len(words))
+            edited = " ".join([*words[:i], word(6), *words[i + 1 :]])
+        rows += [(2 * k, line), (2 * k + 1, edited)]
+        kind[2 * k + 1] = ("letter" if k % 2 else "word", len(line))
+    near = {r.doc_id for r in line_dedup.line_dedup(docs(spark, rows)).where("n_near > 0").collect()}
+    assert near <= set(kind)
+
+    def recall(what, lo, hi):
+        some = [i for i, (w, n) in kind.items() if w == what and lo <= n <= hi]
+        return sum(i in near for i in some) / len(some)
+
+    by_length = {w: [round(recall(w, *x), 2) for x in ((30, 49), (50, 79), (80, 100), (101, 150))] for w in ("letter", "word")}
+    print(by_length)
+    assert all(x >= 0.95 for x in by_length["letter"][1:]), by_length
+    assert by_length["word"][2] >= 0.5 and by_length["word"][3] >= 0.95, by_length
+
+
 def test_vector_dedup(spark):
     rows = [(1, [1.0, 0.0, 0.0], 1), (2, [0.999, 0.01, 0.0], 1), (3, [1.0, 0.0, 0.0], 2), (4, None, 1), (5, [0.0, 0.0, 0.0], 1), (6, [1.0, None, 0.0], 1), (7, [2.0, 0.0, 0.0], 1), (8, [1.0, 0.0, 0.0], None), (9, [float("nan"), 0.0, 0.0], 1)]
     got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
