@@ -3,7 +3,7 @@
 Texts are word sequences (bytes of letters and digits, A-Z lowered). The CGK random walk reads a window of words: at
 step j it puts out the word under its pointer and moves on if bit j of that word's random value is set, so that a small
 edit distance becomes a small Hamming distance. Every item is embedded in windows sized to it (the largest power of two
-that leaves room for half a window of offsets) at every word offset; texts are embedded at every window start that is a
+that leaves room for half a window of offsets, at most ``WINDOW`` words) at every word offset; texts are embedded at every window start that is a
 multiple of half the window's size. In each of ``REPEATS`` repetitions, with walks and samples of their own, the words at ``SAMPLES``
 random steps are a window's key. Windows with an item's key are verified exactly: the least edit distance (in
 characters, by Myers' bit-parallel method) of the whole item to any substring of the text around the window must be at
@@ -27,6 +27,7 @@ from .tables import map_batches
 
 REPEATS = 12
 SAMPLES = 6
+WINDOW = 16
 RATIO = 0.15
 BLOCK_CHARS = 4_000_000
 _WORD = np.zeros(256, bool)
@@ -36,8 +37,8 @@ _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
 def window_words(n: int) -> int:
-    """Size of the windows for an item of n words."""
-    most, w = min(2 * (n + 1) // 3, n - 3), 1
+    """Size of the windows for an item of n words: bounded, so that a long item has many aligned windows."""
+    most, w = min(2 * (n + 1) // 3, n - 3, WINDOW), 1
     while 2 * w <= most:
         w *= 2
     return w

@@ -178,6 +178,35 @@ def test_decontaminate(spark):
     assert decontaminate.edit_distance("kitten", "xxsittingyy") == 2
 
 
+def test_decontaminate_recall_does_not_fall_with_item_length(spark):
+    rng = random.Random(12)
+    vocab = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in "mnprst"] + [f"w{i}" for i in range(800)]
+    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    items, rows, kind = [], [], {}
+    for n in (20, 59, 100, 200, 400):
+        for edit in ("replace", "insert", "delete"):
+            for share in (0.05, 0.1, 0.15):
+                for _ in range(12):
+                    item = some(n)
+                    bad, text = set(rng.sample(range(n), int(share * n))), []
+                    for k, x in enumerate(item):
+                        text += [x] if k not in bad else [rng.choice(vocab)] if edit == "replace" else [x, rng.choice(vocab)] if edit == "insert" else []
+                    i = len(items)
+                    items.append((i, " ".join(item)))
+                    rows.append((i, " ".join([*some(rng.randint(0, 40)), *text, *some(30)])))
+                    kind[i] = (n, edit)
+    known = {i: decontaminate.edit_distance(t, rows[i][1]) for i, t in items}
+    within = {i for i, t in items if known[i] <= 0.15 * len(t)}
+    got = {r.doc_id: list(r["items"]) for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    recall = {}
+    for x in sorted(set(kind.values())):
+        here = [i for i in within if kind[i] == x]
+        recall[x] = (sum(got[i] == [i] for i in here), len(here))
+    print(recall)
+    assert all(a >= 0.95 * n for (words, _), (a, n) in recall.items() if words > 20), recall
+    assert sum(a for a, _ in recall.values()) >= 0.95 * len(within), recall
+
+
 def test_packing_bounds_are_optimal():
     from itertools import combinations
 
