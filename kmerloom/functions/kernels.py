@@ -2,32 +2,43 @@
 
 from __future__ import annotations
 
+import re
+from bisect import bisect_right
+
 _COMPLEMENT = str.maketrans("ACGT", "TGCA")
-FULL = (1 << 32) - 1
 
 
 def revcomp(s: str) -> str:
     return s.translate(_COMPLEMENT)[::-1]
 
 
-def pack(s: str) -> int:
-    return int(s.translate(str.maketrans("ACGT", "0123")), 4)
+def cut_contig(seq: str, first: list[int], last: list[int], k: int, low: int, high: int) -> list[tuple[int, int]]:
+    """Segments [start, end) of a contig: cut where two k-mers in a row are no repeats; neighbours overlap by k - 1.
+
+    ``first`` and ``last`` are the sorted runs of offsets with repeated k-mers; runs may touch each other.
+    """
 
+    def free(i: int) -> int:
+        """The first offset from i on that is no repeat."""
+        r = bisect_right(first, i) - 1
+        while r >= 0 and first[r] <= i <= last[r]:
+            i = last[r] + 1
+            r = min(r + 1, len(first) - 1)
+        return i
 
-def cut_contig(seq: str, repeats: set[str], k: int, low: int, high: int) -> list[tuple[int, int]]:
-    """Segments [start, end) of a contig: cut where two k-mers in a row are no repeats; neighbours overlap by k - 1."""
     out: list[tuple[int, int]] = []
-    at = 0
-    for run in seq.replace("N", " ").split():
-        start = seq.index(run, at)
-        end = at = start + len(run)
+    for run in re.finditer("[^N]+", seq):
+        start, end = run.span()
         while end - start > high:
-            size = high
-            for move in range(1, high - low):
-                i = start + low + move
-                if seq[i : i + k] not in repeats and seq[i - 1 : i - 1 + k] not in repeats:
-                    size = low + move
+            at = start + low + 1
+            while at < start + high:
+                if (p := free(at - 1)) > at - 1:
+                    at = p + 1
+                elif (q := free(at)) > at:
+                    at = q + 1
+                else:
                     break
+            size = at - start if at < start + high else high
             out.append((start, min(end, start + size + k - 1)))
             start += size
         out.append((start, end))
@@ -35,7 +46,12 @@ def cut_contig(seq: str, repeats: set[str], k: int, low: int, high: int) -> list
 
 
 def merge_mates(r1: str, r2: str, k: int) -> tuple[str, str]:
-    """R1 and R2 put together where they overlap; R2 is then empty."""
+    """R1 and R2 put together where they overlap; R2 is then empty.
+
+    R2's k-mers are looked for in R1, the first one (the fragment ends in R1), then the last and every fifth before it.
+    The first that R1 has once decides: it gives the fragment's size, and beyond R1's end R1's last k-mer may differ
+    from R2's at that place in one base.
+    """
     if len(r1) < k or len(r2) < k:
         return r1, r2
     where: dict[str, int] = {}
@@ -43,37 +59,19 @@ def merge_mates(r1: str, r2: str, k: int) -> tuple[str, str]:
         where[r1[p : p + k]] = -1 if r1[p : p + k] in where else p
     other = revcomp(r2)
     n = len(other)
-    p = where.get(other[n - k :], -1)
-    if p >= 0:  # the fragment ends in R1: read through
-        return r1[: p + k], ""
-    for back in range(5, n - k + 1, 5):
-        p = where.get(other[n - k - back : n - back], -1)
+    for i in (0, *range(n - k, 0, -5)):
+        p = where.get(other[n - k - i : n - i], -1)
         if p < 0:
             continue
-        size = p + k + back
-        if size <= len(r1):
-            return r1[:size], ""
-        tail = size - len(r1)
-        shared = min(len(r1), n - tail)
-        bad = sum(x != y for x, y in zip(r1[len(r1) - shared :], other[n - tail - shared : n - tail]))
-        if bad <= 1:
+        tail = p + k + i - len(r1)
+        if tail <= 0:
+            return r1[: p + k + i], ""
+        if sum(x != y for x, y in zip(r1[len(r1) - k :], other[n - k - tail : n - tail])) <= 1:
             return r1 + other[n - tail :], ""
+        return r1, r2
     return r1, r2
 
 
-def identical(seq: str, ref: str) -> int:
-    """Matching bases of a prefix; a mismatch is stepped over if the next base matches, two in a row end it."""
-    count = i = 0
-    n = min(len(seq), len(ref))
-    while i < n:
-        if seq[i] == ref[i]:
-            count += 1
-        elif i + 1 >= n or seq[i + 1] != ref[i + 1]:
-            break
-        i += 1
-    return count
-
-
 def covered(words: list[str], known, k: int) -> int:
     """Bases of a sequence that maximal runs of known k-mers cover."""
     total = run = 0
@@ -90,11 +88,15 @@ def kmer_list(seq: str, k: int) -> list[str]:
     return [seq[i : i + k] for i in range(len(seq) - k + 1)]
 
 
+def kmer_set(seq: str, k: int) -> set[str]:
+    return set(kmer_list(seq, k))
+
+
 def sequence_distance(this: str, other: str, k: int = 11) -> float:
     """Share of ``other`` that no run of k-mers of ``this`` covers; length beyond ``this`` counts as not covered apart."""
     if len(other) < k:
         return 1.0
-    both = covered(kmer_list(other, k), set(kmer_list(this, k)), k)
+    both = covered(kmer_list(other, k), kmer_set(this, k), k)
     excess = max(0, len(other) - len(this))
     return 1 - both / max(1, len(other) - excess)
 
@@ -104,198 +106,7 @@ def reference_distance(seq: str, reference: str, k: int = 11) -> float:
     words = kmer_list(seq, k)[: max(0, len(reference) + 5)]
     if not words:
         return 1.0
-    return 1 - covered(words, set(kmer_list(reference, k)), k) / (len(words) + k - 1)
-
-
-def majority_position(code: list[int], pos: list[int], sign: int, first: int, at: int) -> int:
-    """The position at offset ``at`` by the most frequent diagonal of every third offset back to ``first``."""
-    votes: dict[int, int] = {}
-    for i in range(at, first - 1, -3):
-        if code[i] == code[at] and pos[i] >= 0:
-            d = pos[i] - sign * i
-            votes[d] = votes.get(d, 0) + 1
-    best = min(votes, key=lambda d: (-votes[d], d)) if votes else 0
-    return best + sign * at
-
-
-class Scan:
-    """Breakpoints of one read from its hits.
-
-    ``code``, ``pos`` and ``score`` have a list for each strand (0 forward, 1 reverse) over all k-mer offsets, those of
-    R1 first; absent hits have code 0, unknown positions are -1.
-    """
-
-    def __init__(self, code, pos, score, n1: int, bits: int = 5, border: int | None = None):
-        self.code, self.pos, self.score = code, pos, score
-        self.n1, self.total, self.bits = n1, len(code[0]), bits
-        self.border = n1 if border is None else border
-        self.found: list[dict] = []
-
-    def _jump(self, strand: int, i: int, last_i: int, last_pos: int, border_at: int, signed: bool = True) -> bool:
-        """Whether a known position strays from the diagonal of the last one by more than 50, within one mate."""
-        if last_pos < 0 or (last_i < self.n1 <= i):
-            return False
-        step = self.pos[strand][i] - last_pos
-        step = (step if strand == 0 else -step) if signed else abs(step)
-        return abs(step - (i - last_i)) > 50 and (border_at >= self.border or i < self.border)
-
-    def _left(self, strand: int):
-        code, pos = self.code[strand], self.pos[strand]
-        acc, last_pos, last_i, fix, gaps = FULL, -1, -1, False, 0
-        for i in range(self.total):
-            if i == self.n1:
-                gaps = 0
-            if not code[i]:
-                gaps += 1
-                if gaps >= 3:
-                    return i, acc, last_pos, last_i, fix
-                continue
-            gaps = 0
-            if (acc & code[i]).bit_count() < self.bits:
-                return i, acc, last_pos, last_i, fix
-            acc &= code[i]
-            if pos[i] >= 0:
-                fix |= self._jump(strand, i, last_i, last_pos, last_i)
-                last_pos, last_i = pos[i], i
-        return self.total, acc, last_pos, last_i, fix
-
-    def run(self) -> list[dict]:
-        ends = [self._left(0), self._left(1)]
-        if max(ends[0][0], ends[1][0]) >= self.total - 3:
-            return []
-        diff = [f - r for f, r in zip(*self.score)]
-        upto = diff[: max(ends[0][0], ends[1][0])]
-        confidence = sum(upto)
-        strand = 0 if confidence >= 0 else 1
-        stop, acc, last_pos, last_i, fix = ends[strand]
-        if last_pos >= 0 and sum(self.code[strand][i] == acc and self.pos[strand][i] >= 0 for i in range(stop)) < 2:
-            last_pos = -1
-        side = 1 if strand == 0 else -1
-        if last_pos < 0:
-            ok = self._right(stop, 0, -1, -1, side, 0, 1)
-        else:
-            if fix:
-                last_pos = majority_position(self.code[strand], self.pos[strand], side, 0, last_i)
-                if last_pos < 0:
-                    return []
-            count = sum((d > 0) if strand == 0 else (d < 0) for d in upto)
-            ok = self._right(stop, acc, last_pos, last_i, confidence or 1, count, 1)
-        return self.found if ok else []
-
-    def _right(self, idx: int, lcode: int, lpos: int, li: int, lconfi: int, lkmers: int, depth: int) -> bool:
-        """The right side of a breakpoint whose left side ends before ``idx``; then the ones after it. False: no call."""
-        if depth >= 4:
-            return False
-        diff = lambda i: self.score[0][i] - self.score[1][i]
-        start, end, strand = li + 1, self.total, 0 if lconfi > 0 else 1
-        rcode, rpos = 0, -1
-        if lpos >= 0:
-            for i in range(idx + 1, self.total):
-                if self.code[strand][i] == lcode and self.pos[strand][i] >= 0 and abs(abs(lpos - self.pos[strand][i]) - (i - li)) < 15:
-                    end, rcode, rpos = i, lcode, self.pos[strand][i]
-                    break
-        if rpos < 0:
-            confidence = 0
-            for i in range(idx + 1, self.total):
-                confidence += diff(i)
-                if abs(confidence) > 20:
-                    break
-            strand = 0 if (confidence or (1 if lconfi >= 0 else -1)) > 0 else 1
-            code, pos = self.code[strand], self.pos[strand]
-            for i in range(idx + 1, self.total - 3):
-                if pos[i] >= 0 and not (self.n1 - 3 <= i < self.n1) and code[i + 3] == code[i] and pos[i + 3] >= 0 and abs(pos[i + 3] - pos[i]) == 3:
-                    end, rcode, rpos = i, code[i], pos[i]
-                    break
-        code, pos, side = self.code[strand], self.pos[strand], 1 if strand == 0 else -1
-        right_idx, after, kmers, confidence, fix = end, None, 0, 0, False
-        next_pos, next_i = -1, -1
-        if rpos >= 0:
-            acc, gaps = rcode, 0
-            for i in range(end - 1, 0, -1):
-                if i == self.n1 - 1:
-                    gaps = 0
-                if code[i]:
-                    gaps = 0
-                    acc &= code[i]
-                    if acc.bit_count() < self.bits:
-                        right_idx = i
-                        break
-                else:
-                    gaps += 1
-                    if gaps >= 3:
-                        right_idx = i
-                        break
-            gaps = 0
-            for i in range(end, self.total):
-                if i == self.n1:
-                    gaps = 0
-                if code[i]:
-                    gaps = 0
-                    if (code[i] & rcode).bit_count() < self.bits:
-                        after = i
-                        break
-                    if pos[i] >= 0:
-                        fix |= self._jump(strand, i, next_i, next_pos, right_idx, signed=False)
-                        next_pos, next_i = pos[i], i
-                else:
-                    gaps += 1
-                    if gaps >= 3:
-                        after = i
-                        break
-                confidence += diff(i)
-                kmers += diff(i) * side > 0
-            confidence = side * max(1, confidence * side)
-        else:
-            confidence = 1 if lconfi > 0 else -1
-        if fix:
-            next_pos = majority_position(code, pos, side, end, next_i)
-            rpos = next_pos - side * (next_i - end)
-            if next_pos < 0 or rpos < 0:
-                return False
-        if after is not None and not self._right(after, rcode, next_pos, next_i, confidence, kmers, depth + 1):
-            return False
-        self._emit(start, end, idx, right_idx, (lcode, lpos, lconfi, lkmers), (rcode, rpos, confidence, kmers))
-        return True
-
-    def _emit(self, start: int, end: int, left_idx: int, right_idx: int, left, right) -> None:
-        n1 = self.n1
-        lbp, rbp = left_idx - start, end - right_idx
-        if left[1] >= 0 and right[1] >= 0:
-            gap = abs(right[1] - left[1])
-            if start <= n1 <= end:
-                if left[3] < 10 or right[3] < 10 or (left[0] == right[0] and gap < 50):
-                    return
-                if start >= n1 - 10 and end < n1 + 10:
-                    self._save("PE", left, right, 0, 0, 0, 0)
-                    return
-                in_r1 = (left_idx < n1 and right_idx < n1) or (not (left_idx >= n1 and right_idx >= n1) and n1 - start > end - n1)
-                if in_r1 and start < n1 - 10:
-                    self._save("RIGHT_VAGUE", left, right, lbp, 0, start, n1)
-                elif not in_r1 and end >= n1 + 10:
-                    self._save("LEFT_VAGUE", left, right, 0, rbp, n1, end)
-            elif end - start >= 15 and not (left[0] == right[0] and end - start == gap - 1):
-                self._save("EXACT", left, right, lbp, rbp, start, end)
-        elif left[1] >= 0 and left[3] >= 15:
-            if not (start < n1 and end == self.total) and end - start > 10:
-                self._save("NO_RIGHT", left, (right[0], -1, 0, 0), lbp, rbp, start, end)
-        elif right[1] >= 0 and right[3] >= 15:
-            if not (start == 0 and end >= n1) and end - start > 10:
-                self._save("NO_LEFT", (left[0], -1, 0, 0), right, lbp, rbp, start, end)
-
-    def _save(self, kind, left, right, lbp, rbp, start, end) -> None:
-        """The primary record, the better anchored side left, and for exact ones the other way round as secondary."""
-        quality = max(sum(6 - s for s in self.score[x][start:end] if s) for x in (0, 1)) if kind != "PE" else 0
-        flip = abs(right[2]) > abs(left[2]) if kind in ("PE", "EXACT") else kind in ("LEFT_VAGUE", "NO_LEFT")
-        for secondary in (False, True) if kind == "EXACT" else (False,):
-            turn = flip != secondary
-            a, b = (right, left) if turn else (left, right)
-            s = -1 if turn else 1
-            self.found.append({
-                "kind": "PE" if kind == "PE" else "SPLIT", "vague": kind in ("LEFT_VAGUE", "RIGHT_VAGUE"), "flip": turn, "secondary": secondary,
-                "left_code": a[0], "left_pos": a[1], "left_confi": s * a[2], "left_kmers": a[3],
-                "right_code": b[0], "right_pos": b[1], "right_confi": s * b[2], "right_kmers": b[3],
-                "left_bp_len": rbp if turn else lbp, "right_bp_len": lbp if turn else rbp, "bp_start": start, "bp_end": end, "bp_score": quality,
-            })
+    return 1 - covered(words, kmer_set(reference, k), k) / (len(words) + k - 1)
 
 
 def junction(r1: str, r2: str, k: int, start: int, end: int, turn: bool) -> str:

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from ..functions import kernels
+from ..functions import seq as S
 from ..plans.config import Config
+from ..plans.scratch import cut
+from . import supports as P
 
 
 def breakend_positions(df: DataFrame, k: int) -> DataFrame:
@@ -59,50 +60,68 @@ def average_scores(df: DataFrame) -> DataFrame:
     )
 
 
-@F.pandas_udf(T.StructType([T.StructField("left_same", T.IntegerType()), T.StructField("right_same", T.IntegerType())]))
-def identity_lengths(seq, bp_len, left_ref, left_pos, left_fwd, right_ref, right_pos, right_fwd, k):
-    import pandas as pd
+def identity_lengths(df: DataFrame, k: int) -> DataFrame:
+    """left_same and right_same: how far a junction agrees with the reference that goes on past either anchor (F22, F23)."""
 
-    out = []
-    for s, n, lr, lp, lf, rr, rp, rf, kk in zip(seq, bp_len, left_ref, left_pos, left_fwd, right_ref, right_pos, right_fwd, k):
-        head = s[:n]
-        there = lr[lp + 1 : lp + 1 + n] if lf else kernels.revcomp(lr[max(0, lp + kk - 1 - n) : lp + kk - 1])
-        other = kernels.revcomp(rr[max(0, rp + kk - 1 - n) : rp + kk - 1]) if rf else rr[rp + 1 : rp + 1 + n]
-        out.append((kernels.identical(head, there), kernels.identical(kernels.revcomp(head), other)))
-    return pd.DataFrame(out, columns=["left_same", "right_same"])
+    def after(side: str) -> str:
+        return f"substring({side}_ref, {side}_pos + 2, bp_len)"
 
+    def before(side: str) -> str:
+        n = f"least(bp_len, greatest(0, {side}_pos + {k - 1}))"
+        return f"substring({side}_ref, {side}_pos + {k} - {n}, {n})"
 
-@F.pandas_udf(T.StructType([T.StructField("molecules", T.DoubleType()), T.StructField("singles", T.IntegerType())]))
-def molecule_counts(barcodes):
-    import pandas as pd
+    head = F.expr("substring(seq, 1, bp_len)")
+    left = F.when(F.col("left_fwd"), F.expr(after("left"))).otherwise(S.revcomp(F.expr(before("left"))))
+    right = F.when(F.col("right_fwd"), S.revcomp(F.expr(before("right")))).otherwise(F.expr(after("right")))
+    return df.withColumn("left_same", S.identical_length(head, left)).withColumn("right_same", S.identical_length(S.revcomp(head), right))
 
-    out = []
-    for bars in barcodes:
-        ways: dict[tuple, list] = {}
-        for b in bars:
-            # The same molecule read from either end: pairs are put in one order, the turn is its orientation.
-            ways.setdefault((b["bar1"], b["bar2"]) if not b["flip"] else (b["bar2"], b["bar1"]), []).append(b["flip"])
-        out.append((sum(1 + 0.5 * (len(set(v)) > 1) for v in ways.values()) or 1.0, sum(len(v) == 1 for v in ways.values())))
-    return pd.DataFrame(out, columns=["molecules", "singles"])
+
+def numbered(df: DataFrame, keys: list[str], out: str = "sv_no") -> DataFrame:
+    """Adds the place of a row in the order of ``keys``, from 0; the first key is a segment's number, the second a position in it.
+
+    Ranks are local to a stretch of 4,096 positions; the rows of the stretches before are added up in two steps, over a
+    segment's stretches and over the segments, which are narrow tables.
+    """
+    seg, pos = keys[:2]
+    df = df.withColumn("_part", F.floor(F.col(pos) / 4096))
+    here = [seg, "_part"]
+    parts = df.groupBy(*here).count()
+    in_segment = F.sum("count").over(Window.partitionBy(seg).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    whole = parts.groupBy(seg).agg(F.sum("count").alias("_n"))
+    ahead = whole.select(seg, F.sum("_n").over(Window.orderBy(seg).rowsBetween(Window.unboundedPreceding, -1)).alias("_ahead"))
+    before = parts.withColumn("_before", in_segment).join(ahead, seg).select(*here, (F.coalesce("_before", F.lit(0)) + F.coalesce("_ahead", F.lit(0))).alias("_before"))
+    local = F.row_number().over(Window.partitionBy(*here).orderBy(*keys[1:]))
+    return df.withColumn("_local", local).join(before, here).withColumn(out, F.col("_before") + F.col("_local") - 1).drop("_part", "_local", "_before")
+
+
+def event_molecules(df: DataFrame, key: str) -> DataFrame:
+    """(key, molecules, singles) from ``barcodes``: a molecule read from either end has its pair of barcodes in one order."""
+    b = df.select(key, F.explode("barcodes").alias("b"))
+    pair = F.when(F.col("b.flip"), F.struct(F.col("b.bar2").alias("x"), F.col("b.bar1").alias("y"))).otherwise(F.struct(F.col("b.bar1").alias("x"), F.col("b.bar2").alias("y")))
+    return P.molecules(b.select(key, pair.alias("bar"), F.col("b.flip").alias("flip")), [key])
+
+
+def flags(df: DataFrame, cfg: Config) -> DataFrame:
+    """small (P17), fake: seen from one side only (P18), imprecise: in pairs only (P19)."""
+    return df.withColumn("small", small_event(cfg)).withColumn("fake", F.col("flag") != 3).withColumn("imprecise", F.col("split_cnt") == 0)
 
 
 def candidates(merged: DataFrame, segments: DataFrame, cfg: Config) -> DataFrame:
     """Supported records with known segments on both sides, located, measured and filtered."""
-    s = F.broadcast(segments.select("code", "seg_idx", "chrom", "start", "ref"))
+    s, refs = F.broadcast(segments.select("code", "seg_idx", "chrom", "start")), segments.select("seg_idx", "ref")
     df = merged.where("split_cnt + pe_cnt > 0 and right_pos >= 0")
-    df = df.join(s.toDF("left_code", "left_seg", "left_chrom", "left_start", "left_ref"), "left_code").join(s.toDF("right_code", "right_seg", "right_chrom", "right_start", "right_ref"), "right_code")
+    df = df.join(s.toDF("left_code", "left_seg", "left_chrom", "left_start"), "left_code").join(s.toDF("right_code", "right_seg", "right_chrom", "right_start"), "right_code")
     df = breakend_positions(df, cfg.k)
     split, pe = df.where("kind = 'SPLIT'"), df.where("kind = 'PE'")
-    split = split.withColumn("same", identity_lengths("seq", "bp_len", "left_ref", "left_pos", "left_fwd", "right_ref", "right_pos", "right_fwd", F.lit(cfg.k))).select("*", "same.*").drop("same")
+    split = split.join(refs.toDF("left_seg", "left_ref"), "left_seg").join(refs.toDF("right_seg", "right_ref"), "right_seg")
+    split = identity_lengths(split, cfg.k).drop("left_ref", "right_ref")
     split = geometry(split.where("left_same > 0 and left_same < bp_len and right_same > 0 and right_same < bp_len"))
     for c, kind in (("left_same", "int"), ("right_same", "int"), ("var_len", "int"), ("left_off", "int"), ("right_off", "int"), ("hom_len", "int"), ("hom_seq", "string")):
         pe = pe.withColumn(c, F.lit(0 if c == "var_len" else None).cast(kind))
     pe = pe.withColumn("seq_left", F.lit("N")).withColumn("seq_right", F.lit("N"))
-    df = average_scores(split.unionByName(pe)).drop("left_ref", "right_ref")
-    df = df.withColumn("mol", molecule_counts("barcodes")).select("*", "mol.*").drop("mol")
-    df = df.withColumn("pass_evidence", evidence(df, cfg)).withColumn("small", small_event(cfg)).withColumn("fake", F.col("flag") != 3).withColumn("imprecise", F.col("split_cnt") == 0)
-    order = Window.orderBy("left_seg", "left_pos", "right_seg", "right_pos", "left_fwd", "right_fwd", "seq")
-    return df.withColumn("sv_no", F.row_number().over(order) - 1)  # called events only, a few thousand rows
+    df = cut(numbered(average_scores(split.unionByName(pe)), ["left_seg", "left_pos", "right_seg", "right_pos", "left_fwd", "right_fwd", "seq", "kind"]))
+    df = df.join(event_molecules(df, "sv_no"), "sv_no", "left").withColumn("molecules", F.coalesce("molecules", F.lit(1.0)).cast("double")).withColumn("singles", F.coalesce("singles", F.lit(0)).cast("int"))
+    return flags(df.withColumn("pass_evidence", evidence(df, cfg)), cfg)
 
 
 def _fields(df: DataFrame, side: str, other: str, prefix: str) -> DataFrame:

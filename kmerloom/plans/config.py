@@ -20,5 +20,9 @@ class Config:
     max_bp_score: float = 3.0
     reliability: float = 2.499
     flank: int = 300
-    #: An index of at most so many rows is broadcast to the scan; a larger one is joined.
+    #: Bases of the left k-mer that are part of a spaced seed's key.
+    spaced_left: int = 18
+    #: Odd offsets of a read take their hit from those three before and after where these agree.
+    interpolate: bool = False
+    #: An index of at most so many rows, composite ones included, is broadcast to the scan; a larger one is joined.
     broadcast_rows: int = 4_000_000

@@ -14,8 +14,10 @@ CONTIGS_SQL = f"""contigs AS (
          string_agg({DNA_SQL.format("CASE WHEN p_partkey % 7 = 0 THEN p_partkey % 50 ELSE p_partkey END")}, '' ORDER BY p_partkey) AS seq
   FROM part GROUP BY ALL)"""
 
-READS_SQL = """plan AS (
-  SELECT l_orderkey, l_linenumber, l_suppkey, l_orderkey * 10 + l_linenumber AS read_id,
+ROW_ID = "((l_orderkey * 10 + l_linenumber) * 100000 + l_partkey) * 10000 + l_suppkey"  # order and line alone repeat
+
+READS_SQL = f"""plan AS (
+  SELECT l_orderkey, l_linenumber, l_suppkey, {ROW_ID} AS read_id,
          l_orderkey % 20 = 0 AS planted, (l_orderkey // 20) % 20 AS j FROM lineitem),
 placed AS (
   SELECT p.*, a.seq AS a_seq, b.seq AS b_seq,
@@ -34,6 +36,17 @@ reads AS (
          l_orderkey, l_suppkey, planted FROM fragments)"""
 
 
+# Contigs that are every other 512 bases a copy of one element; a base out of six is changed in about half of the
+# copies, so that a k-mer is in several copies and a longer word in few. The same text is SQL for both engines.
+_D = "translate(md5(cast({} as string)), '0123456789abcdef', 'ACGTACGTACGTACGT')"
+_BLOCK, _PIECE = "cast(floor(p_partkey / 80) as int)", "cast(floor(p_partkey / 5) as int) % 16"
+_E, _M = _D.format(f"100000 + {_PIECE}"), f"md5(cast(({_BLOCK} * 5 + p_partkey % 5) * 16 + {_PIECE} as string))"
+_CHANGED = ", ".join(f"case when substr({_M}, {q}, 1) < '8' then translate(substr({_E}, {q}, 1), 'ACGT', 'CGTA') else substr({_E}, {q}, 1) end, substr({_E}, {q + 1}, {4 if q == 28 else 5})" for q in (4, 10, 16, 22, 28))
+COPY_BASES = f"case when {_BLOCK} % 2 = 1 then concat(substr({_E}, 1, 3), {_CHANGED}) else {_D.format('p_partkey')} end"
+COPIES_SQL = f"""contigs AS (
+  SELECT 'chr' || (p_partkey % 5) AS chrom, CAST(p_partkey % 5 AS INT) AS chrom_idx, string_agg({COPY_BASES}, '' ORDER BY p_partkey) AS seq FROM part GROUP BY ALL)"""
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -42,36 +55,60 @@ def dna(x: Column) -> Column:
     return F.translate(F.md5(x.cast("string").cast("binary")), "0123456789abcdef", "ACGTACGTACGTACGT")
 
 
-def _pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(chrom, chrom_idx, pieces): a contig as an array of pieces of 32 bases."""
+CHUNK = 32  # pieces of 32 bases; a chunk has 12 more, so that it holds every fragment that begins in it
+MORE = 12
+
+
+def _pieces(spark: SparkSession, sf_dir: str, bases: Column | None = None) -> DataFrame:
+    """(chrom_idx, r, bases): the pieces of 32 bases of the contigs in order."""
+    from pyspark.sql import Window
+
     key = F.when(F.col("p_partkey") % 7 == 0, F.col("p_partkey") % 50).otherwise(F.col("p_partkey"))
-    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).cast("int").alias("chrom_idx"), dna(key).alias("bases"))
-    grouped = part.groupBy("chrom_idx").agg(F.array_sort(F.collect_list(F.struct("p_partkey", "bases"))).alias("parts"))
-    return grouped.select(F.concat(F.lit("chr"), F.col("chrom_idx").cast("string")).alias("chrom"), "chrom_idx", F.transform("parts", lambda x: x["bases"]).alias("pieces"))
+    part = table(spark, sf_dir, "part").select("p_partkey", (F.col("p_partkey") % 5).cast("int").alias("chrom_idx"), (dna(key) if bases is None else bases).alias("bases"))
+    return part.select("chrom_idx", (F.row_number().over(Window.partitionBy("chrom_idx").orderBy("p_partkey")) - 1).alias("r"), "bases")
+
+
+def _joined(pieces: DataFrame, *keys: str) -> DataFrame:
+    parts = pieces.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("r", "bases"))).alias("parts"))
+    return parts.select(*keys, F.array_join(F.transform("parts", lambda x: x["bases"]), "").alias("seq"))
 
 
 def contigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(chrom, chrom_idx, seq)"""
-    return _pieces(spark, sf_dir).select("chrom", "chrom_idx", F.array_join("pieces", "").alias("seq"))
+    return _named(_joined(_pieces(spark, sf_dir), "chrom_idx"))
+
+
+def copies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(chrom, chrom_idx, seq) with many copies of an element."""
+    return _named(_joined(_pieces(spark, sf_dir, F.expr(COPY_BASES)), "chrom_idx"))
+
+
+def _named(contigs: DataFrame) -> DataFrame:
+    return contigs.select(F.concat(F.lit("chr"), F.col("chrom_idx").cast("string")).alias("chrom"), "chrom_idx", "seq")
 
 
-def _bases(pieces: str, start: str, n: str) -> str:
-    """SQL for n bases from offset start (from 0) of a contig in pieces, without walking along it."""
-    return f"substr(array_join(slice({pieces}, cast(({start}) div 32 + 1 as int), cast(({n}) div 32 + 2 as int)), ''), cast(({start}) % 32 + 1 as int), cast({n} as int))"
+def chunks(pieces: DataFrame) -> DataFrame:
+    """(chrom_idx, chunk, seq): overlapping chunks, so that a fragment is cut from a short row."""
+    own = F.floor(F.col("r") / CHUNK).cast("int")
+    both = F.when((F.col("r") % CHUNK < MORE) & (own > 0), F.array(own, own - 1)).otherwise(F.array(own))
+    return _joined(pieces.withColumn("chunk", F.explode(both)), "chrom_idx", "chunk")
 
 
 def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(read_id, name, r1_seq, r2_seq, r1_qual, r2_qual, l_orderkey, l_suppkey, planted)"""
-    item = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey")
-    item = item.withColumn("read_id", F.col("l_orderkey") * 10 + F.col("l_linenumber")).withColumn("planted", F.col("l_orderkey") % 20 == 0).withColumn("j", F.expr("(l_orderkey div 20) % 20"))
-    five = _pieces(spark, sf_dir)  # five contigs of the fixture
-    a = five.select(F.col("chrom_idx").cast("long").alias("a_idx"), F.col("pieces").alias("a"))
-    b = five.select(F.col("chrom_idx").cast("long").alias("b_idx"), F.col("pieces").alias("b"))
-    item = item.withColumn("a_idx", F.expr("case when planted then j % 5 else l_orderkey % 5 end")).withColumn("b_idx", F.expr("(j + 1) % 5"))
-    both = item.join(F.broadcast(a), "a_idx").join(F.broadcast(b), "b_idx")
-    both = both.selectExpr("*", "case when planted then 200 + 40 * j else (l_orderkey * 37 + l_linenumber * 101) % (32 * size(a) - 400) end as a_pos", "300 + 40 * j as b_pos", "30 + (l_linenumber * 7 + l_orderkey) % 41 as s")
-    both = both.withColumn("fragment", F.expr(f"case when planted then concat({_bases('a', 'a_pos - s', 's')}, {_bases('b', 'b_pos', '300 - s')}) else {_bases('a', 'a_pos', '300')} end"))
-    both = both.select("read_id", "l_orderkey", "l_suppkey", "planted", "fragment").repartition(spark.sparkContext.defaultParallelism)  # the table is one file
+    """(read_id, name, r1_seq, r2_seq, r1_qual, r2_qual, l_orderkey, l_suppkey, planted, fragment)"""
+    item = table(spark, sf_dir, "lineitem").selectExpr("l_orderkey", "l_linenumber", "l_suppkey", f"{ROW_ID} as read_id").repartition(spark.sparkContext.defaultParallelism)  # the table is one file
+    item = item.withColumn("planted", F.col("l_orderkey") % 20 == 0).withColumn("j", F.expr("(l_orderkey div 20) % 20"))
+    pieces = _pieces(spark, sf_dir)
+    size = pieces.groupBy(F.col("chrom_idx").alias("a_idx")).agg((F.count("*") * 32).alias("size"))  # five contigs
+    chunk = chunks(pieces)
+    item = item.withColumn("a_idx", F.expr("cast(case when planted then j % 5 else l_orderkey % 5 end as int)")).withColumn("b_idx", F.expr("cast((j + 1) % 5 as int)")).join(F.broadcast(size), "a_idx")
+    item = item.selectExpr("*", "30 + (l_linenumber * 7 + l_orderkey) % 41 as s", "300 + 40 * j as b_at")
+    item = item.selectExpr("*", "case when planted then 200 + 40 * j - s else (l_orderkey * 37 + l_linenumber * 101) % (size - 400) end as a_at", "case when planted then s else 300 end as a_n")
+    base = 32 * CHUNK
+    for x in ("a", "b"):
+        item = item.withColumn(f"{x}_chunk", F.expr(f"cast({x}_at div {base} as int)")).join(chunk.toDF(f"{x}_idx", f"{x}_chunk", x), [f"{x}_idx", f"{x}_chunk"], "left")
+    fragment = F.expr(f"concat(substr(a, cast(a_at % {base} + 1 as int), cast(a_n as int)), case when planted then substr(b, cast(b_at % {base} + 1 as int), cast(300 - s as int)) else '' end)")
+    both = item.select("read_id", "l_orderkey", "l_suppkey", "planted", fragment.alias("fragment"))
     return both.select(
         "read_id",
         F.concat(F.lit("read"), F.col("read_id").cast("string")).alias("name"),
@@ -82,4 +119,5 @@ def reads(spark: SparkSession, sf_dir: str) -> DataFrame:
         "l_orderkey",
         "l_suppkey",
         "planted",
+        "fragment",
     )

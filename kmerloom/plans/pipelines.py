@@ -16,14 +16,11 @@ def build_index(contigs: DataFrame, cfg: Config, snps: DataFrame | None = None)
     """Tables ``segments``, ``kmers``, ``long``, ``spaced`` and ``contigs``."""
     segments = cut(I.cut_genome(contigs, I.repeats(contigs, cfg), cfg))
     kmers = cut(I.kmer_index(segments, cfg, snps))
-    return {"segments": segments, "kmers": kmers, "long": cut(I.composite_index(segments, kmers, cfg.long_k, cfg)), "spaced": cut(I.composite_index(segments, kmers, cfg.spaced_k, cfg)), "contigs": contigs}
+    return {"segments": segments, "kmers": kmers, "long": cut(I.composite_index(segments, kmers, cfg.long_k, cfg, snps)), "spaced": cut(I.composite_index(segments, kmers, cfg.spaced_k, cfg, snps)), "contigs": contigs}
 
 
 def find_breakpoints(reads: DataFrame, index: dict[str, DataFrame], cfg: Config, r1=(0, 0, 0), r2=(0, 0, 0), all_low: bool = False) -> DataFrame:
-    """Breakpoint records; reads that come in fewer partitions than there are cores are dealt out first, as scanning is the work."""
-    cores = reads.sparkSession.sparkContext.defaultParallelism
-    if reads.rdd.getNumPartitions() < cores:
-        reads = reads.repartition(cores)
+    """Breakpoint records of good reads."""
     ready = R.with_barcodes(R.good_quality(reads, all_low=all_low), r1, r2)
     return R.breakpoints(ready, index["kmers"], index["long"], index["spaced"], cfg)
 
@@ -32,9 +29,8 @@ def call_variants(breakpoints: DataFrame, index: dict[str, DataFrame], cfg: Conf
     """Candidates from breakpoint records."""
     segments = index["segments"]
     equal = cut(P.merge_equal(P.from_breakpoints(breakpoints)))
-    near = "left_code = right_code and abs(left_pos - right_pos) < 500 and left_fwd = right_fwd"
     clustered = cut(P.cluster_splits(equal, segments, cfg))
-    pairs = cut(P.merge_equal(equal.where(f"kind = 'PE' and not ({near})").unionByName(clustered.where("kind = 'PE'"))))
+    pairs = cut(P.merge_equal(P.apart(equal.where("kind = 'PE'")).unionByName(clustered.where("kind = 'PE'"))))
     found = P.add_pairs(pairs, clustered.where("kind = 'SPLIT'"), segments)
     merged = P.merge_ranges(P.canonical(found, segments))
     return V.candidates(merged, segments, cfg)

@@ -2,6 +2,9 @@ import dataclasses
 import gzip
 import random
 
+import pytest
+
+from kmerloom.__main__ import INDEXED, main
 from kmerloom.functions import kernels
 from kmerloom.operators import reads as R
 from kmerloom.operators import vcf
@@ -32,6 +35,71 @@ def test_files(spark, tmp_path):
     assert [(r.chrom, r.pos, r.ref, r.alt) for r in files.read_snps(spark, str(tmp_path / "s.vcf")).collect()] == [("chr1", 5, "A", "C")]
 
 
+def test_fastq_records_over_partition_borders(spark, tmp_path):
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    n = 400
+    for m in (1, 2):
+        (tmp_path / f"r{m}.fq").write_text("".join(f"@a{i} {m}\n{'ACGT' * (i % 7 + 1)}\n+\n{'@' * (4 * (i % 7 + 1))}\n" for i in range(n)))
+    try:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+        rows = files.read_fastq_pairs(spark, str(tmp_path / "r1.fq"), str(tmp_path / "r2.fq")).orderBy("read_id").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert [(r.read_id, r.name, len(r.r1_seq), len(r.r2_qual)) for r in rows] == [(i, f"a{i}", 4 * (i % 7 + 1), 4 * (i % 7 + 1)) for i in range(n)]
+
+
+def test_names_of_a_pair_must_be_equal(spark):
+    pairs = spark.createDataFrame([("a/1", "a/2"), ("b/1", "c/2")], "name string, name2 string")
+    assert [r.name for r in R.same_names(pairs.where("name = 'a/1'")).collect()] == ["a"]
+    with pytest.raises(Exception, match="names of a pair differ"):
+        R.same_names(pairs).collect()
+
+
+def test_fasta_ranges_by_index(spark, tmp_path):
+    rng = random.Random(8)
+    seqs = {c: "".join(rng.choice("ACGTacgtN") for _ in range(n)) for c, n in (("chr1", 95), ("chr2", 61), ("chr3", 20))}
+    text, fai = "", ""
+    for c, s in seqs.items():
+        text += f">{c}\n"
+        fai += f"{c}\t{len(s)}\t{len(text)}\t20\t21\n"
+        text += "".join(s[i : i + 20] + "\n" for i in range(0, len(s), 20))
+    (tmp_path / "g.fa").write_text(text)
+    (tmp_path / "g.fa.fai").write_text(fai)
+    index = files.read_fai(spark, str(tmp_path / "g.fa.fai"))
+    whole = files.read_fasta(spark, str(tmp_path / "g.fa"))
+    for c, a, b in (("chr1", 1, 96), ("chr1", 20, 41), ("chr2", 21, 22), ("chr2", 40, 62), ("chr3", 5, 5), ("chr1", 81, 200)):
+        assert files.read_range(spark, str(tmp_path / "g.fa"), index, c, a, b).first().seq == seqs[c][a - 1 : b - 1].upper()
+    assert files.sequence(whole, "chr1", 20, 41).first().seq == seqs["chr1"][19:40].upper()
+    with pytest.raises(FileNotFoundError):
+        files.must_exist(spark, str(tmp_path / "none.fa"))
+
+
+def test_command_line(spark, tmp_path):
+    """index and call from files, with a known variant; the VCF has a header, and two records for each event."""
+    contigs, reads = fixtures.contigs(spark, SF), fixtures.reads(spark, SF)
+    with open(tmp_path / "g.fa", "w") as f:
+        for r in contigs.orderBy("chrom_idx").collect():
+            f.write(f">{r.chrom}\n" + "".join(r.seq[i : i + 60] + "\n" for i in range(0, len(r.seq), 60)))
+    first = contigs.where("chrom = 'chr0'").first().seq
+    with gzip.open(tmp_path / "s.vcf.gz", "wt") as f:
+        f.write(f"##x\n0\t700\t.\t{first[699]}\t{'A' if first[699] != 'A' else 'C'}\n")
+    rows = reads.collect()
+    for m in (1, 2):
+        with gzip.open(tmp_path / f"r{m}.fq.gz", "wt") as f:
+            f.write("".join(f"@{r.name}/{m}\n{r[f'r{m}_seq']}\n+\n{r[f'r{m}_qual']}\n" for r in rows))
+    sizes = ["--min-segment", "2000", "--max-segment", "4000"]
+    main(["index", "--fasta", str(tmp_path / "g.fa"), "--snps", str(tmp_path / "s.vcf.gz"), "--index", str(tmp_path / "idx"), *sizes], spark)
+    stored = files.read_index(spark, str(tmp_path / "idx"), {n: getattr(catalog.CFG, n) for n in INDEXED})
+    assert all(stored[n].count() for n in ("segments", "kmers", "contigs"))
+    with pytest.raises(ValueError):
+        files.read_index(spark, str(tmp_path / "idx"), {"k": 21})
+    main(["call", "--r1", str(tmp_path / "r1.fq.gz"), "--r2", str(tmp_path / "r2.fq.gz"), "--index", str(tmp_path / "idx"), "--out", str(tmp_path / "out"), "--sample", "s1", *sizes], spark)
+    lines = [x.value for x in spark.read.text(str(tmp_path / "out")).collect()]
+    body = [x.split("\t") for x in lines if not x.startswith("#")]
+    assert any(x.startswith("#CHROM") and x.endswith("\ts1") for x in lines) and len(body) >= 8 and len(body) % 2 == 0
+    assert all(len(x) == 10 and x[7].count("PARID=") == 1 for x in body)
+
+
 def repeat_reads(spark, seed=2):
     """Contigs with many copies of an element, a base changed here and there, and pairs over junctions between them."""
     rng = random.Random(seed)
