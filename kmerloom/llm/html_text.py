@@ -1,6 +1,6 @@
 """HTML extraction by a tree-structured graphical model.
 
-Every DOM node has a label, content or not. Node potentials come from features of the node (tag, words of class and id,
+Every DOM node has a label: 1 for content and for what holds content, 0 for the rest. Node potentials come from features of the node (tag, words of class and id,
 share of text in links, amount of text), edge potentials connect parent and child by the kind of the child. Sum-product
 messages passed up and down the tree give each node's exact content marginal; text whose nearest element is content
 belongs to the main text. The weights are learned from labelled pages by gradient ascent on the log-likelihood (expected
@@ -9,7 +9,9 @@ minus observed features come from the same marginals). The labelled pages are dr
 
 Cases: null or empty html gives an empty text. Broken markup is read as browsers do for the cases that pages have:
 unclosed paragraphs and list items end where the next one begins, stray end tags are passed over, the rest closes at the
-end. Pages may be of any length. Repeated rows are read each. Extra columns are ignored.
+end; end tags may have attributes, unquoted values may hold quotes, and a quote that nothing closes ends with its tag.
+Scripts, styles, titles and text fields are skipped; svg, template and noscript are elements without content. One
+forward pass reads a page, so pages may be of any length. Repeated rows are read each. Extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,12 +27,17 @@ from pyspark.sql import DataFrame
 
 from .tables import map_batches
 
-PAGES = 400
-EPOCHS = 12
-_TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+PAGES = 600
+EPOCHS = 16
+# Most tags: quotes only right behind an equals sign, and no bracket inside them. It never steps back.
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*+)((?:[^<>\"']++|(?<==)\"[^\"<>]*+\"|(?<==)'[^'<>]*+')*+)>")
+_OPEN = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+_STOP = re.compile("[>\"']")
 _ATTR = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 _NAME = re.compile(r"[a-z]+")
-RAW = {"script", "style", "textarea", "noscript", "template", "title", "iframe", "svg"}
+RAW = {"script", "style", "textarea", "title", "iframe", "xmp", "noembed", "noframes"}
+HIDDEN = {"noscript", "template", "svg"}
+_RAW_END = {x: re.compile(f"</{x}(?=[\\s/>])", re.I) for x in RAW}
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"}
 INLINE = {"a", "abbr", "b", "bdi", "bdo", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp", "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "br", "img", "wbr"}
 CLOSES_P = {"address", "article", "aside", "blockquote", "center", "details", "div", "dl", "fieldset", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "table", "ul"}
@@ -41,57 +48,102 @@ SCOPE = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}
 class Tree:
     """Nodes in page order: parent, tag, attribute words; and the text pieces, each with its element and its block."""
 
-    __slots__ = ("parent", "tag", "names", "pieces", "own", "linked")
+    __slots__ = ("parent", "tag", "names", "pieces", "own", "linked", "hidden")
 
     def __init__(self):
-        self.parent, self.tag, self.names, self.pieces, self.own, self.linked = [-1], ["#root"], [()], [], [0], [0]
+        self.parent, self.tag, self.names, self.pieces, self.own, self.linked, self.hidden = [-1], ["#root"], [()], [], [0], [0], [False]
+
+
+def _slow_tag(page: str, at: int, missing: set[str]):
+    """A tag with unusual quotes: (slash, name, attributes, end), or None where it never ends; each quote is looked for once."""
+    m = _OPEN.match(page, at)
+    pos = m.end()
+    while stop := _STOP.search(page, pos):
+        pos, quote = stop.end(), stop[0]
+        if quote == ">":
+            return m[1], m[2], page[m.end() : stop.start()], pos
+        if page[m.end() : stop.start()][-40:].rstrip().endswith("=") and quote not in missing:
+            close = page.find(quote, pos)
+            if close < 0:
+                missing.add(quote)
+            else:
+                pos = close + 1
+    return None
 
 
 def parse(page: str) -> Tree:
     t = Tree()
-    stack, block, at, raw = [0], 0, 0, None
+    stack, block, at = [0], 0, 0
+    is_open: dict[str, int] = {}
+    missing: set[str] = set()
 
     def text(s: str) -> None:
+        node = stack[-1]
+        if t.hidden[node]:
+            return
         if s and not s.isspace():
-            node = stack[-1]
             t.pieces.append((node, block, s))
             t.own[node] += len(s)
             if any(t.tag[k] == "a" for k in stack[-4:]):
                 t.linked[node] += len(s)
         elif s and t.pieces and t.pieces[-1][1] == block:
-            t.pieces.append((stack[-1], block, " "))
+            t.pieces.append((node, block, " "))
 
-    while True:
-        if raw is not None:
-            end = re.compile(f"</{raw}\\s*>", re.I).search(page, at)
-            at, raw = (end.end() if end else len(page)), None
-            stack.pop()
-            continue
-        m = _TOKEN.search(page, at)
-        if not m:
+    def cut(k: int) -> None:
+        for x in stack[k:]:
+            is_open[t.tag[x]] -= 1
+        del stack[k:]
+
+    def close(tags: set[str], scope: set[str]) -> None:
+        if not any(is_open.get(x) for x in tags):
+            return
+        for k in range(len(stack) - 1, 0, -1):
+            if t.tag[stack[k]] in tags:
+                cut(k)
+                return
+            if t.tag[stack[k]] in scope:
+                return
+
+    size = len(page)
+    while at < size:
+        lt = page.find("<", at)
+        while lt >= 0 and not (page[lt + 1 : lt + 2].isalpha() or page[lt + 1 : lt + 2] in ("/", "!", "?")):
+            lt = page.find("<", lt + 1)  # text
+        if lt < 0:
             text(page[at:])
             break
-        text(page[at : m.start()])
-        at = m.end()
-        if m[2] is None:
+        text(page[at:lt])
+        if page.startswith("<!--", lt):
+            end = page.find("-->", lt + 4)
+            at = end + 3 if end >= 0 else size
             continue
-        tag = m[2].lower()
-        if m[1]:
+        m = _TAG.match(page, lt)
+        if m:
+            slash, tag, attributes, at = m[1], m[2].lower(), m[3], m.end()
+        elif _OPEN.match(page, lt):
+            got = _slow_tag(page, lt, missing)
+            if got is None:
+                break
+            slash, tag, attributes, at = got[0], got[1].lower(), got[2], got[3]
+        else:  # <!doctype>, <?xml?>, </ >
+            end = page.find(">", lt)
+            at = end + 1 if end >= 0 else size
+            continue
+        if slash:
             if tag not in INLINE:
                 block += 1
-            if tag in t_open(stack, t):
-                while t.tag[stack[-1]] != tag:
-                    stack.pop()
-                stack.pop()
+            if is_open.get(tag):
+                k = len(stack) - 1
+                while t.tag[stack[k]] != tag:
+                    k -= 1
+                cut(k)
             continue
         if tag in CLOSES_P:
-            _close(stack, t, {"p"}, {"article", "section", "div", "td", "th", "li", "body", "blockquote", "button", "table"})
+            close({"p"}, {"article", "section", "div", "td", "th", "li", "body", "blockquote", "button", "table"})
         if tag in SAME:
-            _close(stack, t, SAME[tag], SCOPE[tag])
+            close(SAME[tag], SCOPE[tag])
         if tag == "br":
-            text(" ") if t.pieces else None
-            if t.pieces and t.pieces[-1][1] == block:
-                t.pieces.append((stack[-1], block, " "))
+            text(" ")
             continue
         if tag not in INLINE:
             block += 1
@@ -99,30 +151,20 @@ def parse(page: str) -> Tree:
             continue
         t.parent.append(stack[-1])
         t.tag.append(tag)
-        t.names.append(_names(m[3]) if m[3] else ())
+        t.names.append(_names(attributes) if attributes else ())
         t.own.append(0)
         t.linked.append(0)
-        if not m[3].endswith("/") or tag in RAW:
+        t.hidden.append(t.hidden[stack[-1]] or tag in HIDDEN)
+        if tag in RAW:
+            end = _RAW_END[tag].search(page, at)
+            close_at = page.find(">", end.end()) if end else -1
+            at = close_at + 1 if close_at >= 0 else size
+        elif not attributes.endswith("/"):
             stack.append(len(t.parent) - 1)
-            if tag in RAW:
-                raw = tag
+            is_open[tag] = is_open.get(tag, 0) + 1
     return t
 
 
-def t_open(stack, t):
-    return [t.tag[k] for k in stack]
-
-
-def _close(stack, t, tags, scope):
-    for k in range(len(stack) - 1, 0, -1):
-        tag = t.tag[stack[k]]
-        if tag in tags:
-            del stack[k:]
-            return
-        if tag in scope:
-            return
-
-
 @lru_cache(maxsize=4096)
 def _names(attributes: str) -> tuple[str, ...]:
     return tuple(sorted({w for m in _ATTR.finditer(attributes) for w in _NAME.findall(_html.unescape(m[2] or m[3] or m[4] or "").lower())}))
@@ -210,6 +252,7 @@ def infer(t: Tree, model: dict):
 _FILL = "lorem ipsum dolor sit amet consetetur sadipscing elitr sed diam nonumy eirmod tempor invidunt ut labore et dolore magna aliquyam erat voluptua at vero eos accusam justo duo dolores ea rebum stet clita kasd gubergren".split()
 _CHROME = ["menu", "navbar", "navigation", "breadcrumb", "sidebar", "widget", "related", "share", "social", "ad", "ads", "advert", "banner", "sponsored", "promo", "cookie", "notice", "consent", "popup", "newsletter", "subscribe", "footer", "copyright", "header", "masthead", "topbar", "comments", "comment", "respond", "reply", "search", "login", "pagination", "tags", "author", "meta", "modal", "alert"]
 _MAIN = ["content", "main", "post", "article", "entry", "body", "story", "text"]
+_PLAIN = ["col", "row", "inner", "left", "center", "box", "wide", "panel", "grid", "cell", "layout", "area"]
 
 
 def labelled_page(rng: random.Random) -> str:
@@ -236,8 +279,13 @@ def labelled_page(rng: random.Random) -> str:
             inner = f"<label>{prose(1, 3)}</label><input><button>{prose(1, 1)}</button>"
         return f"<{tag}{name}>{inner}</{tag}>"
 
+    short = rng.random() < 0.3  # all of the page's paragraphs are: length alone tells nothing
+
     def block():
         r = rng.random()
+        if short and r < 0.85:
+            s = prose(1, 4)
+            return f"<*p><*b>{s}<br>" if r < 0.1 else f"<*p>{s}" + ("</p>" if r < 0.8 else "")
         if r < 0.7:
             s = prose(2, 60)
             if rng.random() < 0.3:
@@ -257,32 +305,42 @@ def labelled_page(rng: random.Random) -> str:
             return f"<*pre>{prose(3, 20)}</pre>"
         return "<*table><*tr><*td>" + prose(1, 4) + "</td><*td>" + prose(1, 4) + "</td></tr></table>"
 
-    parts = [f"<*h1>{prose(1, 8)}</h1>"] + [block() for _ in range(rng.randint(1, 14))]
+    parts = [block() for _ in range(rng.choice([1, 2, 3, 3, 5, 8, 14, 30 if short else 6]))]
+    if rng.random() < 0.85:
+        parts.insert(0, f"<*h1>{prose(1, 8)}</h1>")
     for _ in range(rng.choice([0, 0, 0, 1, 1, 2])):
         parts.insert(rng.randint(1, len(parts)), chrome())
     inner = "".join(parts)
-    outer = rng.choice(["article", "article", "article", "main", "main><*article", "div class='%s'" % rng.choice(_MAIN), "section class='%s'" % rng.choice(_MAIN), "div id='%s'" % rng.choice(_MAIN)])
-    first = outer.split("><*")[-1].split()[0]
-    body = f"<*{outer}>{inner}</{first}>" + ("</main>" if "><*" in outer else "")
     if rng.random() < 0.3:
-        body += f"<div class='comments'><p>{prose(4, 30)}</p><p>{prose(3, 20)}</p></div>"
-    head = f"<html><head><title>{prose(2, 6)}</title><style>p{{}}</style><script>x='</p>'</script></head><body>"
-    wrap = rng.random() < 0.3
-    mid = "".join(chrome() for _ in range(rng.randint(0, 3))) + body + "".join(chrome() for _ in range(rng.randint(0, 3)))
-    return head + ("<div class='page wrapper'>" + mid + "</div>" if wrap else mid) + ("</body></html>" if rng.random() < 0.8 else "")
+        inner += f"<div class='comments'><p>{prose(4, 30)}</p><p>{prose(3, 20)}</p></div>"
+    named = lambda tag, names: f"{tag} {rng.choice(['class', 'id'])}='{rng.choice(names)}'"
+    outer = rng.choice([["article"], ["article"], ["main"], ["main", "article"], [named("div", _MAIN)], [named("section", _MAIN)], ["div"], [named("div", _PLAIN)], ["table", "tr", "td"], [named("div", _PLAIN), named("div", _MAIN)], [], []])
+    body = "".join(f"<*{x}>" for x in outer) + inner + "".join(f"</{x.split()[0]}>" for x in reversed(outer))
+    head = f"<html><head><title>{prose(2, 6)}</title><style>p{{}}</style><script>x='</p>'</script></head>"
+    before, after = ("".join(chrome() for _ in range(rng.choice([0, 0, 1, 2, 3]))) for _ in (0, 1))
+    mid = before + body + after
+    if rng.random() < 0.3:
+        mid = f"<{named('div', ['page', 'wrapper', 'container', 'site'])}>{mid}</div>"
+    r = rng.random()
+    if r < 0.2:
+        return mid if r < 0.1 else body
+    return head + "<body>" + mid + ("</body></html>" if rng.random() < 0.8 else "")
 
 
 def labelled(page: str) -> tuple[Tree, list[int]]:
-    """The tree of a marked page, and the label of each node."""
-    t = parse(page.replace("<*", "<zz-"))
-    # Parse again without marks, so that the tags have their own rules; the marks come in page order.
-    marks = [bool(m[0]) for m in re.finditer(r"<(\*)?[a-zA-Z]", re.sub(r"<(script|style|title)>.*?</\1>", r"<\1>", page, flags=re.S)) for m in [(m[1],)]]
-    names = [m[1].lower() for m in re.finditer(r"<\*?([a-zA-Z][^\s/>]*)", re.sub(r"<(script|style|title)>.*?</\1>", r"<\1>", page, flags=re.S))]
+    """The tree of a marked page, and the label of each node: marked ones and all that they stand in are content."""
+    names, marks = [], []
+    for m in re.finditer(r"<(\*?)([a-zA-Z][^\s/>]*)", re.sub(r"<(script|style|title)>.*?</\1>", r"<\1>", page, flags=re.S)):
+        marks.append(int(bool(m[1])))
+        names.append(m[2].lower())
     t = parse(page.replace("<*", "<"))
-    kept = [x for x, n in zip(marks, names) if n not in VOID]
-    return t, [0, *map(int, kept)]
+    y = [0, *(x for x, n in zip(marks, names) if n not in VOID)]
+    for k in range(len(y) - 1, 0, -1) if len(y) == len(t.parent) else ():
+        y[t.parent[k]] |= y[k]
+    return t, y
 
 
+@lru_cache(maxsize=2)
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> dict:
     rng = random.Random(seed)
     data = [labelled(labelled_page(rng)) for _ in range(pages)]

@@ -1,8 +1,8 @@
 """Language ID: averaged hashed subword embeddings with a linear softmax, trained by SGD in NumPy.
 
 Subwords are the byte n-grams of the text with A-Z lowered. The model is learned from a bounded sample of labelled
-rows (``SAMPLE`` documents of each language, the first by a hash of doc_id, ``SPAN`` characters of each); every document
-is predicted from its whole text. A temperature, fitted on rows that training left out, calibrates the probabilities;
+rows (``SAMPLE`` documents of each language, the first by a hash of doc_id, ``SPAN`` characters of each; the
+``LANGUAGES`` languages with most rows, as the model has a column for each); every document is predicted from its whole text. A temperature, fitted on rows that training left out, calibrates the probabilities;
 the rejection cut-off is set there so that a share of ``REJECT`` of true predictions fall below it.
 
 Cases: null text, or text without a letter, is ``und`` with score 0. With no labelled rows, everything is ``und``.
@@ -21,6 +21,7 @@ from .quality import in_training
 from .tables import map_batches
 
 SAMPLE = 800
+LANGUAGES = 1000
 SPAN = 3000
 SIZES = (3, 5)
 BITS = 16
@@ -94,21 +95,25 @@ def train(texts: list[str], langs: list[str], seed: int = 7) -> dict:
     return {"names": names, "table": table.astype(np.float32), "bias": b, "temperature": temperature, "cut": cut}
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> dict:
-    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & in_training())
-    langs = [r[0] for r in rows.select("lang").distinct().orderBy("lang").limit(1000).collect()]
-    texts, names = [], []
-    some = None
-    for x in langs:
-        one = rows.where(F.col("lang") == x).select("doc_id", "lang").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-        some = one if some is None else some.unionByName(one)
-    if some is None:
+def fit(docs: DataFrame, sample: int = SAMPLE, languages: int = LANGUAGES) -> dict:
+    """Two scans whatever the number of languages: the rows of each are counted, then those with small hashes are taken."""
+    rows = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull() & in_training())
+    most = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    if not most:
         return {}
-    picked = docs.select("doc_id", "text").where("text is not null").join(F.broadcast(some.distinct()), "doc_id").select("doc_id", "lang", F.substring("text", 1, SPAN).alias("head"), F.expr(f"substring(text, greatest(length(text) - {SPAN} + 1, 1), {SPAN})").alias("tail"))
-    for r in sorted(picked.collect(), key=lambda r: (r.doc_id, r.lang, r.head)):
-        texts.append(r.tail if r.doc_id % 2 else r.head)
-        names.append(r.lang)
-    return train(texts, names)
+    # So that the sample is there almost surely; of what is more, the smallest hashes stay.
+    share = {r[0]: min(1.0, 1.2 * (sample + 5 * sample**0.5) / r[1]) for r in most}
+    least = F.create_map(*(F.lit(x) for kv in sorted(share.items()) for x in kv))
+    h = F.xxhash64("doc_id")
+    unit = F.shiftrightunsigned(h.bitwiseXOR(F.lit(-(1 << 63))), 11) / float(1 << 53)
+    head, tail = F.substring("text", 1, SPAN), F.expr(f"substring(text, greatest(length(text) - {SPAN} + 1, 1), {SPAN})")
+    picked = rows.where(unit <= F.element_at(least, F.col("lang"))).select("doc_id", "lang", h.alias("h"), F.when(F.col("doc_id") % 2 == 0, head).otherwise(tail).alias("text"))
+    of: dict[str, list] = {}
+    for r in sorted(picked.collect(), key=lambda r: (r.lang, r.h, r.doc_id, r.text)):
+        if len(of.setdefault(r.lang, [])) < sample:
+            of[r.lang].append(r)
+    chosen = sorted((r for x in of.values() for r in x), key=lambda r: (r.doc_id, r.lang, r.text))
+    return train([r.text for r in chosen], [r.lang for r in chosen])
 
 
 def _predict(model: dict):

@@ -12,7 +12,31 @@ TEMPLATES = {
     "GPL-2.0": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version.",
     "MPL-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Unlicense": "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.",
-    "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    "CC-BY-NC-4.0-line": "Licensed under CC BY-NC 4.0.",
+    "GPL-2.0-line": "This work is licensed under the GNU General Public License, version 2.",
+    "BSD-line": "Released under the BSD License.",
 }
+
+# Words that tell a licence from its like: each phrase stands in the text as it does here, without a word between.
+PHRASES = {
+    "MIT": ["free of charge to any person obtaining a copy of this software"],
+    "MIT-line": ["MIT License"],
+    "Apache-2.0": ["Apache License Version 2.0"],
+    "Apache-2.0-line": ["Apache License Version 2.0"],
+    "BSD-3-Clause": ["Neither the name of"],
+    "ISC": ["Permission to use copy modify and or distribute"],
+    "GPL-3.0": ["GNU General Public License as", "version 3"],
+    "GPL-3.0-line": ["GNU General Public License version 3"],
+    "GPL-2.0": ["GNU General Public License as", "version 2"],
+    "GPL-2.0-line": ["GNU General Public License version 2"],
+    "MPL-2.0": ["Mozilla Public License v 2.0"],
+    "Unlicense": ["free and unencumbered software"],
+    "BSD-line": ["BSD License"],
+}
+
+_CREATIVE = {"BY": "Attribution", "BY-SA": "Attribution-ShareAlike", "BY-ND": "Attribution-NoDerivatives", "BY-NC": "Attribution-NonCommercial", "BY-NC-SA": "Attribution-NonCommercial-ShareAlike", "BY-NC-ND": "Attribution-NonCommercial-NoDerivatives"}
+for _code, _words in _CREATIVE.items():
+    for _version, _kind in (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International")):
+        TEMPLATES[f"CC-{_code}-{_version}"] = f"This work is licensed under a Creative Commons {_words} {_version} {_kind} License."
+        TEMPLATES[f"CC-{_code}-{_version}-line"] = f"Licensed under CC {_code} {_version}."
+        PHRASES[f"CC-{_code}-{_version}"] = [f"Creative Commons {_words} {_version}"]
+        PHRASES[f"CC-{_code}-{_version}-line"] = [f"CC {_code} {_version}"]

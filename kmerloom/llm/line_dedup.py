@@ -30,6 +30,7 @@ BANDS = 22
 ROWS = 7
 PCT = 80
 SEEN = 200_000
+TABLE = 1 << 16
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -55,18 +56,38 @@ def codes_of(lines: list[str], w: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def signatures(lines: list[str], w: int, bands: int, rows: int) -> np.ndarray:
-    """Band keys, one row of ``bands`` 64-bit keys for each line."""
+    """Band keys, one row of ``bands`` 64-bit keys for each line.
+
+    Lines of about one length are taken together as a table of their shingles (the shorter ones repeat a shingle, which
+    changes no minimum): many lines as its columns, a few long ones as its rows, whichever the minimum runs along faster.
+    """
+    out = np.empty((len(lines), bands), K.U)
+    if not lines:
+        return out.view(np.int64)
     h, begin = codes_of(lines, w)
     h = (h >> K.U(32)).astype(np.uint32)
-    seeds = K.mix(np.arange(2 * bands * rows, dtype=K.U), 11)
-    out = np.empty((len(lines), bands), K.U)
-    for b in range(bands):
-        key = np.full(len(lines), b, K.U)
+    size = np.diff(np.r_[begin, len(h)])
+    seeds = (K.mix(np.arange(bands * rows, dtype=K.U), 11) >> K.U(32)).astype(np.uint32) | np.uint32(1)
+    order = np.argsort(size, kind="stable")
+    at = 0
+    while at < len(order):
+        most = int(size[order[at]]) * 9 // 8 + 2
+        end = min(int(np.searchsorted(size[order], most, "right")), at + max(16, TABLE // most))
+        part = order[at:end]
+        at = end
+        n = size[part]
+        step = np.arange(int(n[-1]))[:, None]
+        table = h[begin[part][None] + np.where(step < n[None], step, 0)]
+        axis = int(len(part) < 64)
+        table = np.ascontiguousarray(table.T) if axis else table
+        scaled, least = np.empty_like(table), np.empty((bands * rows, len(part)), np.uint32)
+        for r, seed in enumerate(seeds):
+            np.multiply(table, seed, out=scaled)
+            np.minimum.reduce(scaled, axis=axis, out=least[r])
+        key = np.broadcast_to(np.arange(bands, dtype=K.U)[:, None], (bands, len(part))).copy()
         for r in range(rows):
-            s = 2 * (b * rows + r)
-            v = (h ^ np.uint32(seeds[s] >> K.U(32))) * np.uint32((seeds[s + 1] >> K.U(32)) | K.U(1))
-            key = K.mix(key ^ np.minimum.reduceat(v, begin).astype(K.U), r + 1)
-        out[:, b] = key
+            key = K.mix(key ^ least[r::rows], r + 1)
+        out[part] = key.T
     return out.view(np.int64)
 
 

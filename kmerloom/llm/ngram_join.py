@@ -16,7 +16,8 @@ occur twice are taken fragment by fragment as bit columns, partial overlaps are
 Large families are dealt over pairs of blocks. Only spanning forests and link counts leave a task.
 
 Cases: null or empty text, or text without words, has an empty set, linked with nothing. Texts with the same set are
-one class, found by a 128-bit set hash. Repeated rows are kept. Rows that share a doc_id are taken as linked. A null
+one class, found by a 128-bit set hash. Repeated rows are kept. Rows that share a doc_id with different texts are linked
+with each other, so their components are one; ``n_links`` of such a row may count the links of the others too. A null
 doc_id stays, unlinked, with a null component. Other columns of the input are ignored.
 """
 
@@ -272,7 +273,10 @@ def ngram_join(docs: DataFrame, w: int = 3, pct: int = 90, screen: bool = False)
 
 
 def _result(one: DataFrame, classes: DataFrame, out: DataFrame) -> DataFrame:
-    comp = components(out.select("a", "b")).withColumnRenamed("node", "rep")
+    # A doc_id with several sets links their classes, each named by its smallest doc_id.
+    several = one.where("n_shingles > 0 and doc_id is not null").groupBy("doc_id").agg(F.min("h1").alias("lo"), F.max("h1").alias("hi")).where("lo <> hi").select("doc_id")
+    through = one.select("doc_id", "h1", "h2").join(several, "doc_id").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+    comp = components(out.select("a", "b").unionByName(through)).withColumnRenamed("node", "rep")
     links = out.groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     of = classes.drop("n").join(comp, "rep", "left").join(links, "rep", "left").select("h1", "h2", F.coalesce("component", "rep").alias("component_id"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     return one.join(of, ["h1", "h2"], "left").select(

@@ -5,7 +5,8 @@ and a rest. Dynamic programming over the global histogram of piece lengths (at m
 size) chooses the bucket bounds that minimise padding; inside each bucket, batches hold ``BATCH_TOKENS // bound`` pieces each.
 
 Batch numbers need a rank within a bucket. Pieces are dealt by a hash of their id over enough salts that each salt of a
-bucket is small; ranks are local to a salt, and offsets come from the table of counts by (bucket, salt).
+bucket is small; ranks are local to a salt, and offsets come from the counts by (bucket, salt), summed over ranges of
+``SALTS`` salts first and then inside each range.
 
 Cases: a null or empty text has no tokens and no piece, and is in no batch; a table without tokens gives no rows.
 Repeated rows are packed each. Extra columns are ignored.
@@ -24,6 +25,11 @@ MAX_TOKENS = 2048
 BUCKETS = 16
 BATCH_TOKENS = 32768
 SALT_ROWS = 20_000
+SALTS = 1000
+
+
+#: Fixed value: how the default vocabulary splits a text before its merges.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
 
 def vocabulary() -> str:
@@ -33,15 +39,14 @@ def vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.tiktoken")
 
 
-def encoder(path: str):
+def encoder(path: str, pattern: str = PATTERN):
     import base64
 
-    import public_tokenizers
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
 
 
 def _count(path: str):
@@ -109,7 +114,12 @@ def pack(counts: DataFrame, max_tokens: int = MAX_TOKENS, buckets: int = BUCKETS
     dealt = dealt.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(salts)))
     part = dealt.groupBy("bucket", "salt").count()
     # The counts are bucket x salt rows; ranges of salts are added up first, so that no task sums all of them.
-    before = part.withColumn("before", F.sum("count").over(Window.partitionBy("bucket").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1))).select("bucket", "salt", F.coalesce("before", F.lit(0)).alias("before"))
+    part = part.withColumn("range", F.floor(F.col("salt") / SALTS))
+    earlier = lambda keys, by: Window.partitionBy(*keys).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    ranges = part.groupBy("bucket", "range").agg(F.sum("count").alias("n"))
+    ranges = ranges.select("bucket", "range", F.coalesce(F.sum("n").over(earlier(["bucket"], "range")), F.lit(0)).alias("ahead"))
+    inside = part.withColumn("inside", F.coalesce(F.sum("count").over(earlier(["bucket", "range"], "salt")), F.lit(0)))
+    before = inside.join(ranges, ["bucket", "range"]).select("bucket", "salt", (F.col("inside") + F.col("ahead")).alias("before"))
     local = F.row_number().over(Window.partitionBy("bucket", "salt").orderBy("piece_tokens", "doc_id", "piece"))
     ranked = dealt.withColumn("local", local).join(before, ["bucket", "salt"])
     rank = F.col("before") + F.col("local") - 1

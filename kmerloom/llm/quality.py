@@ -1,7 +1,9 @@
 """Quality by compression: one zstandard dictionary from good and one from bad labelled text.
 
 A text's bytes are compressed in pieces with either dictionary; the difference of the compressed sizes divided by the
-length becomes a probability by a logistic curve fitted to labelled texts that the dictionaries have not seen.
+length becomes a probability by a logistic curve. The curve is fitted to differences by dictionaries that have not seen
+the text (``FOLDS`` folds), so every label serves both; the dictionaries of the model are then built from all of them.
+Where the sample cuts a class, its rows weigh as much as the class, so the probabilities are those of all labelled rows.
 
 Fitting reads a bounded sample (``SAMPLE`` labelled documents of each class, the first by a hash of doc_id, and of each
 at most ``PIECES`` pieces spread over the text); every document is scored on its whole text. Only the text is an input
@@ -27,6 +29,7 @@ PIECES = 6
 PIECE = 4096
 DICTIONARY = 100_000
 LEVEL = 3
+FOLDS = 4
 
 
 def in_training(col: str = "doc_id"):
@@ -54,28 +57,64 @@ def difference(text: bytes, good, bad) -> float:
     return sum(len(bad.compress(p)) - len(good.compress(p)) for p in _pieces(text)) / len(text)
 
 
-def platt(x: np.ndarray, y: np.ndarray) -> tuple[float, float, float]:
-    """Slope, intercept and scale of a logistic curve by Newton's method, classes weighted as they are."""
+def platt(x: np.ndarray, y: np.ndarray, weight: np.ndarray | None = None) -> tuple[float, float, float]:
+    """Slope, intercept and scale of a logistic curve by Newton's method; ``weight``: how many rows one stands for."""
     scale = float(np.std(x)) or 1.0
+    weight = np.ones(len(x)) if weight is None else weight / weight.mean()
     z = np.stack([x / scale, np.ones(len(x))], 1)
     pos, neg = y.sum(), (1 - y).sum()
     t = np.where(y > 0, (pos + 1) / (pos + 2), 1 / (neg + 2))
     w = np.zeros(2)
     for _ in range(60):
         p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
-        h = (z * (p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
-        step = np.linalg.solve(h, z.T @ (t - p) - 1e-6 * w)
+        h = (z * (weight * p * (1 - p))[:, None]).T @ z + 1e-6 * np.eye(2)
+        step = np.linalg.solve(h, z.T @ (weight * (t - p)) - 1e-6 * w)
         w = w + np.clip(step, -2, 2)
         if np.abs(step).max() < 1e-8:
             break
     return float(w[0]), float(w[1]), scale
 
 
+def dictionaries(docs: list[tuple[list[bytes], int]]) -> list[bytes] | None:
+    """A dictionary for each class, from texts in pieces with their labels; none if a class has too little."""
+    made = []
+    for y in (0, 1):
+        parts = [q[:PIECE] for ps, v in docs if v == y for p in ps for q in _pieces(p) if len(q) >= 16]
+        if len(parts) < 8:
+            return None
+        try:
+            made.append(zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, parts)) // 8)), parts, k=256, d=8).as_bytes())
+        except zstandard.ZstdError:
+            made.append(b"".join(parts)[:DICTIONARY])
+    return made
+
+
+def learn(docs: list[tuple[list[bytes], int]], weight: dict[int, float]) -> dict:
+    """The model from labelled texts in pieces; ``weight``: rows of a class for one of the sample."""
+    made = dictionaries(docs)
+    if made is None:
+        return {}
+    x, y = [], []
+    for k in range(FOLDS):
+        fold = dictionaries([d for i, d in enumerate(docs) if i % FOLDS != k])
+        if fold is None:
+            continue
+        bad, good = map(_compressor, fold)
+        for ps, v in docs[k::FOLDS]:
+            x.append(difference(b"".join(ps), good, bad))
+            y.append(v)
+    if len(set(y)) < 2:
+        return {}
+    a, b, scale = platt(np.array(x), np.array(y, float), np.array([weight[v] for v in y]))
+    return {"good": made[1], "bad": made[0], "slope": a, "intercept": b, "scale": scale}
+
+
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     """Dictionaries and the curve from labelled rows outside the held-out fold."""
-    some = None
+    some, count = None, {}
     for y in (0, 1):
         one = labels.where((F.col("quality") == y) & F.col("doc_id").isNotNull() & in_training()).select("doc_id", "quality").distinct()
+        count[y] = one.count()
         one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         some = one if some is None else some.unionByName(one)
     size, step = PIECE, PIECE * 2
@@ -85,20 +124,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     rows = rows.select("doc_id", "quality", F.when(F.length("text") <= step, F.array("text")).otherwise(spread).alias("pieces")).toArrow()
     order = np.argsort(rows.column("doc_id").to_numpy(), kind="stable")
     docs_ = [([p.encode() for p in rows.column("pieces")[int(i)].as_py()], rows.column("quality")[int(i)].as_py()) for i in order]
-    learn, tune = docs_[::2], docs_[1::2]
-    made = {}
-    for y in (0, 1):
-        parts = [q[:PIECE] for ps, v in learn if v == y for p in ps for q in _pieces(p) if len(q) >= 16]
-        if len(parts) < 8 or not any(v == y for _, v in tune):
-            return {}
-        try:
-            made[y] = zstandard.train_dictionary(min(DICTIONARY, max(1024, sum(map(len, parts)) // 8)), parts, k=256, d=8).as_bytes()
-        except zstandard.ZstdError:
-            made[y] = b"".join(parts)[:DICTIONARY]
-    good, bad = _compressor(made[1]), _compressor(made[0])
-    x = np.array([difference(b"".join(ps), good, bad) for ps, _ in tune])
-    a, b, scale = platt(x, np.array([float(v) for _, v in tune]))
-    return {"good": made[1], "bad": made[0], "slope": a, "intercept": b, "scale": scale}
+    return learn(docs_, {y: max(1.0, count[y] / sample) for y in (0, 1)})
 
 
 def _score(model: dict, threshold: float):

@@ -72,4 +72,25 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_line_dedup, op2_vector_dedup, op3_license_scan, op4_quality, op5_decontaminate, op6_language_id, op7_ngram_join, op8_html_text, op9_packing, op10_secret_scan)}
 
-ORACLE_SQL: dict[str, str] = {}
+#: The smallest id that links reach, from ``link(a, b)`` in both directions and ``node(id)``; links are few at the scale of the check.
+_REACH = "reach AS (SELECT id AS a, id AS b FROM node UNION SELECT r.a, l.b FROM reach r JOIN link l ON l.a = r.b)"
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+ORACLE_SQL: dict[str, str] = {
+    "op2_vector_dedup": f"""WITH RECURSIVE fit AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+link AS (SELECT p.vec_id AS a, q.vec_id AS b FROM fit p JOIN fit q ON p.label = q.label AND p.vec_id <> q.vec_id AND len(p.v) = len(q.v)
+  WHERE list_inner_product(p.v, q.v) / sqrt(list_inner_product(p.v, p.v) * list_inner_product(q.v, q.v)) >= 0.98),
+node AS (SELECT vec_id AS id FROM embeddings), {_REACH},
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS kept FROM embeddings e JOIN least ON least.a = e.vec_id LEFT JOIN counted ON counted.a = e.vec_id""",
+    "op7_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
+size AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), flat AS (SELECT doc_id, unnest(s) AS x FROM s),
+both AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM flat p JOIN flat q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM both JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
+node AS (SELECT doc_id AS id FROM documents), {_REACH},
+least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
+SELECT size.doc_id, size.n AS n_shingles, coalesce(counted.n, 0) AS n_links, component_id FROM size JOIN least ON least.a = size.doc_id LEFT JOIN counted ON counted.a = size.doc_id""",
+}

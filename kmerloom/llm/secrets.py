@@ -3,11 +3,13 @@
 Only DataFrame functions are used. Base spans are matches of three patterns. The battery then looks at every run of 20
 or more token characters that no base span touches: the encoding is inferred from the characters, and three statistics
 are tested against uniform symbols of its alphabet: chi-squared of the symbol counts, the number of runs above and below
-the middle symbol, and the serial correlation of neighbours. A run is random if the joint p-value is 0.001 or more.
+the middle symbol, and the serial correlation of neighbours; they make one p-value. Discoveries are controlled twice,
+apart for each doubling of the length, as long runs are told apart more easily. The Benjamini-Hochberg procedure on the
+p-values, at rate ``BATTERY``, rejects that a run is random: of the runs turned down, at most that share was random.
 Against the hypothesis of ordinary text, the likelihood ratio of uniform symbols to the characters' frequencies in
-letter-only runs of the whole corpus is an e-value; the e-BH procedure at rate ``RATE``, apart for each doubling of the
-length, controls the share of false discoveries whatever the dependence (e-values are taken down to whole logarithms,
-at most ``TOP``, which only makes it stricter). A random run that it lets through is a span.
+letter-only runs of the whole corpus is an e-value; the e-BH procedure at rate ``RATE`` controls the share of ordinary
+text among the runs let through, whatever the dependence (e-values are taken down to whole logarithms, at most ``TOP``,
+and statistics to tenths, which only makes both stricter). A run that is let through and not turned down is a span.
 
 Cases: null text is empty. Positions are code points, ends exclusive. Very long texts: positions come from two-level
 prefix sums, so the work is close to linear. Repeated rows are scanned each. Extra columns are ignored.
@@ -28,6 +30,7 @@ HEX = r"[0-9a-f]{32,}"
 RUN = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "random")
 RATE = 0.01
+BATTERY = 0.001
 TOP = 400
 STEP = 256
 ALPHABETS = {
@@ -112,7 +115,7 @@ def text_frequencies(found: DataFrame) -> dict[str, float]:
 
 
 def _tested(r: Column, frequency: dict[str, float]) -> Column:
-    """(start, end, band, random, log_e) of a run."""
+    """(start, end, band, tenths, log_e) of a run; tenths: the joint statistic of the battery, standard normal for a random run."""
     symbols = F.translate(r["run"], "-_", "+/")
     alphabet = F.lit(ALPHABETS["base64"])
     for name, pattern in (("base36", "^[a-z0-9]+$"), ("upper", "^[A-Z0-9]+$"), ("lower", "^[a-z]+$"), ("HEX", "^[0-9A-F]+$"), ("hex", "^[0-9a-f]+$")):
@@ -121,7 +124,7 @@ def _tested(r: Column, frequency: dict[str, float]) -> Column:
     chars = F.filter(F.split(symbols, ""), lambda c: c != "")
 
     def statistics(x: Column, size: Column) -> Column:
-        """Whether the symbol numbers x agree with uniform symbols of an alphabet of that size."""
+        """How far the symbol numbers x are from uniform symbols of an alphabet of that size, in tenths."""
         n = F.size(x).cast("double")
         square = F.aggregate(F.array_distinct(x), F.lit(0.0), lambda a, v: a + F.pow(F.size(F.filter(x, lambda y: y == v)).cast("double"), F.lit(2.0)))
         z_chi = (size / n * square - n - (size - 1)) / F.sqrt(2 * (size - 1) * (n - 1) / n)
@@ -131,9 +134,9 @@ def _tested(r: Column, frequency: dict[str, float]) -> Column:
         middle = (size - 1) / 2
         serial = F.aggregate(pairs, F.lit(0.0), lambda a, w: a + (w["p"] - middle) * (w["q"] - middle))
         z_serial = serial / ((size * size - 1) / 12) / F.sqrt(n - 1)
-        # The sum of three squares, by the cube-root approximation of chi-squared; 3.09 has the p-value 0.001.
+        # The sum of three squares, by the cube-root approximation of chi-squared.
         joint = (F.pow((z_chi * z_chi + z_runs * z_runs + z_serial * z_serial) / 3, F.lit(1 / 3)) - (1 - 2 / 27)) / math.sqrt(2 / 27)
-        return joint <= 3.09
+        return F.greatest(F.lit(-100), F.least(F.lit(1000), F.floor(joint * 10))).cast("int")
 
     def tested(c: Column) -> Column:
         def given(a: Column) -> Column:
@@ -144,7 +147,7 @@ def _tested(r: Column, frequency: dict[str, float]) -> Column:
                 r["start"].alias("start"),
                 r["end"].alias("end"),
                 F.floor(F.log2(F.size(c).cast("double"))).cast("int").alias("band"),
-                let(number, lambda x: statistics(x, size)).alias("random"),
+                let(number, lambda x: statistics(x, size)).alias("tenths"),
                 F.least(F.lit(TOP), F.greatest(F.lit(-1), F.floor(log_e))).cast("int").alias("log_e"),
             )
 
@@ -153,35 +156,50 @@ def _tested(r: Column, frequency: dict[str, float]) -> Column:
     return let(chars, tested)
 
 
-def thresholds(tested: DataFrame, rate: float = RATE) -> dict[int, int]:
-    """For each length band, the least whole log e-value that e-BH lets through; bands and values are few by their kind."""
-    rows = tested.select(F.explode("tested").alias("t")).groupBy("t.band", "t.log_e").count().collect()
+def thresholds(counts: dict[int, dict[int, int]], rate: float = RATE) -> dict[int, int]:
+    """For each length band, the least whole log e-value that e-BH lets through; ``counts``: band -> log e-value -> runs."""
     out: dict[int, int] = {}
-    for band in sorted({r[0] for r in rows}):
-        counts = sorted(((r[1], r[2]) for r in rows if r[0] == band), reverse=True)
-        m, k, best = sum(c for _, c in counts), 0, None
-        for log_e, c in counts:
-            k += c
+    for band, of in sorted(counts.items()):
+        m, k = sum(of.values()), 0
+        for log_e in sorted(of, reverse=True):
+            k += of[log_e]
             if log_e >= 0 and log_e >= math.log(m / (rate * k)):
-                best = log_e
-        if best is not None:
-            out[band] = best
+                out[band] = log_e
     return out
 
 
-def secret_scan(docs: DataFrame, rate: float = RATE) -> DataFrame:
+def rejections(counts: dict[int, dict[int, int]], rate: float = BATTERY) -> dict[int, int]:
+    """For each length band, the least statistic (in tenths) that Benjamini-Hochberg rejects; ``counts``: band -> tenths -> runs."""
+    out: dict[int, int] = {}
+    for band, of in sorted(counts.items()):
+        m, k = sum(of.values()), 0
+        for tenths in sorted(of, reverse=True):
+            k += of[tenths]
+            if 0.5 * math.erfc(tenths / 10 / math.sqrt(2)) <= rate * k / m:
+                out[band] = tenths
+    return out
+
+
+def _histogram(tested: DataFrame, value: str) -> dict[int, dict[int, int]]:
+    """Runs by band and value; both are few by their kind."""
+    out: dict[int, dict[int, int]] = {}
+    for band, x, n in tested.select(F.explode("tested").alias("t")).groupBy("t.band", f"t.{value}").count().collect():
+        out.setdefault(band, {})[x] = n
+    return out
+
+
+def secret_scan(docs: DataFrame, rate: float = RATE, battery: float = BATTERY) -> DataFrame:
     """(doc_id, assign, access, hex, random): arrays of spans (start, kind, end) for each row of ``docs(doc_id, text)``."""
     found = cut(found_spans(docs.select("doc_id", "text")))
     frequency = text_frequencies(found)
     tested = cut(found.select("doc_id", "assign", "access", "hex", F.transform("runs", lambda r: _tested(r, frequency)).alias("tested")))
     release(found)
-    least = thresholds(tested, rate)
-    passes = F.lit(False)
-    if least:
-        need = F.create_map(*(F.lit(x) for kv in sorted(least.items()) for x in kv))
-        good = F.filter("tested", lambda t: t["random"] & (t["log_e"] >= F.coalesce(F.element_at(need, t["band"]), F.lit(TOP + 1))))
-    else:
-        good = F.filter("tested", lambda t: passes)
+    least, most = thresholds(_histogram(tested, "log_e"), rate), rejections(_histogram(tested, "tenths"), battery)
+
+    def bound(of: dict[int, int], band: Column, none: int) -> Column:
+        return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in sorted(of.items()) for x in kv)), band), F.lit(none)) if of else F.lit(none)
+
+    good = F.filter("tested", lambda t: (t["log_e"] >= bound(least, t["band"], TOP + 1)) & (t["tenths"] < bound(most, t["band"], 1 << 20)))
     spans = F.transform(good, lambda t: F.struct(t["start"].alias("start"), F.lit(3).alias("kind"), t["end"].alias("end")))
     return tested.select("doc_id", "assign", "access", "hex", spans.alias("random"))
 
