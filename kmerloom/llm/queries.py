@@ -88,8 +88,8 @@ SELECT vec_id, coalesce(n, 0) AS n_links, component_id, vec_id = component_id AS
     "op7_ngram_join": f"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
 s AS (SELECT doc_id, CASE WHEN len(w) >= 3 THEN list_distinct(list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2])) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END AS s FROM w),
 size AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s), flat AS (SELECT doc_id, unnest(s) AS x FROM s),
-both AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM flat p JOIN flat q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2),
-link AS (SELECT a, b FROM both JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
+shared AS (SELECT p.doc_id AS a, q.doc_id AS b, count(*) AS k FROM flat p JOIN flat q ON p.x = q.x AND p.doc_id <> q.doc_id GROUP BY 1, 2),
+link AS (SELECT a, b FROM shared JOIN size p ON p.doc_id = a JOIN size q ON q.doc_id = b WHERE 100 * k >= 90 * (p.n + q.n - k)),
 node AS (SELECT doc_id AS id FROM documents), {_REACH},
 least AS (SELECT a, min(b) AS component_id FROM reach GROUP BY a), counted AS (SELECT a, count(*) AS n FROM link GROUP BY a)
 SELECT size.doc_id, size.n AS n_shingles, coalesce(counted.n, 0) AS n_links, component_id FROM size JOIN least ON least.a = size.doc_id LEFT JOIN counted ON counted.a = size.doc_id""",
