@@ -1,7 +1,8 @@
 """HTML extraction by a tree-structured graphical model.
 
 Every DOM node has a label: 1 for content and for what holds content, 0 for the rest. Node potentials come from features of the node (tag, words of class and id,
-share of text in links, amount of text), edge potentials connect parent and child by the kind of the child. Sum-product
+share of text in links, amount of text; siblings that are alike share one vote, so that many short paragraphs do not
+outvote the article that they stand in), edge potentials connect parent and child by the kind of the child. Sum-product
 messages passed up and down the tree give each node's exact content marginal; text whose nearest element is content
 belongs to the main text. The weights are learned from labelled pages by gradient ascent on the log-likelihood (expected
 minus observed features come from the same marginals). The labelled pages are drawn from a grammar of page layouts,
@@ -226,18 +227,28 @@ def marginals(parent: list[int], unary: list[float], edges: list[tuple[float, fl
     return b1, pairs
 
 
+def shares(t: Tree) -> list[float]:
+    """One over the number of a node's siblings with its tag and words, itself included: a row of likes has one vote."""
+    count: dict[tuple, int] = {}
+    keys = list(zip(t.parent, t.tag, t.names))
+    for k in keys:
+        count[k] = count.get(k, 0) + 1
+    return [1 / count[k] for k in keys]
+
+
 def infer(t: Tree, model: dict):
+    """Features, shares, and the marginals of nodes and edges. A node's log-odds are its weights' sum times its share."""
     w, ew = model["node"], model["edge_exp"]
     cache = model.setdefault("_odds", {})
     odds = []
-    feats = node_features(t)
-    for f in feats:
+    feats, share = node_features(t), shares(t)
+    for f, part in zip(feats, share):
         u = cache.get(f)
         if u is None:
             if len(cache) > 100_000:
                 cache.clear()
             u = cache[f] = sum(w.get(x, 0.0) for x in f)
-        odds.append(u)
+        odds.append(u * part)
     kinds = model.setdefault("_kinds", {})
     edges = []
     for tag in t.tag:
@@ -245,7 +256,7 @@ def infer(t: Tree, model: dict):
         if e is None:
             e = kinds[tag] = ew.get(kind(tag)) or ew["other"]
         edges.append(e)
-    return feats, marginals(t.parent, odds, edges)
+    return feats, share, *marginals(t.parent, odds, edges)
 
 
 # Labelled pages. A page is written with every content element marked; the mark is taken out before it is parsed.
@@ -340,6 +351,15 @@ def labelled(page: str) -> tuple[Tree, list[int]]:
     return t, y
 
 
+def conditional(x: list[float]) -> tuple[float, float, float, float]:
+    """Potentials (parent, child) = 00, 01, 10, 11 from weights; those of a parent's label add up to one.
+
+    So a child without evidence of its own says nothing about its parent, however many there are.
+    """
+    a, b, c, d = (math.exp(v) for v in x)
+    return a / (a + b), b / (a + b), c / (c + d), d / (c + d)
+
+
 @lru_cache(maxsize=2)
 def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> dict:
     rng = random.Random(seed)
@@ -351,27 +371,29 @@ def train(pages: int = PAGES, epochs: int = EPOCHS, seed: int = 5) -> dict:
         rate = 0.5 / (1 + epoch / 3)
         model = {"node": w, "edge_exp": None}
         for t, y in data:
-            model = {"node": w, "edge_exp": {k: tuple(math.exp(v) for v in x) for k, x in e.items()}}
-            feats, (b1, pairs) = infer(t, model)
+            model = {"node": w, "edge_exp": {k: conditional(x) for k, x in e.items()}}
+            feats, share, b1, pairs = infer(t, model)
             scale = rate / math.sqrt(len(y))
             for k, f in enumerate(feats):
-                g = scale * (y[k] - b1[k])
+                g = scale * (y[k] - b1[k]) * share[k]
                 if abs(g) > 1e-7:
                     for x in f:
                         w[x] = w.get(x, 0.0) * (1 - 1e-5) + g
             for k in range(1, len(y)):
-                x, p = e[kind(t.tag[k])], pairs[k]
+                x, p, q = e[kind(t.tag[k])], pairs[k], model["edge_exp"][kind(t.tag[k])]
                 true = 2 * y[t.parent[k]] + y[k]
                 for c in range(4):
-                    x[c] = max(-6.0, min(6.0, x[c] + scale * ((c == true) - p[c])))
-    return {"node": w, "edge_exp": {k: tuple(math.exp(v) for v in x) for k, x in e.items()}}
+                    row = c & 2
+                    here = (true & 2 == row) - p[row] - p[row + 1]
+                    x[c] = max(-6.0, min(6.0, x[c] + scale * ((c == true) - p[c] - q[c] * here)))
+    return {"node": w, "edge_exp": {k: conditional(x) for k, x in e.items()}}
 
 
 def main_text(page: str, model: dict) -> str:
     if not page:
         return ""
     t = parse(page)
-    _, (b1, _) = infer(t, model)
+    b1 = infer(t, model)[2]
     blocks: list[str] = []
     last, part = None, []
     for node, block, s in t.pieces:

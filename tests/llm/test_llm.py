@@ -178,33 +178,62 @@ def test_decontaminate(spark):
     assert decontaminate.edit_distance("kitten", "xxsittingyy") == 2
 
 
-def test_decontaminate_recall_does_not_fall_with_item_length(spark):
+VOCABULARY = [f"{a}{b}{c}{d}" for a in "bdfgkl" for b in "aeiou" for c in "mnprst" for d in ("", "a", "el", "ion")]
+
+
+def edited(rng, words, kind, share):
+    """A copy with a share of its characters or words replaced, inserted or deleted."""
+    what, edit = kind.split()
+    unit = list(" ".join(words)) if what == "letters" else list(words)
+    fresh = (lambda: rng.choice("abcdefghijklmnopqrstuvwxyz ")) if what == "letters" else (lambda: rng.choice(VOCABULARY))
+    bad = set(rng.sample(range(len(unit)), int(share * len(unit))))
+    out = []
+    for k, x in enumerate(unit):
+        out += [x] if k not in bad else [fresh()] if edit == "replaced" else [x, fresh()] if edit == "inserted" else []
+    return ("" if what == "letters" else " ").join(out)
+
+
+def test_decontaminate_recall_by_length_and_edit(spark):
+    """Against the exact distance of every pair of a text and its item; no text has an item that is not within the ratio."""
     rng = random.Random(12)
-    vocab = [f"{a}{b}{c}" for a in "bdfgkl" for b in "aeiou" for c in "mnprst"] + [f"w{i}" for i in range(800)]
-    some = lambda n: [rng.choice(vocab) for _ in range(n)]
+    some = lambda n: [rng.choice(VOCABULARY) for _ in range(n)]
     items, rows, kind = [], [], {}
-    for n in (20, 59, 100, 200, 400):
-        for edit in ("replace", "insert", "delete"):
+    for n in (8, 16, 40, 120):
+        for edit in ("letters replaced", "letters inserted", "letters deleted", "words replaced", "words inserted", "words deleted"):
             for share in (0.05, 0.1, 0.15):
-                for _ in range(12):
-                    item = some(n)
-                    bad, text = set(rng.sample(range(n), int(share * n))), []
-                    for k, x in enumerate(item):
-                        text += [x] if k not in bad else [rng.choice(vocab)] if edit == "replace" else [x, rng.choice(vocab)] if edit == "insert" else []
-                    i = len(items)
+                for _ in range(6):
+                    item, i = some(n), len(items)
                     items.append((i, " ".join(item)))
-                    rows.append((i, " ".join([*some(rng.randint(0, 40)), *text, *some(30)])))
+                    rows.append((i, " ".join([*some(rng.randint(0, 40)), edited(rng, item, edit, share), *some(30)])))
                     kind[i] = (n, edit)
-    known = {i: decontaminate.edit_distance(t, rows[i][1]) for i, t in items}
-    within = {i for i, t in items if known[i] <= 0.15 * len(t)}
-    got = {r.doc_id: list(r["items"]) for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    distance = {i: decontaminate.edit_distance(decontaminate.normal(t), decontaminate.normal(rows[i][1])) for i, t in items}
+    most = {i: int(0.15 * len(decontaminate.normal(t))) for i, t in items}
+    got = {r.doc_id: dict(zip(r["items"], r.distances)) for r in decontaminate.decontaminate(docs(spark, rows), spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert all(distance[i] <= got[i][i] <= most[i] for i in got if i in got[i])
     recall = {}
     for x in sorted(set(kind.values())):
-        here = [i for i in within if kind[i] == x]
-        recall[x] = (sum(got[i] == [i] for i in here), len(here))
+        here = [i for i in distance if kind[i] == x and distance[i] <= most[i]]
+        recall[x] = (sum(i in got[i] for i in here), len(here))
     print(recall)
-    assert all(a >= 0.95 * n for (words, _), (a, n) in recall.items() if words > 20), recall
-    assert sum(a for a, _ in recall.values()) >= 0.95 * len(within), recall
+    assert all(a >= 0.9 * n for a, n in recall.values()), recall
+    texts = {i: decontaminate.normal(t) for i, t in rows}
+    for i in list(got)[::25]:  # whatever else was found is within the ratio too
+        for k, d in got[i].items():
+            assert decontaminate.edit_distance(decontaminate.normal(items[k][1]), texts[i]) <= d <= most[k]
+
+
+def test_decontaminate_blocks_tiny_items_and_other_columns(spark, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_CHARS", 60)
+    items = [(k, f"item number {w} of several in this list") for k, w in enumerate(("one", "two", "three", "four"))] + [(9, "zig"), (10, "Zig"), (11, "...")]
+    rows = [(k, f"before it {t} and after") for k, t in items[:4]] + [(20, "a zig-zag"), (21, "zigzag"), (22, None), (23, "x " * 50_000 + items[2][1])]
+    d = docs(spark, rows).withColumn("items", F.lit(1)).withColumn("distances", F.lit(2))
+    bench = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(0))
+    got = {r.doc_id: (list(r["items"]), list(r.distances)) for r in decontaminate.decontaminate(d, bench).collect()}
+    near = {0, 1, 2, 3}
+    assert all(k in got[k][0] and got[k][1][got[k][0].index(k)] == 0 and set(got[k][0]) <= near for k in near)
+    assert got[20] == ([9, 10], [0, 0]) and got[21] == got[22] == ([], []) and 2 in got[23][0]
+    left = decontaminate.without_benchmark(d, bench)
+    assert left.columns == d.columns and {r.doc_id for r in left.collect()} == {21, 22}
 
 
 def test_packing_bounds_are_optimal():
@@ -225,9 +254,52 @@ def test_packing_places_each_piece_once(spark):
 
 
 def test_license_scan(spark):
-    d = docs(spark, [(1, "x\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (2, "nothing"), (3, None), (4, license_scan.TEMPLATES["MIT"].replace("hereby ", ""))])
-    got = {r.doc_id: (r.license, r.n_hits) for r in license_scan.license_scan(d).collect()}
-    assert got == {1: ("CC-BY-NC-4.0-line", 2), 2: (None, 0), 3: (None, 0), 4: ("MIT", 1)}
+    d = docs(spark, [(1, "x\nLicensed under CC BY-NC 4.0.\nLicensed under CC BY-NC 4.0."), (2, "nothing"), (3, None), (4, license_scan.TEMPLATES["MIT"].replace("hereby ", "")), (1, "nothing"), (5, "word " * 50_000 + license_scan.TEMPLATES["ISC"])])
+    got = sorted((r.doc_id, r.license or "", r.n_hits) for r in license_scan.license_scan(d).collect())
+    assert got == [(1, "", 0), (1, "CC-BY-NC-4.0-line", 2), (2, "", 0), (3, "", 0), (4, "MIT", 1), (5, "ISC", 1)]
+
+
+@pytest.mark.parametrize(
+    "text,name",
+    [
+        ("Released under the BSD License.", "BSD-line"),
+        ("Released under the MIT License.", "MIT-line"),
+        ("Licensed under CC BY-SA 4.0.", "CC-BY-SA-4.0-line"),
+        ("Licensed under CC BY-NC 3.0.", "CC-BY-NC-3.0-line"),
+        ("This work is licensed under the GNU General Public License, version 2.", "GPL-2.0-line"),
+        ("This work is licensed under the GNU Lesser General Public License, version 3.", None),
+        ("This work is licensed under a Creative Commons Attribution 3.0 International License.", "CC-BY-3.0"),
+        ("This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.", "CC-BY-NC-4.0"),
+        ("Licensed under the Apache License, Version 1.1.", None),
+        ("Released under the terms of a licence that MIT people once wrote for a License of theirs.", None),
+    ],
+)
+def test_words_that_tell_licences_apart(text, name):
+    made = license_scan.Made(license_scan.TEMPLATES, license_scan.PHRASES, 0.8)
+    assert [h[0] for h in license_scan.scan(text, made, 0.8)] == ([name] if name else [])
+
+
+def test_license_regions_lose_no_hit():
+    """Against an alignment at every place of the text."""
+    rng = random.Random(3)
+    L = license_scan
+    some = {n: L.TEMPLATES[n] for n in ("MIT-line", "ISC", "GPL-2.0", "CC-BY-4.0", "CC-BY-4.0-line", "BSD-3-Clause")}
+    made = L.Made(some, L.PHRASES, 0.8)
+    for n in list(some) * 6:
+        words = L.words_of(some[n])
+        for _ in range(rng.randint(0, max(1, len(words) // 8))):
+            k = rng.randrange(len(words))
+            words[k : k + 1] = rng.choice(([], ["other"], [words[k], "more"]))
+        text = ["filler"] * rng.randint(0, 9) + words + ["end"] * rng.randint(0, 9)
+        want = set()
+        for m, t in made.words.items():
+            pad = len(t) // 5 + 1
+            for lo in range(len(text)):
+                pairs = L.trimmed(L.patience(text[lo : lo + len(t) + 2 * pad], t), 0.8)
+                if L.accepted(pairs, t, made.phrases[m], 0.8):
+                    want.add(m)
+        got = {h[0] for h in L.scan(" ".join(text), made, 0.8)}
+        assert got <= want and bool(got) == bool(want), (n, text, got, want)
 
 
 def test_html():
@@ -237,6 +309,55 @@ def test_html():
     assert html_text.main_text("", model) == html_text.main_text(None, model) == ""
 
 
+@pytest.mark.parametrize(
+    "page,text",
+    [
+        ("<article><p>One para here.</p><p>Two para here.</p></article>", "One para here.\n\nTwo para here."),
+        ("<html><body><p>One para here.</p><p>Two para here.</p></body></html>", "One para here.\n\nTwo para here."),
+        ("<p>Bare text.</p><p>And more.</p>", "Bare text.\n\nAnd more."),
+        ("<body><article><p>Before it.</p><svg class=i /><p>After it.</p></article></body>", "Before it.\n\nAfter it."),
+        ("<article><p>Before it.</p><svg><text>drawn</text></svg><noscript>switch it on</noscript><p>After it.</p></article>", "Before it.\n\nAfter it."),
+        ("<article><p>Before it.</p><script>var a='<p>';</script foo><p>After it.</p></article>", "Before it.\n\nAfter it."),
+        ("<article><p title=don't>Hello there.</p><p title='x>y'>More of it.</p></article>", "Hello there.\n\nMore of it."),
+        ('<article><p class="open>Hello there.</p></article>', "Hello there."),
+        ("<article><p>a < b and c &lt; d</p></article>", "a < b and c < d"),
+        ("<body><nav><ul><li><a href='/'>Home</a></li><li><a href='/x'>News</a></li></ul></nav><table><tr><td><p>Short.</p><p>Texts.</p></td></tr></table><footer>&copy; us</footer></body>", "Short.\n\nTexts."),
+    ],
+)
+def test_html_layouts(page, text):
+    assert html_text.main_text(page, html_text.train()) == text
+
+
+def test_html_precision_and_recall_on_pages_that_training_did_not_see():
+    rng, model = random.Random(99), html_text.train()
+    both = mine = true = 0
+    for _ in range(200):
+        t, y = html_text.labelled(html_text.labelled_page(rng))
+        belief = html_text.infer(t, model)[2]
+        for node, _, s in t.pieces:
+            both += len(s) * (belief[node] > 0.5 and y[node])
+            mine += len(s) * (belief[node] > 0.5)
+            true += len(s) * y[node]
+    assert both >= 0.99 * mine and both >= 0.99 * true
+
+
+def test_html_takes_time_in_proportion():
+    import time
+
+    for piece in ('<p class="', "<p a='x>y' b=\">", "<b>", "<", "<p>x</p>", "<div a=\"'\">"):
+        began = time.time()
+        html_text.parse(piece * 40_000)
+        assert time.time() - began < 5, piece
+
+
+def test_html_rows(spark):
+    rows = [(1, "u", None, 1), (1, "u", "", 1), (None, None, "<article><p>Text &amp; more.</p></article>", 1), (2, "v", "<article>" + "<p>word word.</p>" * 20_000, 1)]
+    made = html_text.extract(spark.createDataFrame(rows, "page_id long, url string, html string, text int"))
+    got = sorted((r.page_id or 0, r.text[:11], r.n_chars) for r in made.collect())
+    assert got == [(0, "Text & more", 12), (1, "", 0), (1, "", 0), (2, "word word.\n", 20_000 * 12 - 2)]
+    assert html_text.extract(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
+
+
 def test_sum_product_is_exact():
     from itertools import product
 
@@ -277,3 +398,196 @@ def test_languages_and_quality(spark):
     labels = spark.createDataFrame([(i, int(i % 2 == 0)) for i in range(200)], "doc_id long, quality int")
     s = {r.doc_id: (r.score, r.predicted) for r in quality.score(d, quality.fit(d, labels)).collect()}
     assert 0 <= s[900][0] <= 1 and sum(s[i][1] == int(i % 2 == 0) for i in range(200)) >= 190
+
+
+def test_line_dedup_equals_brute_force(spark):
+    rng = random.Random(21)
+    words = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randint(2, 9))) for _ in range(300)]
+    bases = [" ".join(rng.choice(words) for _ in range(rng.randint(3, 30))) for _ in range(60)]
+    rows = []
+    for i in range(80):
+        lines = []
+        for _ in range(rng.randint(0, 8)):
+            line = rng.choice(bases)
+            if rng.random() < 0.5:
+                k = rng.randrange(len(line))
+                line = line[:k] + rng.choice("xyz ") + line[k + 1 :]
+            lines.append(rng.choice(("", " ")) + (line.upper() if rng.random() < 0.1 else line))
+        rows.append((i, "\n".join(lines) if lines else rng.choice((None, "", "\n \n"))))
+    where, sets = [], {}
+    for i, t in rows:
+        for k, x in enumerate((t or "").split("\n")):
+            if x := line_dedup.normal(x):
+                where.append((i, k, x))
+                padded = x + "\0" * max(0, 5 - len(x))
+                sets[x] = {padded[j : j + 5] for j in range(len(padded) - 4)}
+    root = {x: x for x in sets}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    names = sorted(sets)
+    for a, x in enumerate(names):
+        for y in names[a + 1 :]:
+            if 100 * len(sets[x] & sets[y]) >= 80 * len(sets[x] | sets[y]):
+                root[find(x)] = find(y)
+    kept: dict = {}
+    for i, k, x in sorted(where):
+        kept.setdefault(find(x), (i, k))
+    want: dict = {}
+    for i, k, x in where:
+        n, gone = want.get(i, (0, []))
+        want[i] = (n + 1, gone + ([k] if kept[find(x)] != (i, k) else []))
+    got = {r.doc_id: (r.n_lines, list(r.dropped)) for r in line_dedup.line_dedup(docs(spark, rows)).collect()}
+    assert got == {i: (n, sorted(x)) for i, (n, x) in want.items()} and sum(len(x) for _, x in want.values()) > 50
+
+
+def planted_vectors(seed=7, groups=30, dim=24):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    rows = []
+    for g in range(groups):
+        base = rng.normal(size=dim)
+        for _ in range(int(rng.integers(1, 25))):
+            v = base + rng.normal(size=dim) * np.linalg.norm(base) / np.sqrt(dim) * rng.uniform(0, 0.3)
+            rows.append((len(rows), [float(np.float32(x)) for x in v], int(g % 3)))
+    return rows
+
+
+def test_vector_dedup_against_all_pairs(spark):
+    import numpy as np
+
+    rows = planted_vectors()
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    label = np.array([y for _, _, y in rows])
+    like = (x @ x.T >= 0.98) & (label[:, None] == label[None]) & ~np.eye(len(x), dtype=bool)
+    root = np.arange(len(x))
+    while True:
+        least = np.array([min(root[i], *root[like[i]]) if like[i].any() else root[i] for i in range(len(x))])
+        if (least == root).all():
+            break
+        root = least
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in vector_dedup.vector_dedup(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    want = {i: (int(like[i].sum()), int(root[i]), int(root[i]) == i) for i in range(len(x))}
+    assert like.sum() > 400
+    assert sum(got[i][0] for i in got) >= 0.99 * like.sum() and all(got[i][0] <= want[i][0] for i in got)
+    assert sum(got[i] == want[i] for i in got) >= 0.97 * len(got)
+
+
+def test_tables_are_enough_at_every_width():
+    import numpy as np
+
+    for width in (3, 9, 16, 24):
+        equal = (1 - np.arccos(0.98) / np.pi) ** width
+        assert 1 - (1 - equal) ** vector_dedup.tables_for(width, 0.98) >= 0.999
+
+
+def test_rows_that_share_an_id_hang_together(spark):
+    v = {"x": [1.0, 0.0], "y": [0.0, 1.0]}
+    rows = [(3, v["x"]), (5, v["x"]), (4, v["y"]), (5, v["y"]), (6, [-1.0, 0.5])]
+    frame = spark.createDataFrame([(i, x, 1, 0, 0) for i, x in rows], "vec_id long, embedding array<float>, label int, node int, component int")
+    got = sorted((r.vec_id, r.component_id) for r in vector_dedup.vector_dedup(frame).collect())
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]
+    texts = [(3, "x x x x"), (5, "x x x x"), (4, "y y y y"), (5, "y y y y"), (6, "z")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_join(docs(spark, texts)).collect())
+    assert got == [(3, 3), (4, 3), (5, 3), (5, 3), (6, 6)]
+
+
+def test_quality_scores_equal_plain_compression(spark):
+    import numpy as np
+
+    rng = random.Random(4)
+    good, bad = [f"w{i}" for i in range(80)], [f"Q{i}!" for i in range(80)]
+    made = [(" ".join(rng.choice(good if i % 3 else bad) for _ in range(rng.randint(5, 300))), int(i % 3 > 0)) for i in range(150)]
+    model = quality.learn([([t.encode()], y) for t, y in made], {0: 1.0, 1: 1.0})
+    rows = [(i, t) for i, (t, _) in enumerate(made)] + [(500, None), (501, ""), (502, "w1 " * 60_000), (0, "w1 w2")]
+    got = [(r.doc_id, r.score, r.predicted) for r in quality.score(docs(spark, rows).withColumn("score", F.lit(1)), model).collect()]
+    a, b = quality._compressor(model["good"]), quality._compressor(model["bad"])
+    by_text = {(i, t): 1 / (1 + np.exp(-np.clip(model["slope"] * sum(len(b.compress(p)) - len(a.compress(p)) for p in [t.encode()[k : k + 4096] for k in range(0, len(t), 4096)]) / len(t) / model["scale"] + model["intercept"], -30, 30))) if t else None for i, t in rows}
+    empty = 1 / (1 + np.exp(-model["intercept"]))
+    want = sorted((i, round(float(empty if x is None else x), 9)) for (i, _), x in by_text.items())
+    assert sorted((i, round(s, 9)) for i, s, _ in got) == want and all(p == int(s >= 0.3) for _, s, p in got)
+    assert sum(p == y for (_, y), (_, _, p) in zip(made, sorted(got)[1:])) >= 140
+
+
+def test_class_weights_restore_the_ratio():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    x = np.r_[rng.normal(1, 1, 900), rng.normal(-1, 1, 100)]
+    y = np.r_[np.ones(900), np.zeros(100)]
+    cut = np.r_[np.arange(100), np.arange(900, 1000)]
+    whole, part = quality.platt(x, y), quality.platt(x[cut], y[cut], np.r_[np.full(100, 9.0), np.ones(100)])
+    plain = quality.platt(x[cut], y[cut])
+    at = lambda m, v: 1 / (1 + np.exp(-(m[0] * v / m[2] + m[1])))
+    assert abs(at(whole, 0) - at(part, 0)) < 0.06 < abs(at(whole, 0) - at(plain, 0))
+
+
+def test_language_predictions_equal_a_plain_forward_pass(spark):
+    import numpy as np
+
+    rng = random.Random(6)
+    words = {"en": ["the", "and", "with", "house"], "de": ["und", "der", "nicht", "schön"], "fr": ["le", "et", "maison", "été"]}
+    names = list(words)
+    rows = [(i, " ".join(rng.choice(words[names[i % 3]]) for _ in range(rng.randint(1, 40))), names[i % 3], 1, 1, "x", 1) for i in range(300)]
+    d = spark.createDataFrame([*rows, (3, "und der nicht", None, 1, 1, "x", 1)], SCHEMA)
+    model = langid.fit(d)
+    assert langid.fit(d, languages=2)["names"] == sorted(names)[:2] or len(langid.fit(d, languages=2)["names"]) == 2
+    got = sorted((r.doc_id, r.lang_pred, round(r.score, 6)) for r in langid.predict(d, model).collect())
+    want = []
+    for i, t, *_ in [*rows, (3, "und der nicht")]:
+        raw = bytes(b + 32 if 65 <= b <= 90 else b for b in t.encode())
+        total, n = np.zeros(len(model["names"])), 0
+        for size in langid.SIZES:
+            for k in range(len(raw) - size + 1):
+                bucket = int(langid.K.char_hashes(np.frombuffer(raw[k : k + size], np.uint8), size)[0] >> langid.K.U(64 - langid.BITS))
+                total, n = total + model["table"][bucket], n + 1
+        z = (total / max(1, n) + model["bias"]) / model["temperature"]
+        p = np.exp(z - z.max())
+        want.append((i, model["names"][int(p.argmax())], float(p.max() / p.sum())))
+    assert all(a[:2] == b[:2] and abs(a[2] - b[2]) < 1e-4 for a, b in zip(got, sorted(want)))
+
+
+def test_packing_ranks_by_two_levels_of_offsets(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SALTS", 3)
+    c = spark.createDataFrame([(i, i % 300, 1) for i in range(400)] + [(7, 5, 1), (None, 9, 1)], "doc_id long, n_tokens long, bucket int")
+    rows = packing.pack(c, max_tokens=128, buckets=3, batch_tokens=512, salt_rows=10).collect()
+    for b in {r.bucket for r in rows}:
+        here = [r for r in rows if r.bucket == b]
+        size = 512 // here[0].bound
+        assert sorted(r.batch * size + r.slot for r in here) == list(range(len(here)))
+
+
+def test_base_secrets_equal_plain_regular_expressions(spark):
+    text = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    tricky = [(-1, "Secret:'abcdefgh' api-key=\"x\" API_KEY = AAAA+/_.=-1 tokentoken:12345678 é\u0001 passwd  :  12345678"), (-2, "AKIA" * 5 + " AKIAABCDEFGHIJKL " + "0123456789abcdef" * 3 + "g" + "f" * 31), (-3, None), (-4, "token=" * 400 + "abcdefghi"), (-5, "pass " * 40_000 + "password=longenough1")]
+    d = text.unionByName(spark.createDataFrame(tricky, "doc_id long, text string"))
+    found = secrets.found_spans(d).select("doc_id", secrets.joined(F.concat("assign", "access", "hex")).alias("s")).collect()
+    kinds = (("assign", re.compile("((?i:password|passwd|secret|token|api_?key))[\"']?\\x20*[:=]\\x20*[\"']?([A-Za-z0-9+/_.=-]+)")), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+")))
+    want = {}
+    for r in d.collect():
+        spans = []
+        for n, (name, p) in enumerate(kinds):
+            for m in p.finditer(r.text or ""):
+                if len(m[2] if n == 0 else m[0]) >= (8, 16, 32)[n]:
+                    spans.append((m.start(), n, f"{name}:{m.start()}:{m.end()}"))
+        want[r.doc_id] = ",".join(x for _, _, x in sorted(spans))
+    assert {r.doc_id: r.s for r in found} == want and any(want.values())
+
+
+def test_discoveries_follow_the_step_up_rules():
+    import math
+
+    rng = random.Random(2)
+    log_e = [rng.choice((-1, 0, 2, 5, 9, 30)) for _ in range(200)]
+    tenths = [rng.randint(-30, 80) for _ in range(200)]
+    count = lambda x: {4: {v: x.count(v) for v in set(x)}}
+    k = max((k for k in range(1, 201) if sorted(log_e, reverse=True)[k - 1] >= math.log(200 / (0.01 * k))), default=0)
+    assert secrets.thresholds(count(log_e), 0.01) == {4: sorted(log_e, reverse=True)[k - 1]}
+    p = sorted((0.5 * math.erfc(t / 10 / math.sqrt(2)), t) for t in tenths)
+    k = max((k for k in range(1, 201) if p[k - 1][0] <= 0.05 * k / 200), default=0)
+    assert secrets.rejections(count(tenths), 0.05) == {4: p[k - 1][1]}
