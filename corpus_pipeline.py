@@ -1,4 +1,8 @@
-"""A training-data pipeline: quality, line dedup, near-duplicate documents, benchmark passages, packing."""
+"""A training-data pipeline: quality, line dedup, near-duplicate documents, benchmark passages, packing.
+
+Every stage but the last takes and returns the columns of ``documents``; other columns are dropped. Null and empty texts
+go through to packing, which gives them no piece.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from kmerloom.llm import decontaminate, line_dedup, ngram_join, packing, quality
-from kmerloom.llm.tables import cut
+from kmerloom.llm.tables import cut, release
 from kmerloom.plans.session import ship
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
@@ -56,15 +60,18 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: Trained dictionaries, signatures and tokenizers are beyond SQL; tests hold the stages against brute force.
+#: Trained dictionaries, signatures and tokenizers are beyond SQL. Tests hold each operator against brute force, and the
+#: stages against planted documents.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Applies the stages to ``documents``, each to the written result of the one before."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k < len(STAGES) - 1:
             docs = cut(docs)
+            release(before)
+            before = docs
     return docs

@@ -6,6 +6,7 @@ The folder is the one named by ``spark.checkpoint.dir``; where that is unset (te
 from __future__ import annotations
 
 import uuid
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -13,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 def scratch_root(spark: SparkSession) -> str:
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            warnings.warn("spark.checkpoint.dir is not set: intermediate tables go to the warehouse, which all executors must share", stacklevel=3)
         root = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_kmerloom_scratch"
     return root.rstrip("/")
 
