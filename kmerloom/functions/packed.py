@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 
-PORTION = 1 << 21
+PORTION = 1 << 18
 _BASE = np.full(256, 4, np.uint8)
 _BASE[[65, 67, 71, 84]] = range(4)
 

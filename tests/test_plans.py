@@ -3,6 +3,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from kmerloom.__main__ import INDEXED, main
 from kmerloom.functions import kernels
@@ -134,3 +135,52 @@ def test_joined_and_broadcast_paths_give_equal_rows(spark):
         want = find(cfg, long, spaced)
         assert want and find(joined, long, spaced) == want
     assert find(cfg, index["long"], index["spaced"]) != want  # the composite look-ups matter here
+
+
+def shuffled(spark) -> int:
+    """Bytes that this application's stages have shuffled so far."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+    sc.listenerBus().waitUntilEmpty(30_000)
+    stages = sc.statusStore().stageList(None, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def long_parts(spark, path, n=60_000) -> str:
+    """A folder with ``n`` parts, which make contigs of 32 * n / 5 bases."""
+    spark.range(n).selectExpr("id as p_partkey").write.parquet(f"{path}/part.parquet")
+    return str(path)
+
+
+def test_tiles_of_long_contigs_are_cut_from_pieces(spark, tmp_path):
+    """Tiles equal those of whole contigs, and no contig is shuffled once for each of its tiles."""
+    d = long_parts(spark, tmp_path)
+    for bases, contigs in ((None, fixtures.contigs), (F.expr(fixtures.COPY_BASES), fixtures.copies)):
+        whole = {r.chrom_idx: r.seq for r in contigs(spark, d).collect()}
+        want = [(c, s, min(len(seq), s + 2022), seq[s : s + 2022]) for c, seq in sorted(whole.items()) for s in range(0, len(seq), 2000)]
+        before = shuffled(spark)
+        got = sorted(map(tuple, catalog.tiles(spark, d, bases).select("seg_idx", "chrom_idx", "start", "end", "ref").collect()))
+        assert got == [(i, *x) for i, x in enumerate(want)]
+        assert shuffled(spark) - before < 10 * sum(map(len, whole.values()))
+
+
+def test_variants_of_long_contigs_are_made_from_pieces(spark, tmp_path):
+    """Known variants equal those of whole contigs, and no contig is copied once for each of them."""
+    d = long_parts(spark, tmp_path)
+    whole = {f"chr{r.chrom_idx}": r.seq for r in fixtures.contigs(spark, d).collect()}
+    turn = str.maketrans("ACGT", "CGTA")
+    want = [(c, p, s[p - 1], s[p - 1].translate(turn)) for c, s in whole.items() for p in range(997, len(s) + 1, 997)]
+    before = shuffled(spark)
+    assert sorted(map(tuple, catalog.snps(spark, d).repartition(2).collect())) == sorted(want)
+    want = [(c, p, s[p - 1 : p + 3], s[p - 1]) if p % 2 == 0 else (c, p, s[p - 1], s[p - 1] + "ACG") for c, s in whole.items() for p in range(499, len(s) - 3, 499)]
+    assert sorted(map(tuple, catalog.indels(spark, d).repartition(2).collect())) == sorted(want)
+    assert shuffled(spark) - before < 10 * sum(map(len, whole.values()))
+    short = long_parts(spark, tmp_path / "short", 7)  # contigs of one and two pieces
+    assert catalog.snps(spark, short).count() == 0 and catalog.tiles(spark, short).count() == 5
+
+
+@pytest.mark.parametrize("make", [lambda s, d: catalog.snps(s, d), lambda s, d: catalog.indels(s, d), lambda s, d: catalog.tiles(s, d)])
+def test_fixtures_explode_no_contig(spark, make):
+    """No row with a contig's bases goes into a generator, which would copy it for each tile or variant."""
+    plan = make(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    held = [x for x in plan.splitlines() if "Generate " in x]
+    assert held and "array_join" not in "".join(plan.splitlines()[plan.splitlines().index(held[-1]) :])
