@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 
 from . import kernels as K
 from .families import FAMILY_TOKENS, family_links
-from .tables import components, cut, dealt, map_batches, release, thin
+from .tables import components, cut, dealt, grouped, map_batches, release, thin
 
 SHINGLE = 5
 BANDS = 22
@@ -31,6 +31,10 @@ ROWS = 7
 PCT = 80
 SEEN = 200_000
 TABLE = 1 << 16
+#: Band keys are dealt by their upper bits, KEY bytes of the rest are kept, and so many are held before they are packed.
+SLOT_BITS = 12
+KEY = 6
+HELD = 1 << 20
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -129,6 +133,71 @@ def _occurrences(w: int, bands: int, rows: int):
     return work
 
 
+def pack(key: np.ndarray, h: np.ndarray):
+    """Band keys with their lines' hashes as (slot, blob): KEY bytes of the key and eight of the hash for each.
+
+    The slot is the key's upper bits, so that equal keys have equal slots; so many keys as a task holds make few rows.
+    """
+    key = key.view(K.U)
+    order = np.argsort(key >> K.U(64 - SLOT_BITS), kind="stable")
+    key, h = key[order], h[order]
+    slot = (key >> K.U(64 - SLOT_BITS)).astype(np.int32)
+    raw = np.empty((len(key), KEY + 8), np.uint8)
+    raw[:, :KEY] = key[:, None].view(np.uint8)[:, :KEY]
+    raw[:, KEY:] = h[:, None].view(np.uint8)
+    begin = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    ends = np.r_[begin, len(key)].astype(np.int32) * (KEY + 8)
+    blobs = pa.Array.from_buffers(pa.binary(), len(begin), [None, pa.py_buffer(ends), pa.py_buffer(raw)])
+    return pa.RecordBatch.from_arrays([pa.array(slot[begin]), blobs], names=["slot", "blob"])
+
+
+def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Keys (those of one slot differ where the whole ones do) and hashes."""
+    raw = np.frombuffer(b"".join(blobs), np.uint8).reshape(-1, KEY + 8)
+    key = np.zeros((len(raw), 8), np.uint8)
+    key[:, :KEY] = raw[:, :KEY]
+    return key.view(K.U)[:, 0], np.ascontiguousarray(raw[:, KEY:]).view(np.int64)[:, 0]
+
+
+def _keys(w: int, bands: int, rows: int):
+    """The packed band keys of the lines that this task sees first."""
+
+    def work(batches):
+        key, h, held = [], [], 0
+        for b in _occurrences(w, bands, rows)(batches):
+            made = b.column("bands")
+            key.append(made.values.to_numpy())
+            h.append(np.repeat(b.column("h1").to_numpy(), np.diff(made.offsets.to_numpy())))
+            held += len(key[-1])
+            if held >= HELD:
+                yield pack(np.concatenate(key), np.concatenate(h))
+                key, h, held = [], [], 0
+        if held:
+            yield pack(np.concatenate(key), np.concatenate(h))
+
+    return work
+
+
+def _stars(t, bounds):
+    """(a, b): each line of a bucket with the bucket's smallest hash."""
+    blobs = t.column("blob")
+    for s, e in zip(bounds[:-1], bounds[1:]):
+        key, h = unpack(blobs.slice(s, e - s).to_pylist())
+        order = np.argsort(key, kind="stable")
+        key, h = key[order], h[order]
+        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        least = np.repeat(np.minimum.reduceat(h, begin), np.diff(np.r_[begin, len(h)]))
+        pairs = np.unique(np.stack((least, h), 1)[h != least], axis=0)
+        if len(pairs):
+            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], names=["a", "b"])
+
+
+def stars(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(a, b): links between the hashes of lines with an equal band key, in the shape of stars."""
+    # Packed, the keys of a slot take 14 bytes a line and band in the exchange instead of the 19 of a row for each.
+    return grouped(map_batches(docs, _keys(w, bands, rows), "slot int, blob binary"), ["slot"], _stars, "a long, b long").distinct()
+
+
 MEMBERS = "family long, node long, copies long, tokens binary, blk int, pairs array<struct<bi:int,bj:int>>"
 _PAIRS = pa.list_(pa.struct([("bi", pa.int32()), ("bj", pa.int32())]))
 
@@ -169,11 +238,8 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
     where = cut(map_batches(docs, _occurrences(w, 0, rows), schema).drop("bands"))
     here = where.select("doc_id", "line_no", "h1", "h2")
     lines = cut(where.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"), F.max("size").alias("size")))
-    # The conditions that the join would add are stated before the exchange, so that both reads of it are one exchange.
     # Band keys are made in a pass of their own and go straight into the exchange: written out, they would be as large again.
-    keys = map_batches(docs, _occurrences(w, bands, rows), schema).select("h1", F.explode("bands").alias("band")).where("h1 is not null and band is not null").repartition("band")
-    buckets = keys.groupBy("band").agg(F.min("h1").alias("a"), F.max("h1").alias("z")).where("a <> z").select("band", "a")
-    star = keys.join(buckets.hint("shuffle_hash"), "band").where("h1 <> a").select("a", F.col("h1").alias("b")).distinct()
+    star = stars(docs, w, bands, rows)
     family = components(star).select(F.col("node").alias("h1"), F.col("component").alias("family"))
     members = dealt(family.join(lines, "h1"), ["family"], "h1", "size", FAMILY_TOKENS)
     wanted = cut(members.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "family", "blk", "pairs")).alias("wanted")))

@@ -1,8 +1,10 @@
 """Small tables with nulls, empty and long texts, ties, repeated rows, extra columns; brute force where results are exact."""
 
+import hashlib
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -591,3 +593,49 @@ def test_discoveries_follow_the_step_up_rules():
     p = sorted((0.5 * math.erfc(t / 10 / math.sqrt(2)), t) for t in tenths)
     k = max((k for k in range(1, 201) if p[k - 1][0] <= 0.05 * k / 200), default=0)
     assert secrets.rejections(count(tenths), 0.05) == {4: p[k - 1][1]}
+
+
+def test_band_keys_are_packed_and_make_the_stars_of_equal_keys(spark):
+    """Links equal those of the whole keys, one by one; a key and its line take 14 bytes."""
+    from collections import defaultdict
+
+    from kmerloom.llm import line_dedup as D
+
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(40)]
+    texts = ["\n".join(" ".join(rng.choice(words, 9)) for _ in range(4)) for _ in range(60)]
+    texts += [t.replace("a", "b", 1) for t in texts] + [None, "", "x"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    lines = sorted({D.normal(x) for t in texts if t for x in t.split("\n")} - {""})
+    keys = D.signatures(lines, 5, 22, 7)
+    ids = [int.from_bytes(hashlib.blake2b(x.encode(), digest_size=16).digest()[:8], "little", signed=True) for x in lines]
+    held = defaultdict(set)
+    for i, row in zip(ids, keys.tolist()):
+        for k in row:
+            held[k].add(i)
+    want = {(min(x), y) for x in held.values() for y in x if y != min(x)}
+    assert want and {tuple(r) for r in D.stars(docs).collect()} == want
+    packed = D.pack(keys.ravel(), np.repeat(ids, 22))
+    assert sum(map(len, packed.column("blob").to_pylist())) == 14 * keys.size
+    k, h = D.unpack(packed.column("blob").to_pylist())
+    assert sorted(zip((k & D.K.U((1 << 48) - 1)).tolist(), h.tolist())) == sorted((x & ((1 << 48) - 1), i) for i, row in zip(ids, keys.tolist()) for x in row)
+
+
+def test_cut_leaves_no_shuffle_files(spark):
+    """What a step has shuffled goes with the step; it does not wait for the driver's garbage collection."""
+    import time
+
+    from kmerloom.plans.scratch import CLEAN, cut
+
+    def files() -> set:
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for i in range(found.size()) if (n := found.apply(i).getName()).startswith("shuffle_")}
+
+    before = files()
+    assert cut(spark.range(100_000).repartition(5, "id").groupBy((F.col("id") % 1000).alias("k")).count()).count() == 1000
+    for _ in range(20):
+        if not (left := {n for n in files() - before if n.endswith(".data")}):
+            break
+        time.sleep(0.25)
+    assert len(left) <= 1  # that of the count
+    assert spark.conf.get(CLEAN, None) in (None, "false")
