@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import kernels
+from ..functions import kernels, packed
 from ..functions import seq as S
 from ..plans.config import Config
+from ..plans.scratch import cut, local_root, release
+from . import mapped
 
 SEGMENTS = "chrom string, chrom_idx int, start int, end int, ref string"
 BLOCK = 1 << 20
@@ -147,8 +150,6 @@ def neighbourhood(segments: DataFrame, index: DataFrame, cfg: Config) -> DataFra
 
 def kmer_index(segments: DataFrame, cfg: Config, snps: DataFrame | None = None) -> DataFrame:
     """(kmer, code, pos, repeat_cat)"""
-    from ..plans.scratch import cut
-
     occ = occurrences(segments, cfg)
     if snps is not None:
         occ = occ.unionByName(variant_occurrences(snps, segments, cfg))
@@ -161,6 +162,42 @@ def left_mask(span: int, cfg: Config) -> int:
     return (1 << 2 * (cfg.spaced_left if span >= 2 * cfg.k else cfg.k)) - 1
 
 
+def mapped_vague(vague: DataFrame, cfg: Config) -> mapped.Mapped | None:
+    """The files of the ambiguous k-mers, or None where they are joined."""
+    if local_root(vague.sparkSession) is None or not cfg.mapped_rows:
+        return None
+    table = cut(vague.select("kmer", F.lit(False).alias("flag"), F.lit(0).cast("long").alias("value")))
+    held = mapped.store(table, cfg.k) if table.limit(cfg.mapped_rows + 1).count() <= cfg.mapped_rows else None
+    release(table)
+    return held
+
+
+def vague_pairs(df: DataFrame, seq: str, held: mapped.Mapped, gap: int, cfg: Config) -> DataFrame:
+    """(l, r, code, pos, is_grid): k-mer pairs ``gap`` bases apart, both in ``held``, of segments' bases or of haplotypes.
+
+    Haplotypes have ``first``, the offset of theirs in the segment; none of theirs is on the grid, and those in step
+    with it count only on the reverse strand.
+    """
+    known = "first" in df.columns
+    k, jump, windows = cfg.k, cfg.jump, packed.window_batches(seq, cfg.k, 1, gap)
+
+    def work(batches):
+        for b in windows(batches):
+            a, z = (b.column(c).to_numpy() for c in ("kmer", "kmer2"))
+            ra, rz = packed.complement(a, k), packed.complement(z, k)
+            ok = held.holds(a, ra) & held.holds(z, rz)
+            pos = b.column("offset").to_numpy() + (b.column("first").to_numpy() if known else 0)
+            grid = pos % jump == 0
+            fwd, rev = np.flatnonzero(ok[0] & ~grid if known else ok[0]), np.flatnonzero(ok[1])
+            at = np.r_[fwd, rev]
+            if len(at):
+                on = np.r_[np.zeros(len(fwd), bool) if known else grid[fwd], np.zeros(len(rev), bool)]
+                cols = [pa.array(np.r_[a[fwd], rz[rev]]), pa.array(np.r_[z[fwd], ra[rev]]), b.column("code").take(pa.array(at)), pa.array(pos[at].astype(np.int32)), pa.array(on)]
+                yield pa.RecordBatch.from_arrays(cols, names=["l", "r", "code", "pos", "is_grid"])
+
+    return df.mapInArrow(work, "l long, r long, code long, pos int, is_grid boolean")
+
+
 def composite_index(segments: DataFrame, index: DataFrame, span: int, cfg: Config, snps: DataFrame | None = None) -> DataFrame:
     """(kmer_l, kmer_r, code, pos): pairs of k-mers at the ends of ``span`` bases, both in the index without a position.
 
@@ -177,12 +214,19 @@ def composite_index(segments: DataFrame, index: DataFrame, span: int, cfg: Confi
         )
         return windows.select("code", pos.cast("int").alias("pos"), F.explode(ends).alias("o")).where("not o._skip").select("o.l", "o.r", "code", "pos", "o.is_grid")
 
+    held = mapped_vague(vague, cfg)
+    windows = own_bases(segments).select("code", "bases"), "bases"
+    variants = None if snps is None else (haplotypes(snps, segments, cfg, span).select("code", "first", "haplotype"), "haplotype")
+    if held is not None:
+        occ = vague_pairs(*windows, held, gap, cfg)
+        if variants is not None:
+            occ = occ.unionByName(vague_pairs(*variants, held, gap, cfg))
+        return compact(occ.select(F.col("l").bitwiseAND(mask).alias("kmer_l"), F.col("r").alias("kmer_r"), "code", "pos", "is_grid"), ("kmer_l", "kmer_r"))
     on_grid = F.col("offset") % cfg.jump == 0
-    occ = pairs(S.kmers(own_bases(segments).select("code", "bases"), "bases", cfg.k, 1, gap), F.col("offset"), on_grid, F.lit(False))
-    if snps is not None:
-        w = S.kmers(haplotypes(snps, segments, cfg, span).select("code", "first", "haplotype"), "haplotype", cfg.k, 1, gap)
+    occ = pairs(S.kmers(*windows, cfg.k, 1, gap), F.col("offset"), on_grid, F.lit(False))
+    if variants is not None:
         at = F.col("first") + F.col("offset")
-        occ = occ.unionByName(pairs(w, at, F.lit(False), at % cfg.jump == 0))
+        occ = occ.unionByName(pairs(S.kmers(*variants, cfg.k, 1, gap), at, F.lit(False), at % cfg.jump == 0))
     occ = occ.join(vague.withColumnRenamed("kmer", "l"), "l", "left_semi").join(vague.withColumnRenamed("kmer", "r"), "r", "left_semi")
     return compact(occ.select(F.col("l").bitwiseAND(mask).alias("kmer_l"), F.col("r").alias("kmer_r"), "code", "pos", "is_grid"), ("kmer_l", "kmer_r"))
 

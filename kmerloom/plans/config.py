@@ -26,3 +26,6 @@ class Config:
     interpolate: bool = False
     #: An index of at most so many rows, composite ones included, is broadcast to the scan; a larger one is joined.
     broadcast_rows: int = 4_000_000
+    #: A larger index of at most so many rows is searched in files that workers map, where the shared folder is a local
+    #: path; beyond, it is joined.
+    mapped_rows: int = 1_000_000_000

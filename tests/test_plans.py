@@ -2,14 +2,18 @@ import dataclasses
 import gzip
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.__main__ import INDEXED, main
-from kmerloom.functions import kernels
+from kmerloom.functions import kernels, packed
+from kmerloom.operators import index as index_of
+from kmerloom.operators import mapped
 from kmerloom.operators import reads as R
 from kmerloom.operators import vcf
 from kmerloom.plans import catalog, fixtures, pipelines
+from kmerloom.plans.scratch import cut
 from kmerloom.sources import files
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +188,34 @@ def test_fixtures_explode_no_contig(spark, make):
     plan = make(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
     held = [x for x in plan.splitlines() if "Generate " in x]
     assert held and "array_join" not in "".join(plan.splitlines()[plan.splitlines().index(held[-1]) :])
+
+
+def test_mapped_table_finds_both_strands(spark):
+    """Every k-mer and its reverse complement, of odd and of even length, against a dictionary; -1 is never found."""
+    rng = random.Random(4)
+    for k in (5, 6, 23, 31):
+        words = sorted({rng.randrange(1 << 2 * k) for _ in range(700)})
+        rows = [(w, rng.random() < 0.5, rng.randrange(-(1 << 62), 1 << 62)) for w in words]
+        table = mapped.store(spark.createDataFrame(rows, "kmer long, flag boolean, value long"), k)
+        known = {w: (f, v) for w, f, v in rows}
+        ask = np.array(words[::2] + [int(x) for x in packed.complement(np.array(words), k)] + [rng.randrange(1 << 2 * k) for _ in range(300)] + [-1], np.int64)
+        turned = packed.complement(ask, k)
+        got = sorted(zip(*(x.tolist() for x in table.matches(ask, turned))))
+        want = sorted((i, s, *known[w]) for i, (a, b) in enumerate(zip(ask.tolist(), turned.tolist())) for s, w in ((0, a), (1, b)) if a >= 0 and w in known)
+        assert got == want and want
+    empty = mapped.store(spark.createDataFrame([], "kmer long, flag boolean, value long"), 23)
+    assert not empty.holds(np.array([5, -1]), np.array([7, -1])).any()
+
+
+@pytest.mark.parametrize("span", [41, 83])
+@pytest.mark.parametrize("variants", [False, True])
+def test_composite_index_sends_only_pairs_of_ambiguous_kmers(spark, span, variants):
+    """Looked up in mapped files and joined, the rows are equal; mapped, no window is shuffled to be told whether it is ambiguous."""
+    cfg, bases = catalog.CFG, F.expr(fixtures.COPY_BASES)
+    t = cut(catalog.tiles(spark, SF, bases))
+    index = cut(index_of.compact(index_of.occurrences(t, cfg)))
+    snps = catalog.snps(spark, SF, bases) if variants else None
+    joined, there = (index_of.composite_index(t, index, span, c, snps) for c in (dataclasses.replace(cfg, mapped_rows=0), cfg))
+    want = sorted(map(tuple, joined.collect()), key=str)
+    assert want and sorted(map(tuple, there.collect()), key=str) == want
+    assert "LeftSemi" not in there._jdf.queryExecution().optimizedPlan().toString()
