@@ -54,14 +54,12 @@ def merge_mates(r1: str, r2: str, k: int) -> tuple[str, str]:
     """
     if len(r1) < k or len(r2) < k:
         return r1, r2
-    where: dict[str, int] = {}
-    for p in range(len(r1) - k + 1):
-        where[r1[p : p + k]] = -1 if r1[p : p + k] in where else p
     other = revcomp(r2)
     n = len(other)
     for i in (0, *range(n - k, 0, -5)):
-        p = where.get(other[n - k - i : n - i], -1)
-        if p < 0:
+        word = other[n - k - i : n - i]
+        p = r1.find(word)
+        if p < 0 or r1.find(word, p + 1) >= 0:
             continue
         tail = p + k + i - len(r1)
         if tail <= 0:

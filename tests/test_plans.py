@@ -2,6 +2,7 @@ import dataclasses
 import gzip
 import random
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -219,3 +220,52 @@ def test_composite_index_sends_only_pairs_of_ambiguous_kmers(spark, span, varian
     want = sorted(map(tuple, joined.collect()), key=str)
     assert want and sorted(map(tuple, there.collect()), key=str) == want
     assert "LeftSemi" not in there._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_mapped_and_broadcast_look_ups_give_equal_breakpoints(spark, monkeypatch):
+    """An index beyond ``broadcast_rows`` is searched in files: the reads' k-mers are not shuffled."""
+    contigs, reads = repeat_reads(spark, 5)
+    index = pipelines.build_index(contigs, catalog.CFG)
+    pairs = index["long"].count() + index["spaced"].count()
+    assert 0 < pairs < index["kmers"].count()
+    find = lambda c: R.breakpoints(reads, index["kmers"], index["long"], index["spaced"], c)
+    want = sorted(map(tuple, find(catalog.CFG).collect()))
+    large = find(dataclasses.replace(catalog.CFG, broadcast_rows=pairs))
+    assert "Join" not in large._jdf.queryExecution().optimizedPlan().toString()
+    assert want and sorted(map(tuple, large.collect())) == want
+    monkeypatch.setattr(R, "SMALL", 0)
+    assert sorted(map(tuple, find(catalog.CFG).collect())) == want
+
+
+def test_hits_of_reads_are_not_shuffled(spark):
+    """Mapped and joined hits are equal, also of short reads, of N, of empty and null mates; no join where mapped."""
+    contigs, reads = repeat_reads(spark, 6)
+    index = pipelines.build_index(contigs, catalog.CFG)["kmers"]
+    some = [tuple(r)[:3] for r in reads.limit(20).collect()]
+    odd = [(900, "", some[0][2]), (901, some[1][1], None), (902, some[2][1][:60] + "N" + some[2][1][61:], some[2][2][:22]), (903, None, some[3][2])]
+    rows = spark.createDataFrame(some + odd, "read_id long, r1_seq string, r2_seq string")
+    there = R.hits_of(rows, index, catalog.CFG)
+    want = sorted(map(tuple, R.joined_hits(rows, index, catalog.CFG).collect()))
+    assert want and sorted(map(tuple, there.collect())) == want
+    assert "Join" not in there._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_reads_carry_no_chunk_into_a_shuffle(spark):
+    """What a row of lineitem is cut from is left at the join that finds it."""
+    plan = fixtures.reads(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join LeftOuter") == 3  # of a fragment from one contig, and of the two halves of a planted one
+    db = duckdb.connect()
+    for name in ("part", "lineitem"):
+        db.execute(f"create view {name} as select * from '{SF}/{name}.parquet'")
+    want = db.execute(f"with {fixtures.CONTIGS_SQL}, {fixtures.READS_SQL} select read_id, r1_seq, r2_seq from reads").fetchall()
+    assert sorted(map(tuple, fixtures.reads(spark, SF).select("read_id", "r1_seq", "r2_seq").collect())) == sorted(want)
+
+
+def test_reads_without_a_breakpoint_give_no_rows(spark):
+    """A batch none of whose reads has a record, whichever way k-mers are looked up."""
+    contigs, _ = repeat_reads(spark, 7)
+    seq = contigs.first().seq
+    index = pipelines.build_index(contigs, catalog.CFG)
+    reads = spark.createDataFrame([(i, seq[:140], kernels.revcomp(seq[60:200]), 1, 2) for i in range(3)], "read_id long, r1_seq string, r2_seq string, bar1 long, bar2 long")
+    for cfg in (catalog.CFG, dataclasses.replace(catalog.CFG, broadcast_rows=0)):
+        assert R.breakpoints(reads, index["kmers"], index["long"], index["spaced"], cfg).collect() == []
