@@ -18,6 +18,15 @@ BLOCK = 1 << 20
 BIN = 1 << 14
 
 
+def never_broadcast(df: DataFrame) -> DataFrame:
+    """``df`` as a side of a join that is always shuffled.
+
+    Spark takes what a Python map makes of a row to be about as large as the row, so a genome's k-mers, or its bases in
+    compressed files, may look smaller than the broadcast threshold; the driver would gather them all.
+    """
+    return df.hint("merge")
+
+
 def repeats(contigs: DataFrame, cfg: Config) -> DataFrame:
     """(kmer, n): k-mers at every third offset of the contigs that occur twice or more."""
     return S.kmers(contigs.select("seq"), "seq", cfg.k, cfg.jump).groupBy("kmer").agg(F.count("*").alias("n")).where("n >= 2")
@@ -25,7 +34,7 @@ def repeats(contigs: DataFrame, cfg: Config) -> DataFrame:
 
 def members(kmers: DataFrame, repeated: DataFrame) -> DataFrame:
     """The rows of ``kmers(kmer, ...)`` whose k-mer is a repeat."""
-    return kmers.join(repeated.select("kmer"), "kmer", "left_semi")
+    return kmers.join(never_broadcast(repeated.select("kmer")), "kmer", "left_semi")
 
 
 def repeat_runs(contigs: DataFrame, repeated: DataFrame, cfg: Config) -> DataFrame:
@@ -111,7 +120,7 @@ def haplotypes(snps: DataFrame, segments: DataFrame, cfg: Config, span: int | No
     s = snps.where("length(ref) <= 150 and length(alt) <= 150").withColumnRenamed("ref", "ref_allele")
     at = "(pos - 1 - start)"
     ok = variant_segments(s, segments).where(f"{at} >= {n} and {at} + length(ref_allele) + {n} <= end - start")
-    ok = ok.join(segments.select("seg_idx", "ref"), "seg_idx")
+    ok = ok.join(never_broadcast(segments.select("seg_idx", "ref")), "seg_idx")
     return ok.select("seg_idx", "start", "code", F.expr(f"{at} - {n}").cast("int").alias("first"), F.expr("length(alt)").alias("alt_len"), F.expr("length(alt) = length(ref_allele)").alias("same_length"), F.expr(f"concat(substring(ref, {at} - {n - 1}, {n}), alt, substring(ref, {at} + length(ref_allele) + 1, {n}))").alias("haplotype"))
 
 
@@ -137,7 +146,7 @@ def neighbourhood(segments: DataFrame, index: DataFrame, cfg: Config) -> DataFra
     """
     cat = F.when(F.col("code") == 0xFFFFFFFF, 2).when(F.bit_count("code") > cfg.code_bits, 1)
     marked = index.withColumn("cat", cat).where("cat is not null").select("kmer", "cat")
-    grid = S.kmers(own_bases(segments).select("seg_idx", "bases"), "bases", cfg.k, cfg.jump).join(marked, "kmer").select("seg_idx", "offset", "kmer", "cat")
+    grid = never_broadcast(S.kmers(own_bases(segments).select("seg_idx", "bases"), "bases", cfg.k, cfg.jump)).join(marked, "kmer").select("seg_idx", "offset", "kmer", "cat")
     after = grid.select("seg_idx", (F.col("offset") - cfg.jump).alias("offset"), F.col("kmer").alias("next"), F.col("cat").alias("next_cat"))
     full = (1 << 2 * cfg.k) - 1
     shifted = [F.shiftleft("kmer", 2 * d).bitwiseAND(F.lit(full)).bitwiseOR(F.shiftright("next", 2 * (cfg.jump - d)).bitwiseAND(F.lit((1 << 2 * d) - 1))) for d in range(1, cfg.jump)]

@@ -9,6 +9,7 @@ from ..functions import seq as S
 from ..plans.config import Config
 from ..plans.scratch import cut
 from . import supports as P
+from .index import never_broadcast
 
 
 def breakend_positions(df: DataFrame, k: int) -> DataFrame:
@@ -108,7 +109,7 @@ def flags(df: DataFrame, cfg: Config) -> DataFrame:
 
 def candidates(merged: DataFrame, segments: DataFrame, cfg: Config) -> DataFrame:
     """Supported records with known segments on both sides, located, measured and filtered."""
-    s, refs = F.broadcast(segments.select("code", "seg_idx", "chrom", "start")), segments.select("seg_idx", "ref")
+    s, refs = F.broadcast(segments.select("code", "seg_idx", "chrom", "start")), never_broadcast(segments.select("seg_idx", "ref"))
     df = merged.where("split_cnt + pe_cnt > 0 and right_pos >= 0")
     df = df.join(s.toDF("left_code", "left_seg", "left_chrom", "left_start"), "left_code").join(s.toDF("right_code", "right_seg", "right_chrom", "right_start"), "right_code")
     df = breakend_positions(df, cfg.k)

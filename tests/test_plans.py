@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from kmerloom.__main__ import INDEXED, main
-from kmerloom.functions import kernels, packed
+from kmerloom.functions import kernels, packed, seq
 from kmerloom.operators import index as index_of
 from kmerloom.operators import mapped
 from kmerloom.operators import reads as R
@@ -269,3 +269,15 @@ def test_reads_without_a_breakpoint_give_no_rows(spark):
     reads = spark.createDataFrame([(i, seq[:140], kernels.revcomp(seq[60:200]), 1, 2) for i in range(3)], "read_id long, r1_seq string, r2_seq string, bar1 long, bar2 long")
     for cfg in (catalog.CFG, dataclasses.replace(catalog.CFG, broadcast_rows=0)):
         assert R.breakpoints(reads, index["kmers"], index["long"], index["spaced"], cfg).collect() == []
+
+
+def test_kmers_are_never_broadcast(spark, tmp_path):
+    """What a Python map makes of a small file may be large, whatever Spark takes its size to be."""
+    path = str(tmp_path / "segments")
+    spark.createDataFrame([(0, 0, 64, 31, "ACGT" * 16)], "seg_idx int, start int, end int, code long, ref string").write.parquet(path)
+    segments = spark.read.parquet(path)
+    index = spark.createDataFrame([(1, 31, None)], "kmer long, code long, pos int")
+    kmers = seq.kmers(segments.select("ref"), "ref", catalog.CFG.k)
+    reads = segments.select(F.col("seg_idx").cast("long").alias("read_id"), F.col("ref").alias("r1_seq"), F.col("ref").alias("r2_seq"))
+    for df in (index_of.neighbourhood(segments, index, catalog.CFG), index_of.members(kmers, kmers), R.joined_hits(reads, index.withColumn("repeat_cat", F.lit(0)), catalog.CFG)):
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
