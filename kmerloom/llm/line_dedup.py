@@ -4,7 +4,9 @@ A line is a piece between line feeds, lower-cased, with runs of white space as o
 lines are never dropped. Equal lines are found by a 128-bit hash. Every distinct line gets a MinHash signature over its
 character shingles, cut into bands; lines with an equal band are candidates (recall at the threshold: see
 ``recall``). A changed letter inside a line spoils SHINGLE shingles, so it leaves lines of 9 * SHINGLE shingles (49
-characters) similar; the tests hold the recall of edits by line length. Candidate families are verified by exact Jaccard and united; of each component, the first line by
+characters) similar; the tests hold the recall of edits by line length. Candidates whose sizes or bitmaps rule the
+threshold out are no link (the n-gram join's screen: every pair of a bucket that they allow is in one family), or lines
+that meet by chance would chain into one family. Families are verified by exact Jaccard and united; of each component, the first line by
 (doc_id, line number) is kept and all the others are dropped.
 
 Cases: null or empty text has no lines. A line shorter than a shingle is one shingle. Rows that share a doc_id share a
@@ -22,7 +24,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .families import FAMILY_TOKENS, family_links
+from .families import FAMILY_TOKENS, _bitmap, bitmap_words, family_links
+from .ngram_join import _screened_families
 from .tables import components, cut, dealt, grouped, map_batches, release, thin
 
 SHINGLE = 5
@@ -31,6 +34,8 @@ ROWS = 7
 PCT = 80
 SEEN = 200_000
 TABLE = 1 << 16
+#: Characters of lines whose sets are made at a time.
+CHARS = 1 << 18
 #: Band keys are dealt by their upper bits, KEY bytes of the rest are kept, and so many are held before they are packed.
 SLOT_BITS = 12
 KEY = 6
@@ -178,44 +183,68 @@ def _keys(w: int, bands: int, rows: int):
     return work
 
 
-def _stars(t, bounds):
-    """(a, b): each line of a bucket with the bucket's smallest hash."""
-    blobs = t.column("blob")
+def _buckets(t, bounds):
+    """(key, doc_id): the distinct lines of each bucket that has several, by their hashes."""
+    slots, blobs = t.column("slot").to_numpy(), t.column("blob")
     for s, e in zip(bounds[:-1], bounds[1:]):
         key, h = unpack(blobs.slice(s, e - s).to_pylist())
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
+        key, h = key[order], h[order]
+        often = _often(key)
+        key, h = key[often], h[often]
+        order = np.lexsort((h, key))
         key, h = key[order], h[order]
-        begin = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-        least = np.repeat(np.minimum.reduceat(h, begin), np.diff(np.r_[begin, len(h)]))
-        pairs = np.unique(np.stack((least, h), 1)[h != least], axis=0)
-        if len(pairs):
-            yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, c])) for c in (0, 1)], names=["a", "b"])
+        new = np.r_[True, (key[1:] != key[:-1]) | (h[1:] != h[:-1])][: len(key)]
+        key, h = key[new], h[new]
+        often = _often(key)
+        if often.any():
+            key = key[often] | K.U(int(slots[s]) << 8 * KEY)
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[often])], names=["key", "doc_id"])
 
 
-def stars(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(a, b): links between the hashes of lines with an equal band key, in the shape of stars."""
+def _often(key: np.ndarray) -> np.ndarray:
+    """Which of the sorted keys occur several times."""
+    same = key[1:] == key[:-1]
+    return (np.r_[False, same] | np.r_[same, False])[: len(key)]
+
+
+def buckets(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(key, doc_id): the hashes of the lines that share a band key with another line."""
     # Packed, the keys of a slot take 14 bytes a line and band in the exchange instead of the 19 of a row for each.
-    return grouped(map_batches(docs, _keys(w, bands, rows), "slot int, blob binary"), ["slot"], _stars, "a long, b long").distinct()
+    return grouped(map_batches(docs, _keys(w, bands, rows), "slot int, blob binary"), ["slot"], _buckets, "key long, doc_id long")
 
 
-MEMBERS = "family long, node long, copies long, tokens binary, blk int, pairs array<struct<bi:int,bj:int>>"
-_PAIRS = pa.list_(pa.struct([("bi", pa.int32()), ("bj", pa.int32())]))
+def stars(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """(a, b): each line of a bucket with the bucket's smallest hash."""
+    met = buckets(docs, w, bands, rows)
+    return met.join(met.groupBy("key").agg(F.min("doc_id").alias("a")), "key").select("a", F.col("doc_id").alias("b")).where("a <> b").distinct()
 
 
-def _texts(batches):
-    """The wanted lines as members of families; tokens: the line's bytes."""
-    for b in batches:
-        out = []
-        for text, wanted in zip(b.column("text"), b.column("wanted")):
-            lines = (text.as_py() or "").split("\n")
-            for x in wanted.as_py():
-                if x["line_no"] < len(lines) and (line := normal(lines[x["line_no"]])):
-                    raw = line.encode("utf-8", "surrogatepass")
-                    if int.from_bytes(hashlib.blake2b(raw, digest_size=16).digest()[:8], "little", signed=True) == x["h1"]:
-                        out.append((x["family"], x["h1"], 1, raw, x["blk"], x["pairs"]))
-        if out:
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.int32(), _PAIRS)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names=["family", "node", "copies", "tokens", "blk", "pairs"])
+HELD_LINES = "doc_id long, n_shingles long, bits array<long>, tokens binary"
+
+
+def _texts(w: int):
+    """The wanted lines: the size of each one's set, its bitmap, and as tokens the line's bytes."""
+    decode = _decode(w)
+
+    def work(batches):
+        for b in batches:
+            ids, lines = [], []
+            for text, wanted in zip(b.column("text"), b.column("wanted")):
+                there = (text.as_py() or "").split("\n")
+                for x in wanted.as_py():
+                    if x["line_no"] < len(there) and (line := normal(there[x["line_no"]])):
+                        raw = line.encode("utf-8", "surrogatepass")
+                        if int.from_bytes(hashlib.blake2b(raw, digest_size=16).digest()[:8], "little", signed=True) == x["h1"]:
+                            ids.append(x["h1"])
+                            lines.append(raw)
+            for i, j in K.portions(np.cumsum([0, *map(len, lines)]), CHARS):
+                sets = decode(lines[i:j])
+                bits = [_bitmap(x, bitmap_words(len(x))).view(np.int64) for x in sets]
+                ends = pa.array(np.cumsum([0, *map(len, bits)]), pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits))), pa.array(lines[i:j], pa.binary())], names=["doc_id", "n_shingles", "bits", "tokens"])
+
+    return work
 
 
 def _decode(w: int):
@@ -239,12 +268,16 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
     here = where.select("doc_id", "line_no", "h1", "h2")
     lines = cut(where.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"), F.max("size").alias("size")))
     # Band keys are made in a pass of their own and go straight into the exchange: written out, they would be as large again.
-    star = stars(docs, w, bands, rows)
-    family = components(star).select(F.col("node").alias("h1"), F.col("component").alias("family"))
-    members = dealt(family.join(lines, "h1"), ["family"], "h1", "size", FAMILY_TOKENS)
-    wanted = cut(members.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1", "family", "blk", "pairs")).alias("wanted")))
+    met = cut(buckets(docs, w, bands, rows))
+    near = lines.join(met.select(F.col("doc_id").alias("h1")).distinct(), "h1")
+    wanted = cut(near.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1")).alias("wanted")))
     texts = thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("text", "wanted")
-    links = cut(family_links(map_batches(texts, _texts, MEMBERS), pct, _decode(w)))
+    held = cut(map_batches(texts, _texts(w), HELD_LINES))
+    # Lines that meet by chance would chain into families that grow faster than the input: unlike ones are screened first.
+    family = _screened_families(met, held, pct).select(F.col("node").alias("doc_id"), F.col("component").alias("family"))
+    members = dealt(family.join(held.select("doc_id", "n_shingles").distinct(), "doc_id"), ["family"], "doc_id", "n_shingles", FAMILY_TOKENS)
+    members = members.join(held.select("doc_id", "tokens"), "doc_id").select("family", F.col("doc_id").alias("node"), F.lit(1).cast("long").alias("copies"), "tokens", "blk", "pairs")
+    links = cut(family_links(members, pct, _decode(w)))
     united = components(links.select("a", "b")).withColumnRenamed("node", "h1")
     joined = cut(lines.join(united, "h1").select("h1", "h2", "first", "component"))
     kept = joined.groupBy("component").agg(F.min("first").alias("kept"))
@@ -260,7 +293,7 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
     )
     total = where.where("n_lines is not null").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
     result = cut(total.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped")))
-    for done in (where, lines, wanted, links, joined):
+    for done in (where, lines, met, wanted, held, links, joined):
         release(done)
     return result
 
