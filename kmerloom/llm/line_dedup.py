@@ -33,9 +33,10 @@ BANDS = 22
 ROWS = 7
 PCT = 80
 SEEN = 200_000
-TABLE = 1 << 16
-#: Characters of lines whose sets are made at a time.
+TABLE = 1 << 17
+#: Characters whose shingles are hashed at a time, and whose signatures are made together.
 CHARS = 1 << 18
+PORTION = 1 << 21
 #: Band keys are dealt by their upper bits, KEY bytes of the rest are kept, and so many are held before they are packed.
 SLOT_BITS = 12
 KEY = 6
@@ -73,10 +74,16 @@ def signatures(lines: list[str], w: int, bands: int, rows: int) -> np.ndarray:
     out = np.empty((len(lines), bands), K.U)
     if not lines:
         return out.view(np.int64)
-    h, begin = codes_of(lines, w)
-    h = (h >> K.U(32)).astype(np.uint32)
-    size = np.diff(np.r_[begin, len(h)])
-    seeds = (K.mix(np.arange(bands * rows, dtype=K.U), 11) >> K.U(32)).astype(np.uint32) | np.uint32(1)
+    hashes, sizes = [], []
+    for i, j in K.portions(np.cumsum([0, *map(len, lines)]), CHARS):
+        x, begin = codes_of(lines[i:j], w)
+        hashes.append((x >> K.U(32)).astype(np.uint32))
+        sizes.append(np.diff(np.r_[begin, len(x)]))
+    h, size = np.concatenate(hashes), np.concatenate(sizes)
+    begin = np.cumsum(size) - size
+    seeds = ((K.mix(np.arange(bands * rows, dtype=K.U), 11) >> K.U(32)) | K.U(1)).tolist()
+    # Odd seeds have inverses, so each table is made of the one before in its place.
+    factors = [np.uint32(s * pow(t, -1, 1 << 32) % (1 << 32)) for s, t in zip(seeds, [1, *seeds])]
     order = np.argsort(size, kind="stable")
     at = 0
     while at < len(order):
@@ -89,10 +96,10 @@ def signatures(lines: list[str], w: int, bands: int, rows: int) -> np.ndarray:
         table = h[begin[part][None] + np.where(step < n[None], step, 0)]
         axis = int(len(part) < 64)
         table = np.ascontiguousarray(table.T) if axis else table
-        scaled, least = np.empty_like(table), np.empty((bands * rows, len(part)), np.uint32)
-        for r, seed in enumerate(seeds):
-            np.multiply(table, seed, out=scaled)
-            np.minimum.reduce(scaled, axis=axis, out=least[r])
+        least = np.empty((bands * rows, len(part)), np.uint32)
+        for r, factor in enumerate(factors):
+            np.multiply(table, factor, out=table)
+            np.minimum.reduce(table, axis=axis, out=least[r])
         key = np.broadcast_to(np.arange(bands, dtype=K.U)[:, None], (bands, len(part))).copy()
         for r in range(rows):
             key = K.mix(key ^ least[r::rows], r + 1)
@@ -108,12 +115,12 @@ def _occurrences(w: int, bands: int, rows: int):
         for b in batches:
             raw, off = K.text_bytes(b.column("text"))
             ids = b.column("doc_id").to_numpy()
-            for i, j in K.portions(off, 1 << 19):
+            for i, j in K.portions(off, PORTION if bands else 1 << 19):
                 doc, no, size, digest, fresh, ends, total = [], [], [], [], [], [0], []
                 for r in range(i, j):
                     at = len(doc)
-                    for k, line in enumerate(raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace").split("\n")):
-                        if line := normal(line):
+                    for k, line in enumerate(raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace").lower().split("\n")):
+                        if line := " ".join(line.split()):  # as normal(): no letter's small form depends on another line
                             d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
                             doc.append(r)
                             no.append(k)
@@ -144,9 +151,9 @@ def pack(key: np.ndarray, h: np.ndarray):
     The slot is the key's upper bits, so that equal keys have equal slots; so many keys as a task holds make few rows.
     """
     key = key.view(K.U)
-    order = np.argsort(key >> K.U(64 - SLOT_BITS), kind="stable")
-    key, h = key[order], h[order]
-    slot = (key >> K.U(64 - SLOT_BITS)).astype(np.int32)
+    slot = (key >> K.U(64 - SLOT_BITS)).astype(np.uint16)
+    order = np.argsort(slot, kind="stable")  # of 16 bits: a radix sort
+    key, h, slot = key[order], h[order], slot[order].astype(np.int32)
     raw = np.empty((len(key), KEY + 8), np.uint8)
     raw[:, :KEY] = key[:, None].view(np.uint8)[:, :KEY]
     raw[:, KEY:] = h[:, None].view(np.uint8)

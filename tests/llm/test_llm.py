@@ -663,3 +663,22 @@ def test_lines_that_meet_by_chance_make_no_family(spark, monkeypatch):
     got = {r.doc_id: r.dropped for r in D.line_dedup(docs).collect()}
     assert [r["count"] for r in seen[0]] == [2]
     assert got == {k: [0] if k == 120 else [] for k in range(121)}
+
+
+def test_signatures_are_minima_over_all_shingles():
+    """Tables made in place of one another, in several portions, give what each seed gives by itself."""
+    from kmerloom.llm import kernels as K
+    from kmerloom.llm import line_dedup as D
+
+    rng = np.random.default_rng(9)
+    lines = ["".join(rng.choice(list("abcdefgh "), n)) for n in [1, 4, 5, 6, 40, 41, 300, 5000, *rng.integers(1, 200, 100)]]
+    seeds = (K.mix(np.arange(154, dtype=K.U), 11) >> K.U(32)).astype(np.uint32) | np.uint32(1)
+    want = []
+    for x in lines:
+        h = (D.codes_of([x], 5)[0] >> K.U(32)).astype(np.uint32)
+        least = np.array([(h * s).min() for s in seeds], np.uint32)
+        key = np.arange(22, dtype=K.U)
+        for r in range(7):
+            key = K.mix(key ^ least[r::7], r + 1)
+        want.append(key.view(np.int64))
+    assert (D.signatures(lines, 5, 22, 7) == np.array(want)).all()
