@@ -6,8 +6,8 @@ import numpy as np
 import pyarrow as pa
 
 PORTION = 1 << 18
-_BASE = np.full(256, 4, np.uint8)
-_BASE[[65, 67, 71, 84]] = range(4)
+BASE = np.full(256, 4, np.uint8)
+BASE[[65, 67, 71, 84]] = range(4)
 
 
 def rolled(raw: np.ndarray, k: int) -> np.ndarray:
@@ -15,7 +15,7 @@ def rolled(raw: np.ndarray, k: int) -> np.ndarray:
     n = len(raw) - k + 1
     if n <= 0:
         return np.zeros(0, np.int64)
-    base = _BASE[raw]
+    base = BASE[raw]
     bad = np.cumsum(np.r_[0, base == 4])
     part, width, out, done = (base & 3).astype(np.int64), 1, None, 0
     while True:  # words of 1, 2, 4, ... bases are put together for the bits of k, the lowest first

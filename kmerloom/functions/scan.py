@@ -348,6 +348,13 @@ def refine(hits: Hits, words: np.ndarray, pairs: Pairs, gap: int, mask: int) ->
     every third ambiguous one there is raised to score 3. On the reverse strand, an offset whose partner got a position
     is not looked up. ``mask``: the bits of a left k-mer that count.
     """
+    some = np.flatnonzero((open_pairs(hits, 0, gap) | open_pairs(hits, 1, gap) | (hits.score == 4).any(0)).any(1))
+    if len(some) < len(hits.n1):  # nothing is looked up in the others, and no composite index before has changed them
+        if len(some):
+            part = hits.rows(some)
+            refine(part, words[:, some], pairs, gap, mask)
+            hits.code[:, some], hits.pos[:, some], hits.score[:, some] = part.code, part.pos, part.score
+        return
     t, n1, total = np.arange(hits.code.shape[2])[None], hits.n1[:, None], hits.total[:, None]
     mate = np.where(t >= total, 2, (t >= n1).astype(int))
     start = np.where(t < n1, 0, n1)

@@ -41,7 +41,7 @@ class Mapped:
             if len(_OPEN) > 8:
                 _OPEN.clear()
             kind = np.dtype(np.uint64)
-            _OPEN[self.path] = (np.memmap(f"{self.path}/starts", np.int64, "r"), np.memmap(f"{self.path}/records", kind, "r", shape=(self.n, 2)) if self.n else np.zeros((0, 2), kind))
+            _OPEN[self.path] = (np.asarray(np.memmap(f"{self.path}/starts", np.int64, "r")), np.asarray(np.memmap(f"{self.path}/records", kind, "r", shape=(self.n, 2))) if self.n else np.zeros((0, 2), kind))
         return _OPEN[self.path]
 
     def matches(self, words: np.ndarray, turned: np.ndarray):
@@ -79,6 +79,69 @@ class Mapped:
         return out
 
 
+class Bases:
+    """The own bases of segments, one after the other in the order of their codes; ``table`` has each one's code and where it begins."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def arrays(self):
+        """(codes, begins, bases): ``begins`` has one number more than there are segments."""
+        if self.path not in _OPEN:
+            if len(_OPEN) > 8:
+                _OPEN.clear()
+            codes, begins = np.fromfile(f"{self.path}/table", np.int64).reshape(2, -1)
+            n = os.path.getsize(f"{self.path}/bases")
+            _OPEN[self.path] = (codes[:-1], begins, np.asarray(np.memmap(f"{self.path}/bases", np.uint8, "r")) if n else np.zeros(0, np.uint8))
+        return _OPEN[self.path]
+
+
+def store_bases(segments: DataFrame) -> Bases | None:
+    """The files of ``segments(code, bases)``; None where the shared folder is no local path or codes are not distinct.
+
+    Segments are at most 201,376, and only their codes and sizes go through the driver.
+    """
+    spark = segments.sparkSession
+    root = local_root(spark)
+    if root is None:
+        return None
+    sizes = segments.select("code", F.octet_length("bases").alias("n")).toArrow().sort_by("code")
+    codes, n = (sizes.column(c).to_numpy().astype(np.int64) for c in ("code", "n"))
+    if len(np.unique(codes)) < len(codes):
+        return None
+    begins = np.cumsum(np.r_[0, n])
+    path = f"{root}/kmerloom-{uuid.uuid4().hex}"
+    os.makedirs(path)
+    remove_at_exit(spark, path)
+    np.concatenate([codes, [-1], begins]).tofile(f"{path}/table")
+    with open(f"{path}/bases", "wb") as f:
+        f.truncate(int(begins[-1]))
+
+    def write(batches):
+        done = 0
+        f = os.open(f"{path}/bases", os.O_WRONLY)
+        try:
+            for b in batches:
+                for code, bases in zip(b.column("code").to_pylist(), b.column("bases").to_pylist()):
+                    _write(f, bases.encode(), int(begins[np.searchsorted(codes, code)]))
+                    done += 1
+            os.fsync(f)
+        finally:
+            os.close(f)
+        yield pa.RecordBatch.from_arrays([pa.array([done], pa.int64())], names=["n"])
+
+    written = segments.select("code", "bases").mapInArrow(write, "n long").agg(F.sum("n")).first()[0] or 0
+    if written != len(codes):
+        raise RuntimeError(f"{written} of {len(codes)} segments are in the files: the table changed between two readings")
+    return Bases(path)
+
+
+def _write(f: int, raw, place: int) -> None:
+    raw, done = memoryview(raw).cast("B"), 0
+    while done < len(raw):
+        done += os.pwrite(f, raw[done:], place + done)
+
+
 def store(table: DataFrame, k: int) -> Mapped | None:
     """The files of ``table(kmer, flag boolean, value long)``; None where the shared folder is no local path.
 
@@ -125,11 +188,9 @@ def store(table: DataFrame, k: int) -> Mapped | None:
                 lo, hi = np.searchsorted(part, [p, p + 1])
                 bucket = ((head[lo:hi] & _LOW) >> np.uint64(62 - bits)).astype(np.int64) - p * each
                 for name, place, data in (("records", 16 * first[p], np.column_stack([head[lo:hi], value[lo:hi].astype(np.uint64)])), ("starts", 8 * p * each, first[p] + np.searchsorted(bucket, np.arange(each)))):
-                    raw, done = memoryview(np.ascontiguousarray(data)).cast("B"), 0
                     f = os.open(f"{path}/{name}", os.O_WRONLY)
                     try:
-                        while done < len(raw):
-                            done += os.pwrite(f, raw[done:], int(place) + done)
+                        _write(f, np.ascontiguousarray(data), int(place))
                         os.fsync(f)
                     finally:
                         os.close(f)

@@ -21,8 +21,7 @@ def build_index(contigs: DataFrame, cfg: Config, snps: DataFrame | None = None)
 
 def find_breakpoints(reads: DataFrame, index: dict[str, DataFrame], cfg: Config, r1=(0, 0, 0), r2=(0, 0, 0), all_low: bool = False) -> DataFrame:
     """Breakpoint records of good reads."""
-    ready = R.with_barcodes(R.good_quality(reads, all_low=all_low), r1, r2)
-    return R.breakpoints(ready, index["kmers"], index["long"], index["spaced"], cfg)
+    return R.breakpoints_of_pairs(reads, index["kmers"], index["long"], index["spaced"], cfg, index.get("segments"), r1, r2, all_low)
 
 
 def call_variants(breakpoints: DataFrame, index: dict[str, DataFrame], cfg: Config) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import duckdb
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -281,3 +282,65 @@ def test_kmers_are_never_broadcast(spark, tmp_path):
     reads = segments.select(F.col("seg_idx").cast("long").alias("read_id"), F.col("ref").alias("r1_seq"), F.col("ref").alias("r2_seq"))
     for df in (index_of.neighbourhood(segments, index, catalog.CFG), index_of.members(kmers, kmers), R.joined_hits(reads, index.withColumn("repeat_cat", F.lit(0)), catalog.CFG)):
         assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_reads_that_stand_in_a_segment_are_not_scanned(spark, monkeypatch):
+    """Only reads that have no breakpoint are left out: both mates as they are, on one strand, in one segment."""
+    contigs, reads = repeat_reads(spark, 8)
+    index = pipelines.build_index(contigs, catalog.CFG)
+    monkeypatch.setattr(R, "SMALL", 0)
+    find = lambda segments: sorted(map(tuple, R.breakpoints(reads, index["kmers"], index["long"], index["spaced"], catalog.CFG, segments).collect()))
+    want = find(None)
+    assert want and find(index["segments"]) == want
+
+    index = pipelines.build_index(fixtures.contigs(spark, SF), catalog.CFG)
+    held, bases = R.mapped_index(index["kmers"], catalog.CFG), mapped.store_bases(index_of.own_bases(index["segments"]))
+    (s, e), (t, f) = ((r.ref[: r.end - r.start], r.end - r.start) for r in index["segments"].orderBy("seg_idx").take(2))
+    back = kernels.revcomp
+    x = 500
+    cases = [
+        (s[x : x + 100], back(s[x + 200 : x + 300]), True),
+        (back(s[x + 200 : x + 300]), s[x : x + 100], True),
+        (s[x : x + 140], back(s[x + 60 : x + 200]), True),  # mates that are put together
+        (s[:100], back(s[e - 90 :]), True),
+        (s[x : x + 50] + back(s[x + 50]) + s[x + 51 : x + 100], back(s[x + 200 : x + 300]), False),
+        (s[x : x + 50] + "N" + s[x + 51 : x + 100], back(s[x + 200 : x + 300]), False),
+        (s[x : x + 100].lower(), back(s[x + 200 : x + 300]), False),
+        (s[x : x + 100], s[x + 200 : x + 300], False),
+        (s[x : x + 100], back(t[x : x + 100]), False),
+        (s[x : x + 100], "", False),
+        (s[e - 60 :] + t[22:62], back(t[x : x + 100]), False),  # over the border
+    ]
+    got = R.explained(pa.array([a for a, _, _ in cases]), pa.array([b for _, b, _ in cases]), held, bases, catalog.CFG)
+    assert got.tolist() == [c for _, _, c in cases]
+
+
+def test_mates_put_together_wrongly_are_scanned(spark):
+    """A word of R2 that R1 has at another place makes of two pieces of a segment something that is none."""
+    rng = random.Random(9)
+    seq = "".join(rng.choices("ACGT", k=3000))
+    seq = seq[:600] + seq[270:310] + seq[640:]
+    index = pipelines.build_index(spark.createDataFrame([("c", 0, seq)], "chrom string, chrom_idx int, seq string"), catalog.CFG)
+    held, bases = R.mapped_index(index["kmers"], catalog.CFG), mapped.store_bases(index_of.own_bases(index["segments"]))
+    r1, r2 = seq[210:330], kernels.revcomp(seq[520:640])
+    assert kernels.merge_mates(r1, r2, catalog.CFG.k)[1] == ""
+    assert R.explained(pa.array([r1, r1]), pa.array([r2, kernels.revcomp(seq[400:520])]), held, bases, catalog.CFG).tolist() == [False, True]
+
+
+def test_reads_are_made_ready_in_batches(spark):
+    """The batches' filters and barcodes equal those in SQL, also of nulls, empty, short and other letters."""
+    rng = random.Random(10)
+    rows = []
+    for i in range(300):
+        n = rng.choice([0, 5, 12, 30, 100])
+        mates = ["".join(rng.choices("ACGTN" if rng.random() < 0.1 else "ACGT", k=n)) for _ in range(2)]
+        quals = ["".join(rng.choices("!5:;I ", [1, 1, 1, 3, 3, 1], k=n)) for _ in range(2)]
+        for x in (mates, quals):
+            if rng.random() < 0.1:
+                x[rng.randrange(2)] = rng.choice([None, "", "é" + "ACGT" * 10, "ACGTé" * 9, "acgt" * 10])
+        rows.append((i, *mates, *quals))
+    df = spark.createDataFrame(rows, "read_id long, r1_seq string, r2_seq string, r1_qual string, r2_qual string").coalesce(1)
+    for r1, r2, all_low in (((0, 0, 0), (0, 0, 0), False), ((0, 8, 8), (2, 5, 3), True)):
+        want = R.with_barcodes(R.good_quality(df, all_low=all_low), r1, r2).select(R.READY)
+        got = df.mapInArrow(R.ready_batches(r1, r2, all_low=all_low), want.schema)
+        assert want.count() and sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
