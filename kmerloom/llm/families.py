@@ -11,6 +11,9 @@ from .tables import grouped, paired
 
 FAMILY_TOKENS = 1_000_000
 BITMAP_WORDS = 16
+#: Families of so few members compare all pairs at once, and so many bytes of members are decoded together.
+SMALL = 32
+DECODED = 1 << 18
 
 
 def raw_tokens(members: list[bytes]) -> list[np.ndarray]:
@@ -23,6 +26,23 @@ def _bitmap(x: np.ndarray, words: int = BITMAP_WORDS) -> np.ndarray:
     return np.packbits(bits.astype(np.uint8)).view(K.U)
 
 
+def bitmaps(sets: list[np.ndarray], most: int = 1024) -> list[np.ndarray]:
+    """The bitmap of each set, with :func:`bitmap_words` words; up to ``most`` sets of one width are counted together."""
+    out: list = [None] * len(sets)
+    words = np.array([bitmap_words(len(x)) for x in sets], np.int64)
+    for w in np.unique(words).tolist():
+        at = np.flatnonzero(words == w)
+        step = max(1, most * BITMAP_WORDS // w)
+        for k in range(0, len(at), step):
+            part = [sets[i] for i in at[k : k + step]]
+            cell = (np.concatenate(part) >> K.U(7)).astype(np.int64) & (64 * w - 1)
+            cell += np.repeat(np.arange(len(part)) * (64 * w), [len(x) for x in part])
+            bits = (np.bincount(cell, minlength=64 * w * len(part)) & 1).astype(np.uint8)
+            for i, row in zip(at[k : k + step].tolist(), np.packbits(bits).view(K.U).reshape(len(part), w)):
+                out[i] = row
+    return out
+
+
 def bitmap_words(n: int) -> int:
     """Words for a set of n tokens: at least as many cells as tokens."""
     return max(BITMAP_WORDS, 1 << (n // 64).bit_length())
@@ -116,12 +136,22 @@ def _kernel(pct: int, decode):
                 ok &= j > i
             yield i, j[ok]
 
-    def group(t, s, e, cols):
-        ids_all, blk, bi, bj, weight, tok = cols
-        members = tok.slice(s, e - s).to_pylist()
-        once = {x: s + k for k, x in enumerate(zip(ids_all[s:e].tolist(), members))}  # repeated rows
-        at = np.array(sorted(once.values()))
-        sets = decode([members[k - s] for k in at])
+    def few(n, maps, left, right, same):
+        """The pairs of a small family, at once."""
+        if not len(left) or not len(right):
+            return left[:0], left[:0]
+        i, j = np.repeat(left, len(right)), np.concatenate([right] * len(left))
+        ok = (n[j] >= -(-pct * n[i] // 100)) & (n[j] <= 100 * n[i] // pct)
+        if same:
+            ok &= j > i
+        i, j = i[ok], j[ok]
+        if not maps.any():  # none were made
+            return i, j
+        ok = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64) <= (100 - pct) * (n[i] + n[j]) // (100 + pct)
+        return i[ok], j[ok]
+
+    def group(s, at, sets, cols):
+        ids_all, blk, bi, bj, weight, _ = cols
         n, block, links = np.array([len(x) for x in sets]), blk[at], Links(ids_all[at], weight[at])
         maps = np.stack([_bitmap(x) for x in sets]) if len(sets) > 4 else np.zeros((len(sets), 1), K.U)
         left, right = np.flatnonzero(block == bi[s]), np.flatnonzero(block == bj[s])
@@ -136,7 +166,11 @@ def _kernel(pct: int, decode):
                 a.clear()
                 b.clear()
 
-        for i, j in pairs(n, maps, left, right, bi[s] == bj[s]):
+        if len(sets) <= SMALL:
+            i, j = few(n, maps, left, right, bi[s] == bj[s])
+            a.append(i)
+            b.append(j)
+        for i, j in pairs(n, maps, left, right, bi[s] == bj[s]) if len(sets) > SMALL else ():
             if len(j):
                 a.append(np.full(len(j), i))
                 b.append(j)
@@ -149,7 +183,30 @@ def _kernel(pct: int, decode):
 
     def kernel(t, bounds):
         cols = [t.column(c).to_numpy() for c in ("node", "blk", "bi", "bj", "copies")] + [t.column("tokens")]
-        found = [group(t, s, e, cols) for s, e in zip(bounds[:-1], bounds[1:]) if e - s > 1]
+        found, held, raw, size = [], [], [], 0
+
+        def settle():
+            sets, k = decode(raw), 0
+            for s, at in held:
+                found.append(group(s, at, sets[k : k + len(at)], cols))
+                k += len(at)
+            held.clear()
+            raw.clear()
+
+        for s, e in zip(bounds[:-1], bounds[1:]):
+            if e - s > 1:
+                members = cols[-1].slice(s, e - s).to_pylist()
+                once = {x: s + k for k, x in enumerate(zip(cols[0][s:e].tolist(), members))}  # repeated rows
+                at = np.array(sorted(once.values()))
+                more = [members[k - s] for k in at]
+                held.append((s, at))
+                raw += more
+                size += sum(map(len, more))
+                if size >= DECODED:
+                    settle()
+                    size = 0
+        if held:
+            settle()
         if found:
             yield link_batch(found)
 

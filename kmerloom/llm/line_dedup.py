@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import kernels as K
-from .families import FAMILY_TOKENS, _bitmap, bitmap_words, family_links
+from .families import FAMILY_TOKENS, bitmaps, family_links
 from .ngram_join import _screened_families
 from .tables import components, cut, dealt, grouped, map_batches, release, thin
 
@@ -41,6 +41,16 @@ PORTION = 1 << 21
 SLOT_BITS = 12
 KEY = 6
 HELD = 1 << 20
+#: Signatures are made of so many bytes of lines at a time, as few lines of one length make small tables.
+HELD_CHARS = 1 << 23
+#: Where a line stands; n_lines is 0 but at the first line of a row. So many go into one blob.
+PLACE = np.dtype([("doc_id", "<i8"), ("line_no", "<i4"), ("n_lines", "<i4"), ("h", "<i8", 2)])
+PLACES = 2048
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+#: Bytes of white space other than line feed and space, and those that begin letters beyond U+00FF or below U+00C0.
+_ODD = np.zeros(256, bool)
+_ODD[[0x09, *range(0x0B, 0x0E), *range(0x1C, 0x20), *range(0xC0, 0xC3), *range(0xC4, 0x100)]] = True
 
 
 def recall(similarity: float, bands: int = BANDS, rows: int = ROWS) -> float:
@@ -107,42 +117,38 @@ def signatures(lines: list[str], w: int, bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _occurrences(w: int, bands: int, rows: int):
-    """Each non-blank line: where it stands, its hash, and its band keys (none: 0 bands) where this task sees it first."""
+def lowered(raw: np.ndarray, off: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Texts' bytes in lower case, and which texts this is not known for: they are to be made by :func:`normal`.
 
-    def work(batches):
-        seen: set[bytes] = set()
-        for b in batches:
-            raw, off = K.text_bytes(b.column("text"))
-            ids = b.column("doc_id").to_numpy()
-            for i, j in K.portions(off, PORTION if bands else 1 << 19):
-                doc, no, size, digest, fresh, ends, total = [], [], [], [], [], [0], []
-                for r in range(i, j):
-                    at = len(doc)
-                    for k, line in enumerate(raw[off[r] : off[r + 1]].tobytes().decode("utf-8", "replace").lower().split("\n")):
-                        if line := " ".join(line.split()):  # as normal(): no letter's small form depends on another line
-                            d = hashlib.blake2b(line.encode("utf-8", "surrogatepass"), digest_size=16).digest()
-                            doc.append(r)
-                            no.append(k)
-                            size.append(len(line))
-                            digest.append(d)
-                            if d not in seen:
-                                if len(seen) >= SEEN:
-                                    seen.clear()
-                                seen.add(d)
-                                fresh.append(line)
-                                ends.append(ends[-1] + bands)
-                            else:
-                                ends.append(ends[-1])
-                    total += [len(doc) - at, *[None] * (len(doc) - at - 1)] if len(doc) > at else []
-                keys = signatures(fresh, w, bands, rows).ravel() if fresh and bands else np.zeros(0, np.int64)
-                h = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[doc], pa.int64()), pa.array(no, pa.int32()), pa.array(size, pa.int32()), pa.array(h[:, 0]), pa.array(h[:, 1]), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(keys)), pa.array(total, pa.int32())],
-                    names=["doc_id", "line_no", "size", "h1", "h2", "bands", "n_lines"],
-                )
-
-    return work
+    Known are those of ASCII and of the letters U+00C0 to U+00FF in which single spaces and line feeds are all that is
+    white, but for spaces at the ends of lines.
+    """
+    low = _LOWER[raw]
+    lead = np.r_[False, raw[:-1] == 0xC3][: len(raw)]
+    low[lead & (raw >= 0x80) & (raw <= 0x9E) & (raw != 0x97)] += 0x20
+    odd = _ODD[raw] | (lead != ((raw & 0xC0) == 0x80))
+    blank = raw == 0x20
+    odd[1:] |= blank[1:] & blank[:-1]
+    unknown, some = np.zeros(len(off) - 1, bool), off[1:] > off[:-1]
+    if not len(raw):
+        return b"", unknown
+    unknown[some] = np.logical_or.reduceat(odd, off[:-1][some])
+    unknown[some] |= (raw[off[1:][some] - 1] == 0xC3) | ((raw[off[:-1][some]] & 0xC0) == 0x80)  # letters cut off by a text's ends
+    return low.tobytes(), unknown
+
+
+def _lines(raw: np.ndarray, off: np.ndarray):
+    """(row, line number, bytes of the normal line) of each line that is not blank."""
+    low, unknown = lowered(raw, off)
+    for r, (s, e, odd) in enumerate(zip(off[:-1].tolist(), off[1:].tolist(), unknown.tolist())):
+        if odd:
+            for k, line in enumerate(raw[s:e].tobytes().decode("utf-8", "replace").lower().split("\n")):
+                if line := " ".join(line.split()):  # as normal(): no letter's small form depends on another line
+                    yield r, k, line.encode("utf-8", "surrogatepass")
+        else:
+            for k, line in enumerate(low[s:e].split(b"\n")):
+                if line := line.strip(b" "):
+                    yield r, k, line
 
 
 def pack(key: np.ndarray, h: np.ndarray):
@@ -171,29 +177,69 @@ def unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return key.view(K.U)[:, 0], np.ascontiguousarray(raw[:, KEY:]).view(np.int64)[:, 0]
 
 
-def _keys(w: int, bands: int, rows: int):
-    """The packed band keys of the lines that this task sees first."""
+def _packed(w: int, bands: int, rows: int):
+    """(slot, blob) of one reading of the texts: the band keys of the lines that this task sees first, and where all lines stand.
+
+    Places have slots beyond those of keys, one for each blob by its first line, so that a common line's places are dealt out.
+    """
 
     def work(batches):
-        key, h, held = [], [], 0
-        for b in _occurrences(w, bands, rows)(batches):
-            made = b.column("bands")
-            key.append(made.values.to_numpy())
-            h.append(np.repeat(b.column("h1").to_numpy(), np.diff(made.offsets.to_numpy())))
-            held += len(key[-1])
-            if held >= HELD:
-                yield pack(np.concatenate(key), np.concatenate(h))
-                key, h, held = [], [], 0
-        if held:
-            yield pack(np.concatenate(key), np.concatenate(h))
+        seen: set[bytes] = set()
+        fresh, of, held = [], [], 0
+
+        def keys():
+            made = signatures([x.decode("utf-8", "surrogatepass") for x in fresh], w, bands, rows)
+            return pack(made.ravel(), np.repeat(np.frombuffer(b"".join(of), np.int64)[::2], bands))
+
+        for b in batches:
+            raw, off = K.text_bytes(b.column("text"))
+            ids = b.column("doc_id").to_numpy()
+            for i, j in K.portions(off, PORTION):
+                doc, no, digest = [], [], []
+                for r, k, line in _lines(raw[off[i] : off[j]], off[i : j + 1] - off[i]):
+                    d = hashlib.blake2b(line, digest_size=16).digest()
+                    doc.append(r)
+                    no.append(k)
+                    digest.append(d)
+                    if d not in seen:
+                        if len(seen) >= SEEN:
+                            seen.clear()
+                        seen.add(d)
+                        fresh.append(line)
+                        of.append(d)
+                        held += len(line)
+                        if held >= HELD_CHARS or len(fresh) * bands >= HELD:
+                            yield keys()
+                            fresh, of, held = [], [], 0
+                if not doc:
+                    continue
+                at, n = np.array(doc), np.bincount(doc, minlength=j - i)
+                here = np.empty(len(at), PLACE)
+                here["doc_id"], here["line_no"] = ids[i:j][at], no
+                here["n_lines"] = np.where(np.r_[True, at[1:] != at[:-1]], n[at], 0)
+                here["h"] = np.frombuffer(b"".join(digest), np.int64).reshape(-1, 2)
+                parts = [here[k : k + PLACES] for k in range(0, len(here), PLACES)]
+                slots = [(1 << SLOT_BITS) + int(x["h"][0, 0] & 0xFFFF) for x in parts]
+                yield pa.RecordBatch.from_arrays([pa.array(slots, pa.int32()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["slot", "blob"])
+        if fresh:
+            yield keys()
 
     return work
 
 
-def _buckets(t, bounds):
-    """(key, doc_id): the distinct lines of each bucket that has several, by their hashes."""
+def _unpacked(t, bounds):
+    """Rows of two kinds, FOUND: of key and h, the distinct lines of each bucket that has several, by their hashes; of the others, where lines stand."""
     slots, blobs = t.column("slot").to_numpy(), t.column("blob")
+    kinds = pa.schema([("key", pa.int64()), ("h", pa.int64()), ("doc_id", pa.int64()), ("line_no", pa.int32()), ("n_lines", pa.int32()), ("h1", pa.int64()), ("h2", pa.int64())])
+
+    def rows(n, **cols):
+        return pa.RecordBatch.from_arrays([pa.array(cols[f.name], f.type) if f.name in cols else pa.nulls(n, f.type) for f in kinds], schema=kinds)
+
     for s, e in zip(bounds[:-1], bounds[1:]):
+        if slots[s] >> SLOT_BITS:
+            x = np.frombuffer(b"".join(blobs.slice(s, e - s).to_pylist()), PLACE)
+            yield rows(len(x), **{c: np.ascontiguousarray(x[c]) for c in ("doc_id", "line_no", "n_lines")}, h1=np.ascontiguousarray(x["h"][:, 0]), h2=np.ascontiguousarray(x["h"][:, 1]))
+            continue
         key, h = unpack(blobs.slice(s, e - s).to_pylist())
         order = np.argsort(key)
         key, h = key[order], h[order]
@@ -206,7 +252,7 @@ def _buckets(t, bounds):
         often = _often(key)
         if often.any():
             key = key[often] | K.U(int(slots[s]) << 8 * KEY)
-            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(h[often])], names=["key", "doc_id"])
+            yield rows(len(key), key=key.view(np.int64), h=h[often])
 
 
 def _often(key: np.ndarray) -> np.ndarray:
@@ -215,10 +261,22 @@ def _often(key: np.ndarray) -> np.ndarray:
     return (np.r_[False, same] | np.r_[same, False])[: len(key)]
 
 
+FOUND = "key long, h long, doc_id long, line_no int, n_lines int, h1 long, h2 long"
+
+
+def found(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """FOUND: buckets and places, by one pass over the texts; see ``_unpacked``."""
+    # Packed, the keys of a slot take 14 bytes a line and band in the exchange instead of the 19 of a row for each.
+    return grouped(map_batches(docs, _packed(w, bands, rows), "slot int, blob binary"), ["slot"], _unpacked, FOUND)
+
+
+def _met(both: DataFrame) -> DataFrame:
+    return both.where("key is not null").select("key", F.col("h").alias("doc_id"))
+
+
 def buckets(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(key, doc_id): the hashes of the lines that share a band key with another line."""
-    # Packed, the keys of a slot take 14 bytes a line and band in the exchange instead of the 19 of a row for each.
-    return grouped(map_batches(docs, _keys(w, bands, rows), "slot int, blob binary"), ["slot"], _buckets, "key long, doc_id long")
+    return _met(found(docs.where("doc_id is not null"), w, bands, rows))
 
 
 def stars(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -247,7 +305,7 @@ def _texts(w: int):
                             lines.append(raw)
             for i, j in K.portions(np.cumsum([0, *map(len, lines)]), CHARS):
                 sets = decode(lines[i:j])
-                bits = [_bitmap(x, bitmap_words(len(x))).view(np.int64) for x in sets]
+                bits = [x.view(np.int64) for x in bitmaps(sets)]
                 ends = pa.array(np.cumsum([0, *map(len, bits)]), pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(ids[i:j], pa.int64()), pa.array([len(x) for x in sets], pa.int64()), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(bits))), pa.array(lines[i:j], pa.binary())], names=["doc_id", "n_shingles", "bits", "tokens"])
 
@@ -257,8 +315,11 @@ def _texts(w: int):
 def _decode(w: int):
     def decode(members: list[bytes]) -> list[np.ndarray]:
         h, begin = codes_of([x.decode("utf-8", "surrogatepass") for x in members], w)
-        out = [np.sort(x) for x in np.split(h, begin[1:])]
-        return [x[np.r_[True, x[1:] != x[:-1]]] for x in out]
+        for x in np.split(h, begin[1:]):
+            x.sort()
+        new = np.r_[True, h[1:] != h[:-1]][: len(h)]
+        new[begin] = True
+        return np.split(h[new], np.cumsum(new)[begin[1:]] - 1)
 
     return decode
 
@@ -270,12 +331,11 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
     says how many of them have no equal line that comes before them and go for a similar one.
     """
     docs = docs.select("doc_id", "text").where("doc_id is not null")
-    schema = "doc_id long, line_no int, size int, h1 long, h2 long, bands array<long>, n_lines int"
-    where = cut(map_batches(docs, _occurrences(w, 0, rows), schema).drop("bands"))
+    # The texts are read once; band keys go straight into the exchange, as they would be as large again written out.
+    both = cut(found(docs, w, bands, rows))
+    met, where = _met(both), both.where("line_no is not null")
     here = where.select("doc_id", "line_no", "h1", "h2")
-    lines = cut(where.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows"), F.max("size").alias("size")))
-    # Band keys are made in a pass of their own and go straight into the exchange: written out, they would be as large again.
-    met = cut(buckets(docs, w, bands, rows))
+    lines = cut(where.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line_no")).alias("first"), F.count("*").alias("rows")))
     near = lines.join(met.select(F.col("doc_id").alias("h1")).distinct(), "h1")
     wanted = cut(near.groupBy("first.doc_id").agg(F.collect_list(F.struct("first.line_no", "h1")).alias("wanted")))
     texts = thin(docs, wanted, "doc_id").join(wanted, "doc_id").select("text", "wanted")
@@ -298,9 +358,9 @@ def line_dedup(docs: DataFrame, w: int = SHINGLE, bands: int = BANDS, rows: int
         .groupBy("doc_id")
         .agg(F.countDistinct(F.when(at == F.col("first"), F.col("line_no"))).cast("int").alias("n_near"), F.array_sort(F.collect_set("line_no")).alias("dropped"))
     )
-    total = where.where("n_lines is not null").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
+    total = where.where("n_lines > 0").groupBy("doc_id").agg(F.max("n_lines").alias("n_lines"))
     result = cut(total.join(gone, "doc_id", "left").select("doc_id", "n_lines", F.coalesce("n_near", F.lit(0)).alias("n_near"), F.coalesce("dropped", F.expr("cast(array() as array<int>)")).alias("dropped")))
-    for done in (where, lines, met, wanted, held, links, joined):
+    for done in (both, lines, wanted, held, links, joined):
         release(done)
     return result
 

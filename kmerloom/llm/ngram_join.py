@@ -36,6 +36,8 @@ from .tables import components, cut, dealt, grouped, map_batches, paired, releas
 
 RATIO = 1.5
 BUCKET_ROWS = 10_000
+#: Words of bitmaps that are compared at a time.
+FOLDED = 1 << 18
 
 
 def most_different(u: int, pct: int) -> int:
@@ -140,16 +142,26 @@ def _sets(w: int):
     return work
 
 
+def _flat(column) -> tuple[np.ndarray, np.ndarray]:
+    """The words of a column of bitmaps, and where each row's begin and end."""
+    a = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    return a.values.to_numpy().view(K.U), a.offsets.to_numpy()
+
+
 def _screen(pct: int):
     def work(batches):
         for t in batches:
             na, nb = t.column("na").to_numpy(), t.column("nb").to_numpy()
             ok = 100 * np.minimum(na, nb) >= pct * np.maximum(na, nb)
-            ba, bb = t.column("ba"), t.column("bb")
-            for r in np.flatnonzero(ok):
-                x, y = (c[int(r)].values.to_numpy().view(K.U) for c in (ba, bb))
-                words = min(len(x), len(y))
-                ok[r] = np.bitwise_count(folded(x, words) ^ folded(y, words)).sum() <= (100 - pct) * (na[r] + nb[r]) // (100 + pct)
+            (va, ea), (vb, eb) = (_flat(t.column(c)) for c in ("ba", "bb"))
+            wa, wb = np.diff(ea), np.diff(eb)
+            at = np.flatnonzero(ok)
+            for x, y in np.unique(np.stack([wa[at], wb[at]]), axis=1).T.tolist():  # pairs of one pair of widths together
+                words, same = min(x, y), at[(wa[at] == x) & (wb[at] == y)]
+                for k in range(0, len(same), max(1, FOLDED // max(x, y))):
+                    r = same[k : k + max(1, FOLDED // max(x, y))]
+                    p, q = (np.bitwise_xor.reduce(v[e[r][:, None] + np.arange(n)].reshape(len(r), -1, words), axis=1) for v, e, n in ((va, ea, x), (vb, eb, y)))
+                    ok[r] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64) <= (100 - pct) * (na[r] + nb[r]) // (100 + pct)
             yield t.select(["a", "b"]).filter(pa.array(ok))
 
     return work
@@ -171,9 +183,18 @@ def _meet(pct: int):
     """A spanning forest of the pairs of a bucket's members, in each pair of blocks, that sizes and bitmaps allow."""
 
     def group(node, family, n, width, blk, bi, bj, bits):
-        links, levels = Links(node, np.ones(len(node), np.int64)), _levels(bits)
+        links = Links(node, np.ones(len(node), np.int64))
         _, first, of = np.unique(family, return_index=True, return_inverse=True)
         links.parent = first[of]
+        if len(node) ** 2 * width[0] <= FOLDED and (width == width[0]).all():  # small: all pairs at once
+            i, j = (x.ravel() for x in np.meshgrid(np.flatnonzero(blk == bi), np.flatnonzero(blk == bj), indexing="ij"))
+            ok = (of[i] != of[j]) & (n[j] >= -(-pct * n[i] // 100)) & (n[j] <= 100 * n[i] // pct)
+            i, j = i[ok], j[ok]
+            maps = np.stack(bits)
+            ok = np.bitwise_count(maps[i] ^ maps[j]).sum(1, dtype=np.int64) <= (100 - pct) * (n[i] + n[j]) // (100 + pct)
+            links.add(i[ok], j[ok])
+            return links.rows()[:2]
+        levels = _levels(bits)
         a, b, held, right = [], [], 0, {}
         for w, (at, maps) in levels.items():
             order = np.flatnonzero(blk[at] == bj)
@@ -205,8 +226,9 @@ def _meet(pct: int):
 
     def kernel(t, bounds):
         node, family, n, blk, bi, bj = (t.column(c).to_numpy() for c in ("node", "family", "n_shingles", "blk", "bi", "bj"))
+        words, ends = _flat(t.column("bits"))
         for s, e in zip(bounds[:-1], bounds[1:]):
-            bits = [x.values.to_numpy().view(K.U) for x in t.column("bits").slice(s, e - s)]
+            bits = [words[x:y] for x, y in zip(ends[s:e].tolist(), ends[s + 1 : e + 1].tolist())]
             x, y = group(node[s:e], family[s:e], n[s:e], np.array([len(x) for x in bits]), blk[s:e], bi[s], bj[s], bits)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()), pa.array(y, pa.int64())], names=["a", "b"])
 

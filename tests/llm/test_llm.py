@@ -682,3 +682,55 @@ def test_signatures_are_minima_over_all_shingles():
             key = K.mix(key ^ least[r::7], r + 1)
         want.append(key.view(np.int64))
     assert (D.signatures(lines, 5, 22, 7) == np.array(want)).all()
+
+
+def test_line_dedup_reads_the_texts_once_for_places_and_band_keys(spark, monkeypatch):
+    from kmerloom.llm import line_dedup as D
+
+    passes, real = [], D.map_batches
+
+    def spy(df, work, schema, *rest):
+        passes.append(df.columns)
+        return real(df, work, schema, *rest)
+
+    monkeypatch.setattr(D, "map_batches", spy)
+    got = {r.doc_id: (r.n_lines, list(r.dropped)) for r in D.line_dedup(docs(spark, [(1, "a b\n\nc"), (2, "A  B"), (3, None), (None, "c")])).collect()}
+    assert got == {1: (2, []), 2: (1, [0])}
+    assert passes.count(["doc_id", "text"]) == 1
+
+
+def test_lines_made_of_bytes_are_the_normal_ones():
+    from kmerloom.llm import line_dedup as D
+
+    odd = ["", " ", "A b\n\nC ", "a  b", "\ta\x1cb\r\nc", "ÄÖÜß × Þß", "a b\u0085c", "İIΣ", " x 　", "\n \n x", "cafÉ \n À", "\U0001f600 Z", "x\x00Y", "×÷ÿŸ"]
+    raws = [x.encode() for x in odd] + [b"A\xc3", b"\xa9B", b"\x80", b"\xc3(", b"\xc3\xc3\x89"]
+    rng = np.random.default_rng(4)
+    raws += ["".join(rng.choice(list("aB \n\tÄ×ß İ"), rng.integers(0, 12), p=[0.3, 0.2, 0.2, 0.1, 0.02, 0.1, 0.02, 0.02, 0.02, 0.02])).encode() for _ in range(500)]
+    off = np.cumsum([0, *map(len, raws)])
+    want = [(r, k, x.encode("utf-8", "surrogatepass")) for r, t in enumerate(raws) for k, line in enumerate(t.decode("utf-8", "replace").split("\n")) if (x := D.normal(line))]
+    assert list(D._lines(np.frombuffer(b"".join(raws), np.uint8), off)) == want
+
+
+def test_bitmaps_and_screens_of_many_equal_those_one_by_one():
+    import pyarrow as pa
+
+    from kmerloom.llm import families as Fm
+    from kmerloom.llm import ngram_join as N
+
+    rng = np.random.default_rng(6)
+    base = np.unique(rng.integers(0, 1 << 63, 5000).astype(np.uint64))
+    sets = [base[: int(n)] for n in rng.choice([1, 3, 900, 1000, 1020, 1023, 1024, 1030, 1100, 1250, 2100, 4900], 80)]
+    want = [Fm._bitmap(x, Fm.bitmap_words(len(x))) for x in sets]
+    bits = Fm.bitmaps(sets, 7)
+    assert all((x == y).all() for x, y in zip(bits, want)) and len({len(x) for x in bits}) > 2
+    a, b = rng.integers(0, len(sets), (2, 600))
+    n, maps = np.array([len(x) for x in sets]), pa.array([x.view(np.int64) for x in bits], pa.list_(pa.int64()))
+    batch = pa.record_batch({"a": a, "b": b, "na": n[a], "nb": n[b], "ba": maps.take(pa.array(a)), "bb": maps.take(pa.array(b))}).slice(3)
+
+    def alike(i, j):
+        words = min(len(want[i]), len(want[j]))
+        return 100 * min(n[i], n[j]) >= 80 * max(n[i], n[j]) and np.bitwise_count(Fm.folded(want[i], words) ^ Fm.folded(want[j], words)).sum() <= 20 * (n[i] + n[j]) // 180
+
+    (got,) = N._screen(80)([batch])
+    pairs = [(i, j) for i, j in zip(a[3:].tolist(), b[3:].tolist()) if alike(i, j)]
+    assert list(zip(got.column(0).to_pylist(), got.column(1).to_pylist())) == pairs and 0 < len(pairs) < 590
